@@ -142,7 +142,7 @@ class Rolling:
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.code = rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-        self.base = int(rng.integers(2**40, 2**62)) * 8 + 5
+        self.base = int(rng.integers(2**40, 2**60)) * 8 + 5
         self.inv = pow(self.base, -1, 2**64)
         self._pw = self._ip = np.ones(1, np.uint64)
 

@@ -24,6 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes a shard may hold.
+SHARD_BYTES = 1 << 20
+
+
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return assign_shards(docs, SHARD_BYTES).drop("text")
+
+
+def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_documents
 
@@ -33,9 +51,60 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+#: A document is predicted good from this score on.
+QUALITY_THRESHOLD = 0.3
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame):
+    """Model from the labels of documents that are not held out."""
+    from .quality import held_out, train
+
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    return train(docs, labels)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, quality_model(spark, sf_dir, docs)).drop("text")
+    return scored.select("doc_id", held_out().alias("held_out"), "score",
+                         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_extendible_sharding": OP2_SQL, "op7_curriculum_mix": OP7_SQL}
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+  ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+l AS (SELECT d.*, CAST(r.range AS INTEGER) AS depth, h >> (60 - r.range) AS p FROM d, range(0, 61) r),
+b AS (SELECT depth, p, sum(n_bytes) AS b FROM l GROUP BY depth, p),
+f AS (SELECT l.doc_id, l.h, l.n_bytes, min(l.depth) AS depth FROM l JOIN b ON l.depth = b.depth AND l.p = b.p
+  WHERE b.b <= {SHARD_BYTES} GROUP BY l.doc_id, l.h, l.n_bytes),
+g AS (SELECT d.doc_id, CAST(d.n_bytes AS BIGINT) AS n_bytes, coalesce(f.depth, 60) AS depth, substr(lpad(bin(d.h), 60, '0'), 1, coalesce(f.depth, 60)) AS shard
+  FROM d LEFT JOIN f ON f.doc_id = d.doc_id AND f.h = d.h)
+SELECT doc_id, n_bytes, shard, CAST(depth AS INTEGER) AS depth, CAST(sum(n_bytes) OVER (PARTITION BY shard) AS BIGINT) AS shard_bytes,
+  sum(n_bytes) OVER (PARTITION BY shard) > {SHARD_BYTES} AS oversized FROM g
+"""
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM s),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS most FROM r),
+o AS (SELECT *, most / weight AS full_at, 1.5::DOUBLE * sum(source_size) OVER () AS want,
+  coalesce(sum(most) OVER (ORDER BY most / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY most / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_from FROM w),
+t AS (SELECT *, min(CASE WHEN (want - before) / weight_from <= full_at THEN (want - before) / weight_from END) OVER () AS level FROM o),
+g AS (SELECT source, source_size, least(most, coalesce(weight * level, most)) AS target FROM t),
+c AS (SELECT d.doc_id, d.size, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS pos
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, floor(target + 0.5) - pos)) + greatest(0, least(size, floor(target + 0.5) - source_size - pos)) AS BIGINT) AS taken FROM c
+"""
