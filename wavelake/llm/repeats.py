@@ -86,8 +86,8 @@ class Anchors:
                     yield i, j, x, k, self.runs(x, np.array([0, len(x)]))
 
 
-def anchor_counts(df: DataFrame, width: int) -> DataFrame:
-    """doc_id, th, fp, n: how often each text names an anchor."""
+def anchor_counts(df: DataFrame, width: int, across: bool = False) -> DataFrame:
+    """doc_id, th, fp, n: how often each text names an anchor (once at most if only other texts matter)."""
     import pyarrow as pa
 
     kind = df.schema["doc_id"].dataType.simpleString()
@@ -100,13 +100,14 @@ def anchor_counts(df: DataFrame, width: int) -> DataFrame:
                     continue
                 order = np.lexsort((fp, doc))
                 d, f = doc[order], fp[order]
+                f = f ^ batch.column("scope").to_numpy()[d + i]
                 new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (f[1:] != f[:-1])]))
                 rows = pa.array(d[new] + i)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(rows), batch.column("th").take(rows), pa.array(f[new]),
-                     pa.array(np.minimum(np.diff(np.append(new, len(d))), 2).astype(np.int32))], ["doc_id", "th", "fp", "n"])
+                     pa.array(np.minimum(np.diff(np.append(new, len(d))), 1 if across else 2).astype(np.int32))], ["doc_id", "th", "fp", "n"])
 
-    return df.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, fp bigint, n int")
+    return df.select("doc_id", "th", "scope", "text").mapInArrow(run, f"doc_id {kind}, th bigint, fp bigint, n int")
 
 
 def pack_texts(df: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def pack_texts(df: DataFrame) -> DataFrame:
 
 
 def _segments(df: DataFrame, width: int) -> DataFrame:
-    """(doc_id, th, z, fps) -> one row per run of windows of these anchors: key, dig, lead, cnt, pos and, where
+    """(doc_id, th, scope, z, fps) -> one row per run of windows of these anchors: key, dig, lead, cnt, pos and, where
     it is the first such in its batch, the bytes."""
     import pyarrow as pa
 
@@ -141,6 +142,7 @@ def _segments(df: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             seen: set[tuple[int, bytes]] = set()
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ("z", "fps")]
+            scopes = batch.column(batch.schema.get_field_index("scope")).to_numpy()
             rows, keys, digs, leads, cnts, poss, segs, size = [], [], [], [], [], [], [], 0
 
             def flush():
@@ -154,7 +156,7 @@ def _segments(df: DataFrame, width: int) -> DataFrame:
                 text = unpress.decompress(z.as_py())
                 wanted = fps.values.to_numpy()
                 for _, _, part, base, (_, start, cnt, fp, anchor) in anchors.batch(pa.array([text], pa.binary())):
-                    raw = part.tobytes()
+                    raw, fp = part.tobytes(), fp ^ scopes[r]
                     for i in np.flatnonzero(np.isin(fp, wanted)):
                         s, c, key = int(start[i]), int(cnt[i]), int(fp[i])
                         seg = raw[s: s + c + width - 1]
@@ -178,8 +180,12 @@ def _segments(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(run, f"doc_id {kind}, th bigint, key bigint, dig binary, lead int, cnt int, pos bigint, seg binary")
 
 
-def repeats_in(segs: list[bytes], counts: np.ndarray, times: np.ndarray, width: int):
-    """Runs (segment, lo, hi) of the windows that occur more than once among these segments."""
+def repeats_in(segs: list[bytes], counts: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, across: bool):
+    """Runs (segment, lo, hi) of the windows that occur more than once among these segments.
+
+    ``first`` and ``last`` are the least and greatest of the places at which a segment occurs;
+    windows repeat if the places of all segments that hold them are not one and the same or, unless
+    it must be another text (``across``), if there are several such windows."""
     sizes = np.array([len(s) for s in segs])
     t = np.frombuffer(b"".join(segs), np.uint8)
     base = np.cumsum(sizes) - sizes
@@ -189,25 +195,23 @@ def repeats_in(segs: list[bytes], counts: np.ndarray, times: np.ndarray, width:
     np.add.at(begin, base + counts, -1)
     own = np.cumsum(begin[:-1]) > 0
     again = np.zeros(len(t), bool)
-    if len(segs) > 1 or counts[0] > 1:
-        order = suffix_array(t, width)
-        order = order[own[order]]
-        same = common_prefix_reaches(t, order[:-1], order[1:], width)
-        again[order[:-1][same]] = True
-        again[order[1:][same]] = True
-    for i in np.flatnonzero(times > 1):
-        again[base[i]: base[i] + counts[i]] = True
+    order = suffix_array(t, width)
+    order = order[own[order]]
+    same = common_prefix_reaches(t, order[:-1], order[1:], width)
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    seg = np.searchsorted(base, order, side="right") - 1
+    least, most = np.minimum.reduceat(first[seg], head), np.maximum.reduceat(last[seg], head)
+    size = np.diff(np.append(head, len(order)))
+    again[order[np.repeat((least != most) | ((size > 1) & (not across)), size)]] = True
     edge = np.diff(np.concatenate([[0], again.astype(np.int8), [0]]))
-    seg_edge = np.zeros(len(t) + 1, bool)
-    seg_edge[base] = True
     # a run never passes a segment's end: the last width - 1 bytes of a segment start no window
     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     which = np.searchsorted(base, lo, side="right") - 1
     return which, lo - base[which], hi - base[which]
 
 
-def _sort_segments(distinct: DataFrame, width: int) -> DataFrame:
-    """(key, dig, seg, cnt, times) -> (key, dig, lo, hi): runs of windows that occur again."""
+def _sort_segments(distinct: DataFrame, width: int, across: bool) -> DataFrame:
+    """(key, dig, seg, cnt, first, last) -> (key, dig, lo, hi): runs of windows that occur again."""
     import pyarrow as pa
 
     def run(batches):
@@ -216,13 +220,13 @@ def _sort_segments(distinct: DataFrame, width: int) -> DataFrame:
         held_size = group_size = 0
 
         def solve(rows):
-            which, lo, hi = repeats_in([r[2] for r in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), width)
+            which, lo, hi = repeats_in([r[2] for r in rows], *(np.array([r[k] for r in rows]) for k in (3, 4, 5)), width, across)
             return pa.RecordBatch.from_arrays(
                 [pa.array([rows[i][0] for i in which], pa.int64()), pa.array([rows[i][1] for i in which], pa.binary()),
                  pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["key", "dig", "lo", "hi"])
 
         for batch in batches:
-            for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "dig", "seg", "cnt", "times")), strict=True):
+            for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "dig", "seg", "cnt", "first", "last")), strict=True):
                 if group and row[0] != group[0][0]:
                     held += group
                     held_size += group_size
@@ -236,7 +240,7 @@ def _sort_segments(distinct: DataFrame, width: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return (distinct.select("key", "dig", "seg", "cnt", "times").repartition("key").sortWithinPartitions("key")
+    return (distinct.select("key", "dig", "seg", "cnt", "first", "last").repartition("key").sortWithinPartitions("key")
             .mapInArrow(run, "key bigint, dig binary, lo int, hi int"))
 
 
@@ -247,8 +251,8 @@ def _finer(distinct: DataFrame, cell: int, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            cols = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "dig", "seg", "lead", "cnt", "times"))
-            for key, dig, seg, lead, cnt, times in zip(*cols, strict=True):
+            cols = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "dig", "seg", "lead", "cnt", "first", "last"))
+            for key, dig, seg, lead, cnt, least, most in zip(*cols, strict=True):
                 j = 0
                 while j < cnt:
                     g = (lead - j) // cell
@@ -257,51 +261,60 @@ def _finer(distinct: DataFrame, cell: int, width: int) -> DataFrame:
                     name = hashlib.blake2b(core, digest_size=8, key=f"{key}:{g}".encode()).digest()
                     part = seg[j: last + width]
                     out.append((key, dig, j, int.from_bytes(name, "little", signed=True), hashlib.blake2b(part, digest_size=16).digest(),
-                                part, lead - j, last - j + 1, times))
+                                part, lead - j, last - j + 1, least, most))
                     j = last + 1
-            names = ["key", "dig", "shift", "key2", "dig2", "seg", "lead", "cnt", "times"]
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+            names = ["key", "dig", "shift", "key2", "dig2", "seg", "lead", "cnt", "first", "last"]
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out
                                              else [pa.array([], k) for k in kinds], names)
 
-    return distinct.select("key", "dig", "seg", "lead", "cnt", "times").mapInArrow(
-        run, "key bigint, dig binary, shift int, key2 bigint, dig2 binary, seg binary, lead int, cnt int, times bigint")
+    return distinct.select("key", "dig", "seg", "lead", "cnt", "first", "last").mapInArrow(
+        run, "key bigint, dig binary, shift int, key2 bigint, dig2 binary, seg binary, lead int, cnt int, first bigint, last bigint")
 
 
-def _resolve(distinct: DataFrame, cells: tuple[int, ...], width: int, scratch: Scratch) -> DataFrame:
-    """Repeated windows of distinct segments (key, dig, seg, lead, cnt, times)."""
+def _resolve(distinct: DataFrame, cells: tuple[int, ...], width: int, across: bool, scratch: Scratch) -> DataFrame:
+    """Repeated windows of distinct segments (key, dig, seg, lead, cnt, first, last)."""
     if not cells:
-        return _sort_segments(distinct, width)
-    size = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("segs"), F.sum("times").alias("all"))
-    distinct = scratch.save(distinct.join(size.where("all > 1"), "key"), "segments")
-    few = _sort_segments(distinct.where(F.col("segs") <= CROWD), width)
+        return _sort_segments(distinct, width, across)
+    size = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("segs"), F.min("first").alias("lo"), F.max("last").alias("hi"))
+    distinct = scratch.save(distinct.join(size.where("segs > 1 or lo <> hi").select("key", "segs"), "key"), "segments")
+    few = _sort_segments(distinct.where(F.col("segs") <= CROWD), width, across)
     crowded = distinct.where(F.col("segs") > CROWD)
     if crowded.isEmpty():
         return few
     parts = scratch.save(_finer(crowded, cells[0], width), "parts")
     below = parts.groupBy(F.col("key2").alias("key"), F.col("dig2").alias("dig")).agg(
-        F.max("seg").alias("seg"), F.first("lead").alias("lead"), F.first("cnt").alias("cnt"), F.sum("times").alias("times"))
-    found = _resolve(below, cells[1:], width, scratch).select(F.col("key").alias("key2"), F.col("dig").alias("dig2"), "lo", "hi")
+        F.max("seg").alias("seg"), F.first("lead").alias("lead"), F.first("cnt").alias("cnt"), F.min("first").alias("first"),
+        (F.max("last") + (F.lit(0) if across else F.count(F.lit(1)) - 1)).alias("last"))
+    found = _resolve(below, cells[1:], width, across, scratch).select(F.col("key").alias("key2"), F.col("dig").alias("dig2"), "lo", "hi")
     back = parts.select("key", "dig", "shift", "key2", "dig2").join(found, ["key2", "dig2"]).select(
         "key", "dig", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
     return few.unionByName(back)
 
 
-def repeated_spans(df: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+def repeated_spans(df: DataFrame, width: int, scratch: Scratch, across: bool = False) -> DataFrame:
     """(doc_id, th, spans): for texts with repeated strings, the byte ranges (lo, hi) that they cover, unmerged.
 
-    ``df`` has doc_id, th (a hash of the text) and text."""
-    counts = scratch.save(anchor_counts(df, width), "anchors")
+    ``df`` has doc_id, th (a hash of the text), text and perhaps scope, a number: strings repeat
+    within one scope only. ``across`` asks for another text, not just another place."""
+    if "scope" not in df.columns:
+        df = df.withColumn("scope", F.lit(0).cast("bigint"))
+    counts = scratch.save(anchor_counts(df, width, across), "anchors")
     again = counts.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
     wanted = counts.join(again, "fp", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set("fp").alias("fps"))
-    packed = pack_texts(df.select("doc_id", "th", "text"))
+    packed = pack_texts(df.select("doc_id", "th", "scope", "text"))
     hits = packed.join(wanted, F.col("th").eqNullSafe(F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    places = scratch.save(_segments(hits.select("doc_id", "th", "z", "fps"), width), "places")
+    places = scratch.save(_segments(hits.select("doc_id", "th", "scope", "z", "fps"), width), "places")
     scratch.drop(counts)
+    if across:
+        place = F.xxhash64("doc_id", "th")
+        first, last = F.min(place), F.max(place)
+    else:  # any second occurrence will do, also of a repeated row
+        first, last = F.lit(0).cast("bigint"), F.count(F.lit(1)) - 1
     distinct = places.groupBy("key", "dig").agg(
-        F.max("seg").alias("seg"), F.first("lead").alias("lead"), F.first("cnt").alias("cnt"), F.count(F.lit(1)).alias("times"))
+        F.max("seg").alias("seg"), F.first("lead").alias("lead"), F.first("cnt").alias("cnt"), first.alias("first"), last.alias("last"))
     cells = sorted({max(1, width * 4 // 25), max(1, width // 50), 1}, reverse=True)
-    found = _resolve(distinct, tuple(cells), width, scratch)
+    found = _resolve(distinct, tuple(cells), width, across, scratch)
     spans = places.select("doc_id", "th", "key", "dig", "pos").join(found, ["key", "dig"])
     return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct(
         (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi") + (width - 1)).alias("hi"))).alias("spans"))
