@@ -48,6 +48,16 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import Scratch
+    from .warc import read_archives, write_archives
+
+    path = Scratch(spark, "warc").path("archive")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    out = read_archives(spark, path)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_text
 
