@@ -48,6 +48,19 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
+
+
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import Scratch
     from .warc import read_archives, write_archives
@@ -111,7 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_extendible_sharding": OP2_SQL, "op7_curriculum_mix": OP7_SQL}
+    return {"op2_extendible_sharding": OP2_SQL, "op3_cover_tree_topk": OP3_SQL, "op4_warc_archive": OP4_SQL, "op7_curriculum_mix": OP7_SQL}
 
 
 OP2_SQL = f"""
@@ -127,6 +140,23 @@ SELECT doc_id, n_bytes, shard, CAST(depth AS INTEGER) AS depth, CAST(sum(n_bytes
   sum(n_bytes) OVER (PARTITION BY shard) > {SHARD_BYTES} AS oversized FROM g
 """
 
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS hex, max(page_id) OVER (PARTITION BY b) AS top FROM p),
+f AS (SELECT *, list_aggregate(list_transform(range(0, 40), lambda i: lpad(bin(('0x' || substr(hex, CAST(i + 1 AS INTEGER), 1))::INTEGER), 4, '0')), 'string_agg', '') AS bits FROM h)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS INTEGER), 1) AS INTEGER) << CAST(4 - j AS INTEGER))) AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM f
+"""
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS h FROM documents),
