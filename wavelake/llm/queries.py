@@ -166,7 +166,7 @@ w AS (SELECT *, CASE i % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE
 o AS (SELECT *, most / weight AS full_at, 1.5::DOUBLE * sum(source_size) OVER () AS want,
   coalesce(sum(most) OVER (ORDER BY most / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
   sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY most / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_from FROM w),
-t AS (SELECT *, min(CASE WHEN (want - before) / weight_from <= full_at THEN (want - before) / weight_from END) OVER () AS level FROM o),
+t AS (SELECT *, max(CASE WHEN (want - before) / weight_from <= full_at THEN (want - before) / weight_from END) OVER () AS level FROM o),
 g AS (SELECT source, source_size, least(most, coalesce(weight * level, most)) AS target FROM t),
 c AS (SELECT d.doc_id, d.size, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS pos
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)

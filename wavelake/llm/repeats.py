@@ -292,6 +292,27 @@ def _resolve(distinct: DataFrame, cells: tuple[int, ...], width: int, across: bo
     return few.unionByName(back)
 
 
+def unpack_texts(df: DataFrame) -> DataFrame:
+    """z -> text, the reverse of ``pack_texts``."""
+    import pyarrow as pa
+
+    kept = [c for c in df.columns if c != "z"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields), "text string"])
+
+    def run(batches):
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
+        for batch in batches:
+            packed = batch.column(batch.schema.get_field_index("z"))
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                texts = pa.array([unpress.decompress(z.as_py()).decode() for z in packed.slice(i, 512)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), texts], [*kept, "text"])
+
+    return df.select(*kept, "z").mapInArrow(run, schema)
+
+
 def repeated_spans(df: DataFrame, width: int, scratch: Scratch, across: bool = False) -> DataFrame:
     """(doc_id, th, spans): for texts with repeated strings, the byte ranges (lo, hi) that they cover, unmerged.
 
@@ -331,13 +352,13 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], top[np.append(at[1:] - 1, len(spans) - 1)]], axis=1)
 
 
-def remove_repeats(df: DataFrame, width: int = 400) -> DataFrame:
+def remove_repeats(df: DataFrame, width: int = 400, as_text: bool = False) -> DataFrame:
     """Every row of df with n_bytes, n_removed, n_spans and kept (the remaining bytes).
 
     A byte of a text goes if a string of ``width`` bytes over it also starts at another place, in
     the same text or another; all occurrences go, and strings are judged on the input. Texts are
     UTF-8 bytes, a null is empty, matches never cross texts; what is left of a text may end inside
-    a character, so it is binary. Rows that are copies of each other repeat each other, with equal
+    a character, so it is binary (as text, the bytes of such a character are left out). Rows that are copies of each other repeat each other, with equal
     doc_id or not; null ids take part. An empty table stays empty; df needs doc_id and text, and
     the added names must be free.
     """
@@ -351,7 +372,7 @@ def remove_repeats(df: DataFrame, width: int = 400) -> DataFrame:
     packed = pack_texts(keyed.select(*rest, "_th", "text"))
     joined = packed.join(spans, F.col("_th").eqNullSafe(F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(*rest, "z", "spans")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields),
-                        "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"])
+                        "n_bytes bigint, n_removed bigint, n_spans bigint", "kept string" if as_text else "kept binary"])
 
     def run(batches):
         import zstandard
@@ -363,7 +384,7 @@ def remove_repeats(df: DataFrame, width: int = 400) -> DataFrame:
 
             def flush(upto):
                 part = batch.slice(first, upto - first)
-                cols = [pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                cols = [pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()), strict=True)]
                 return pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), *cols],
                                                   [*rest, "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -375,9 +396,9 @@ def remove_repeats(df: DataFrame, width: int = 400) -> DataFrame:
                     cut = merge_spans(np.stack([v.field(0).to_numpy(), v.field(1).to_numpy()], axis=1))
                     ends = [0, *cut[:, 1].tolist()]
                     left = b"".join(text[a:b] for a, b in zip(ends, [*cut[:, 0].tolist(), len(text)], strict=True))
-                    done.append((len(text), len(text) - len(left), len(cut), left))
+                    done.append((len(text), len(text) - len(left), len(cut), left.decode("utf-8", "ignore") if as_text else left))
                 else:
-                    done.append((len(text), 0, 0, text))
+                    done.append((len(text), 0, 0, text.decode() if as_text else text))
                 size += len(text)
                 if size > 4 << 20:
                     yield flush(i + 1)
