@@ -1,52 +1,17 @@
-"""Registered queries over the driver's tables, and the SQL that states the same results."""
+"""All registered queries over the driver's tables, and the SQL that states the same results."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("robust_event_rate_bins", """
-WITH e AS (SELECT user_id, value, epoch_us(ts) // 1800000000 AS bin FROM events),
-m AS (SELECT user_id, median(value) AS med FROM e GROUP BY user_id),
-d AS (SELECT e.*, m.med, median(abs(value - m.med)) OVER (PARTITION BY e.user_id) AS mad FROM e JOIN m USING (user_id)),
-b AS (SELECT user_id, bin, count(*) FILTER (WHERE abs(value - med) > 2 * 1.4826 * mad) AS n_events, count(*) AS n_samples FROM d GROUP BY user_id, bin)
-SELECT user_id, bin, n_events, n_samples, round(n_events / 30.0, 6) AS rate_per_min FROM b
-""")
-def robust_event_rate_bins(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(
-        "user_id", "value", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_800_000_000)).alias("bin"))
-    med = e.groupBy("user_id").agg(F.median("value").alias("med"))
-    mad = e.join(med, "user_id").groupBy("user_id", "med").agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    hit = F.abs(F.col("value") - F.col("med")) > 2 * 1.4826 * F.col("mad")
-    return (e.join(mad, "user_id").groupBy("user_id", "bin")
-            .agg(F.count_if(hit).alias("n_events"), F.count(F.lit(1)).alias("n_samples"))
-            .withColumn("rate_per_min", F.round(F.col("n_events") / F.lit(30.0), 6)))
+from wavelake.plans import base, kernels, records, signals  # noqa: F401  (modules register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(base.ORACLE)
