@@ -1 +1,262 @@
+"""Queries whose filters need numpy kernels: recordings are made from events, one Arrow group per channel.
 
+A recording has 60 s per user and event type at 100 Hz: seeded noise with a slow wave per
+event and a spindle-like burst per large one, so each row of events shapes a signal. Groups are
+bounded by a recording's length; only results leave them.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wavelake.functions import dsp
+from wavelake.plans.base import query, samples
+
+FS, SECONDS = 100.0, 60.0
+
+
+def signal_of(rec: int, ch: str, t_s: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Signal of a channel in µV from the times and sizes of its events."""
+    rng = np.random.default_rng([int(rec), sum(ch.encode())])
+    t = np.arange(int(FS * SECONDS)) / FS
+    x = rng.standard_normal(len(t)) * 8 + 12 * np.sin(2 * np.pi * 10 * t + rec)
+    for at, v in zip(t_s % SECONDS, value, strict=True):
+        near = np.abs(t - at)
+        x = x - 1.2 * v * np.exp(-(near**2) / 0.08)
+        if v > 60:
+            x = x + 0.6 * v * np.exp(-(near**2) / 0.2) * np.sin(2 * np.pi * 13 * t)
+    return x
+
+
+def per_channel(df: DataFrame, kernel, schema: str) -> DataFrame:
+    """Apply a kernel (signal -> list of rows) to each channel of each recording."""
+
+    def run(pdf):
+        pdf = pdf.sort_values(["us", "event_id"])
+        rec, ch = pdf["rec"].iloc[0], pdf["ch"].iloc[0]
+        rows = kernel(signal_of(rec, ch, pdf["t_s"].to_numpy(), pdf["value"].to_numpy()))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+        out.insert(0, "ch", ch)
+        out.insert(0, "rec", rec)
+        return out
+
+    return df.select("rec", "ch", "us", "event_id", "t_s", "value").groupBy("rec", "ch").applyInPandas(run, f"rec bigint, ch string, {schema}")
+
+
+def spindle_rows(x: np.ndarray):
+    """Runs of 0.5-2.5 s in which the smoothed envelope of 11-16 Hz is above its 90th percentile."""
+    band = dsp.sosfiltfilt(dsp.butter_sos(4, (11, 16), FS), x)[0]
+    env = dsp.moving_average(np.abs(dsp.analytic(band)), int(0.2 * FS))
+    rows = []
+    for a, b in dsp.true_runs(env > np.percentile(env, 90)):
+        if 0.5 <= (b - a) / FS <= 2.5:
+            rows.append((a / FS, b / FS, (a + int(np.argmax(env[a:b]))) / FS, float(env[a:b].max())))
+    return rows
+
+
+def slow_wave_rows(x: np.ndarray):
+    """0.3-1.5 Hz stays below -40 µV for 0.3-1.5 s; trough, following crest and slope."""
+    s = dsp.sosfiltfilt(dsp.butter_sos(2, (0.3, 1.5), FS), x)[0]
+    rows = []
+    for a, b in dsp.true_runs(s < -40):
+        if 0.3 <= (b - a) / FS <= 1.5:
+            low = a + int(np.argmin(s[a:b]))
+            rise = np.flatnonzero(s[low:] >= 0)
+            if not len(rise):
+                continue
+            zero = low + int(rise[0])
+            crest = float(s[zero: zero + int(FS)].max())
+            rows.append((a / FS, low / FS, zero / FS, float(s[low]), crest - float(s[low]), float(-s[low] / max((zero - low) / FS, 1 / FS))))
+    return rows
+
+
+def burst_rows(x: np.ndarray):
+    """The moving mean of |5-25 Hz| above four MADs over its median for at least half a second."""
+    band = np.abs(dsp.sosfiltfilt(dsp.butter_sos(4, (5, 25), FS), x)[0])
+    env = dsp.moving_average(band, int(0.25 * FS))
+    med = np.median(env)
+    limit = med + 4 * np.median(np.abs(env - med))
+    rows = []
+    for a, b in dsp.true_runs(env > limit):
+        if (b - a) / FS >= 0.5:
+            f = np.fft.rfftfreq(b - a, 1 / FS)
+            p = np.abs(np.fft.rfft(x[a:b] - x[a:b].mean())) ** 2
+            ok = (f >= 1) & (f <= 15)
+            rows.append((a / FS, b / FS, float(f[ok][np.argmax(p[ok])]) if ok.any() else None))
+    return rows
+
+
+def spike_rows(x: np.ndarray):
+    """Peaks of |10-30 Hz| above six MADs or three RMS, at least 80 ms apart."""
+    band = np.abs(dsp.sosfiltfilt(dsp.butter_sos(4, (10, 30), FS), x)[0])
+    mad = np.median(np.abs(band - np.median(band)))
+    at = dsp.find_peaks(band, max(6 * mad, 3 * float(np.sqrt((band**2).mean()))), int(0.08 * FS))
+    return [(i / FS, float(band[i])) for i in at]
+
+
+def band_rows(x: np.ndarray):
+    """Band powers, delta over alpha, peak frequency, and the slope of the log spectrum."""
+    f, p = dsp.welch(x, FS, int(4 * FS))
+    p = p[0]
+    power = {n: float(p[(f >= a) & (f < b)].sum()) for n, a, b in (("delta", 0.5, 4), ("theta", 4, 8), ("alpha", 8, 13), ("beta", 13, 30))}
+    total = sum(power.values())
+    ok = (f >= 4) & (f <= 13)
+    fit = (f >= 2) & (f <= 30) & ((f < 3.5) | (f > 14)) & (p > 0)
+    slope = -np.polyfit(np.log10(f[fit]), np.log10(p[fit]), 1)[0]
+    stage = "N2" if power["alpha"] and np.sqrt(power["delta"] / power["alpha"]) > 3 else "N1" if power["alpha"] and np.sqrt(power["delta"] / power["alpha"]) > 1.5 else "W"
+    return [(*(100 * power[n] / total for n in ("delta", "theta", "alpha", "beta")), power["delta"] / power["alpha"], float(f[ok][np.argmax(p[ok])]), float(slope), stage)]
+
+
+def entropy_rows(x: np.ndarray):
+    """Spectral and sample entropy, Higuchi dimension, Lempel-Ziv complexity."""
+    _, p = dsp.welch(x, FS, 256)
+    q = p[0] / p[0].sum()
+    q = q[q > 0]
+    spectral = float(-(q * np.log2(q)).sum() / np.log2(len(p[0])))
+    y = x[:1000]
+    r = 0.2 * y.std()
+    hits = []
+    for m in (2, 3):
+        e = np.stack([y[i: len(y) - 2 + i] for i in range(m)], axis=1) if m == 3 else np.stack([y[i: len(y) - 2 + i] for i in range(2)], axis=1)
+        near = np.abs(e[:, None, :] - e[None, :, :]).max(axis=2) <= r
+        hits.append((near.sum() - len(e)) / 2)
+    sample = float(-np.log(hits[1] / hits[0])) if hits[0] and hits[1] else None
+    lengths, ks = [], range(1, 9)
+    for k in ks:
+        each = []
+        for m in range(k):
+            z = x[m::k]
+            each.append(np.abs(np.diff(z)).sum() * (len(x) - 1) / ((len(z) - 1) * k) / k)
+        lengths.append(np.mean(each))
+    higuchi = float(np.polyfit(np.log(1 / np.array(ks)), np.log(lengths), 1)[0])
+    bits = (x > np.median(x)).astype(np.int8).tobytes()
+    i, n_words, size = 0, 0, 1
+    while i + size <= len(bits):
+        if bits[i: i + size] in bits[: i + size - 1]:
+            size += 1
+        else:
+            n_words, i, size = n_words + 1, i + size, 1
+    return [(spectral, sample, higuchi, float(n_words * np.log2(len(bits)) / len(bits)))]
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(f.name, 5).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
+
+
+@query("spindles")
+def spindles(spark, d):
+    return _rounded(per_channel(samples(spark, d), spindle_rows, "start_s double, end_s double, peak_s double, amplitude double"))
+
+
+@query("slow_waves")
+def slow_waves(spark, d):
+    return _rounded(per_channel(samples(spark, d), slow_wave_rows, "start_s double, neg_peak_s double, zero_cross_s double, neg_peak_uv double, ptp_uv double, slope_uv_per_s double"))
+
+
+@query("bursts")
+def bursts(spark, d):
+    return _rounded(per_channel(samples(spark, d), burst_rows, "start_s double, end_s double, dominant_hz double"))
+
+
+@query("spikes")
+def spikes(spark, d):
+    return _rounded(per_channel(samples(spark, d), spike_rows, "t_s double, height double"))
+
+
+@query("band_powers")
+def band_powers(spark, d):
+    return _rounded(per_channel(samples(spark, d), band_rows, "delta_pct double, theta_pct double, alpha_pct double, beta_pct double, dar double, peak_hz double, aperiodic double, stage string"))
+
+
+@query("entropies")
+def entropies(spark, d):
+    return _rounded(per_channel(samples(spark, d), entropy_rows, "spectral double, sample double, higuchi double, lempel_ziv double"))
+
+
+def spectra_rows(x: np.ndarray):
+    """Complex spectra of 2 s segments at 8-13 Hz, for connectivity."""
+    n = int(2 * FS)
+    f = np.fft.rfftfreq(n, 1 / FS)
+    ok = np.flatnonzero((f >= 8) & (f < 13))
+    rows = []
+    for seg in range(len(x) // n):
+        s = np.fft.rfft(x[seg * n: (seg + 1) * n] - x[seg * n: (seg + 1) * n].mean())
+        rows += [(seg, int(b), float(s[b].real), float(s[b].imag)) for b in ok]
+    return rows
+
+
+@query("wpli")
+def wpli(spark, d):
+    """Debiased weighted phase lag index of channel pairs; the sums over segments and bins are Spark's."""
+    s = per_channel(samples(spark, d), spectra_rows, "seg int, bin int, re double, im double")
+    a, b = s.alias("a"), s.alias("b")
+    p = a.join(b, (F.col("a.rec") == F.col("b.rec")) & (F.col("a.seg") == F.col("b.seg")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.ch") < F.col("b.ch")))
+    im = F.col("a.im") * F.col("b.re") - F.col("a.re") * F.col("b.im")
+    g = p.groupBy(F.col("a.rec").alias("rec"), F.col("a.ch").alias("ch_i"), F.col("b.ch").alias("ch_j")).agg(
+        F.sum(im).alias("s"), F.sum(im * im).alias("q"), F.sum(F.abs(im)).alias("m"))
+    w = (F.col("s") ** 2 - F.col("q")) / F.when(F.col("m") ** 2 > F.col("q"), F.col("m") ** 2 - F.col("q"))
+    return g.select("rec", "ch_i", "ch_j", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), w)), 5).alias("w"))
+
+
+@query("graph_metrics")
+def graph_metrics(spark, d):
+    """Strength, path length and efficiency of each recording's weighted graph (a few channels, one group)."""
+    e = wpli(spark, d).where("w > 0")
+
+    def run(pdf):
+        names = sorted(set(pdf.ch_i) | set(pdf.ch_j))
+        at = {c: i for i, c in enumerate(names)}
+        dist = np.full((len(names), len(names)), np.inf)
+        np.fill_diagonal(dist, 0)
+        for i, j, w in zip(pdf.ch_i, pdf.ch_j, pdf.w, strict=True):
+            dist[at[i], at[j]] = dist[at[j], at[i]] = 1 / w
+        for k in range(len(names)):
+            dist = np.minimum(dist, dist[:, k: k + 1] + dist[k: k + 1, :])
+        off = ~np.eye(len(names), dtype=bool)
+        ok = off & np.isfinite(dist)
+        return pd.DataFrame({"rec": [pdf.rec.iloc[0]], "strength": [2 * pdf.w.sum() / len(names)], "path_length": [dist[ok].mean()],
+                             "efficiency": [(1 / dist[ok]).sum() / off.sum()]})
+
+    return _rounded(e.groupBy("rec").applyInPandas(run, "rec bigint, strength double, path_length double, efficiency double"))
+
+
+@query("microstates")
+def microstates(spark, d):
+    """Polarity-free k-means of the topographies at maxima of the global field, per recording."""
+    wide = samples(spark, d).select("rec", "ch", "us", "event_id", "t_s", "value")
+
+    def run(pdf):
+        pdf = pdf.sort_values(["ch", "us", "event_id"])
+        chans = [(c, g) for c, g in pdf.groupby("ch")]
+        rec = pdf["rec"].iloc[0]
+        cols = ["rec", "state", "coverage_pct", "mean_ms", "per_s"]
+        if len(chans) < 3:
+            return pd.DataFrame(columns=cols)
+        x = np.stack([signal_of(rec, c, g["t_s"].to_numpy(), g["value"].to_numpy()) for c, g in chans])
+        x = x - x.mean(axis=0)
+        gfp = x.std(axis=0)
+        at = dsp.find_peaks(gfp, 0.0, 2)
+        maps = x[:, at].T / np.linalg.norm(x[:, at], axis=0)[:, None]
+        k, best = min(4, len(maps)), None
+        for init in range(5):
+            rng = np.random.default_rng([42, init])
+            c = maps[rng.choice(len(maps), k, replace=False)]
+            for _ in range(30):
+                lab = np.abs(maps @ c.T).argmax(axis=1)
+                c = np.stack([np.linalg.svd(maps[lab == j], full_matrices=False)[2][0] if (lab == j).any() else c[j] for j in range(k)])
+            fit = (np.abs(maps @ c.T).max(axis=1) ** 2).mean()
+            if best is None or fit > best[0] + 1e-12:
+                best = (fit, c)
+        state = np.abs((x / np.maximum(np.linalg.norm(x, axis=0), 1e-12)).T @ best[1].T).argmax(axis=1)
+        order = np.argsort(-np.bincount(state, minlength=k), kind="stable")
+        rows = []
+        for name, j in zip("ABCD", order, strict=False):
+            runs = dsp.true_runs(state == j)
+            mean = float((runs[:, 1] - runs[:, 0]).mean() / FS * 1000) if len(runs) else 0.0
+            rows.append((rec, name, float((state == j).mean() * 100), mean, len(runs) / SECONDS))
+        return pd.DataFrame(rows, columns=cols)
+
+    return _rounded(wide.groupBy("rec").applyInPandas(run, "rec bigint, state string, coverage_pct double, mean_ms double, per_s double"))
