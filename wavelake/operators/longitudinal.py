@@ -32,9 +32,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 4)
     """keys, n, rho: rank correlation with mean ranks for ties; null under ``least`` pairs or without variance."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(pairs, keys, x, "_rx"), keys, y, "_ry")
-    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("r"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy"))
+    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_rx", "_ry").alias("c"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy"))
     fine = (F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0)
-    return out.select(*keys, "n", F.when(fine, F.col("r")).alias("rho"))
+    return out.select(*keys, "n", F.when(fine, F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))).alias("rho"))
 
 
 def permutation_p(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 8, draws: int = 20_000) -> DataFrame:
