@@ -360,10 +360,11 @@ def remove_repeats(df: DataFrame, width: int = 400, as_text: bool = False) -> Da
     UTF-8 bytes, a null is empty, matches never cross texts; what is left of a text may end inside
     a character, so it is binary (as text, the bytes of such a character are left out). Rows that are copies of each other repeat each other, with equal
     doc_id or not; null ids take part. An empty table stays empty; df needs doc_id and text, and
-    the added names must be free.
+    columns of the added names are replaced.
     """
     import pyarrow as pa
 
+    df = df.drop("n_bytes", "n_removed", "n_spans", "kept", "z", "spans")
     scratch = Scratch(df.sparkSession, "repeats")
     keyed = df.withColumn("_th", F.xxhash64("text"))
     spans = repeated_spans(keyed.select("doc_id", F.col("_th").alias("th"), "text"), width, scratch)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def encode_documents(df: DataFrame, model: str, text: str = "text", decoded: boo
     """Add ``n_tokens``, ``ids_u32`` (little-endian unsigned 32-bit ids, begin and end included) and,
     if asked, ``decoded``, the text that the ids decode to.
 
-    Rows keep all their columns, which must not have these names. A null or empty text has the
+    Rows keep all their other columns; columns of these names are replaced. A null or empty text has the
     begin and end ids only and decodes to an empty text. Repeated rows stay repeated; an empty
     table gives an empty table. ``model`` is a path that every executor can open.
     """
@@ -117,8 +118,6 @@ def encode_documents(df: DataFrame, model: str, text: str = "text", decoded: boo
 
 def ids_array(packed: str = "ids_u32"):
     """The ids as an array column, for users who need numbers rather than packed bytes."""
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def unpack(col: pd.Series) -> pd.Series:
         import numpy as np
@@ -130,8 +129,6 @@ def ids_array(packed: str = "ids_u32"):
 
 def decode_ids(model: str, column: str = "ids_u32"):
     """Column of texts decoded by the library itself from packed ids."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(col: pd.Series) -> pd.Series:
         import numpy as np

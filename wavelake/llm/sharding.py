@@ -40,9 +40,10 @@ def assign_shards(df: DataFrame, limit_bytes: int, key: str = "doc_id", payload:
     rows that share a key but not a payload can be told apart; null keys hash as an empty text.
     Rows alike in both are indistinguishable for hashing: when they alone exceed the limit they
     are dealt to numbered pages of the leaf. A single row above the limit has a shard of its own,
-    marked oversized. An empty table gives an empty table; the added names must be free.
+    marked oversized. An empty table gives an empty table; columns of the added names are replaced.
     Only built-in expressions are used.
     """
+    df = df.drop("n_bytes", "shard", "depth", "shard_bytes", "oversized")
     rows = df.withColumn("n_bytes", F.coalesce(F.octet_length(payload), F.lit(0)).cast("bigint")).withColumn(
         "_h", key_hash(F.col(key), F.md5(F.coalesce(F.col(payload), F.lit("")))))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0

@@ -137,18 +137,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: float =
     q_blocks = max(1, -(-quer.count() // QUERY_BLOCK))
     dims = F.size("v").alias("dim")
     cand = cand.select("id", "v", dims, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-    quer = quer.select("id", "v", dims, F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("cb"))
+    quer = quer.select("id", "v", dims, F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("cb"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         def side(t):
             ids = t.column("id").to_numpy()
-            flat = np.concatenate([np.asarray(c.flatten()) for c in t.column("v").chunks]) if len(t) else np.empty(0)
+            flat = np.concatenate([np.asarray(c.flatten()) for c in t.column("v").chunks])
             return ids.astype(np.int64), flat.reshape(len(ids), -1)
 
+        if not len(left) or not len(right):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         (qi, q), (xi, x) = side(left), side(right)
         order, by = np.argsort(qi, kind="stable"), np.argsort(xi, kind="stable")
-        if not len(qi) or not len(xi):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         found = Search(q[order], qi[order], x[by], xi[by], k)
         hit = np.isfinite(found.score)
         return pa.table({"query_id": np.broadcast_to(qi[order][:, None], hit.shape)[hit], "vec_id": found.best[hit],
