@@ -70,7 +70,7 @@ class Scratch:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) for every node of the edges (a, b); comp is the smallest node that can be reached.
 
-    Alternates the large-star and small-star steps until the edge set is stable. Each step is a
+    Alternates the large-star and small-star steps until the edges are stars. Each step is a
     grouped minimum (combined before its shuffle) joined back on the same key, so a node with very
     many neighbours is a skewed join, which adaptive execution splits.
     """
@@ -78,24 +78,20 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
-    def state(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 30))).first())
-
-    seen = state(cur)
     while True:
         sym = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = sym.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = sym.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         nxt = scratch.save(small, "edges")
-        now = state(nxt)
         scratch.drop(cur)
         cur = nxt
-        if now == seen:
+        # done when each node points at one other that points at none
+        again = cur.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        if again.where("n > 1").isEmpty() and cur.join(cur.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
-        seen = now
     comp = cur.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return comp.unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct())
 

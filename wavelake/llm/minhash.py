@@ -5,7 +5,10 @@ keeps its least value, and rounds go on until no bin is empty (from round t on,
 bin i - t, so 2 t rounds always do). Equal coordinates then estimate the Jaccard similarity with
 the concentration of t independent minima, in time near |set| + t log t.
 
-Bands of coordinates propose pairs; full shingle sets decide.
+Bands of two coordinates propose pairs; full shingle sets decide. A pair at similarity 0.75 agrees on
+fewer than 18 of 64 bands with probability 4e-6, and two texts that agree on 18 bands share one of
+the 47 rarest bands of either. Only those are looked at: bands that lie in a passage of very many
+texts stay out of it unless the passage makes up half of a text.
 """
 
 from __future__ import annotations
@@ -20,9 +23,13 @@ from .common import Scratch, U, Rolling, connected_components, mix, pieces, text
 
 SHINGLE = 5
 BINS = 128
-BANDS = 32
+BANDS = 64
 ROWS = BINS // BANDS
-#: A pair at similarity 0.75 is missed by all bands with probability (1 - 0.75**4)**32 = 5e-6.
+#: Bands that two linked texts agree on at least, and the rarest bands that are therefore enough.
+AGREE = 18
+RAREST = BANDS - AGREE + 1
+#: Orders in which a bucket's first lead is chosen: a group of near copies, alike in most bands, meets about so many leads.
+LEADS = 8
 CHUNK = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -99,7 +106,7 @@ def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
 
 def _bands(sketch: np.ndarray) -> np.ndarray:
     s = sketch.reshape(len(sketch), BANDS, ROWS)
-    h = np.zeros((len(sketch), BANDS), np.uint64)
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) << U(32), (len(sketch), BANDS)).copy()
     for j in range(ROWS):
         h = mix((h ^ s[:, :, j]) * U(0x9E3779B97F4A7C15) + U(j + 1))
     return h.view(np.int64)
@@ -177,8 +184,68 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of (doc_id, text).
+def _buckets(classes: DataFrame) -> DataFrame:
+    """band, sid: the bands of a set that other sets share, among its rarest RAREST."""
+    rows = classes.select("h", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mine = rows.join(shared, "band").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "band"))).alias("of"))
+    # bands of no other set are the rarest; a set with RAREST of them has no partner
+    left = F.size("of") - (BANDS - RAREST)
+    mine = mine.where(left > 0).select("h", F.explode(F.slice("of", F.lit(1), left)).alias("x"))
+    return mine.select("h", F.col("x.band").alias("band")).join(classes.select("h", "sid"), "h").select("band", "sid")
+
+
+def _stars(buckets: DataFrame, lead: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's lead."""
+    return buckets.join(lead, "band").where("sid <> lead").select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b"))
+
+
+def _apart(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """band, sid, comp of the buckets that hold several components."""
+    named = buckets.join(comps, F.col("sid") == F.col("node"), "left").select("band", "sid", F.coalesce("comp", "sid").alias("comp"))
+    split = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return named.join(split.select("band"), "band")
+
+
+def _close_pairs(apart: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets (sid, comp, n) of different components that may reach the similarity: all
+    that do, and few others.
+
+    With its shingles in order of rarity, a set of n shares one of its first n - ceil(t n) + 1 with one of the
+    first m - ceil(2 t m / (1 + t)) + 1 of any smaller set of m at similarity t; shingles of no other set are
+    rarest of all, so a set with many of its own drops out, however many sets resemble it from afar."""
+    import pyarrow as pa
+
+    def run(batches):
+        import zstandard
+
+        shingles, unpress = Shingles(), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for sid, z in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("sid", "z")), strict=True):
+                data = np.frombuffer(unpress.decompress(z.as_py()), np.uint8)
+                x = shingles.chunk(data, np.array([0, len(data)]))[0]
+                yield pa.RecordBatch.from_arrays([pa.array([sid.as_py()], pa.binary()).take(pa.array(np.zeros(len(x), np.int64))), pa.array(x.view(np.int64))], ["sid", "w"])
+
+    rows = texts.join(apart.select("sid"), "sid", "left_semi").select("sid", "z").mapInArrow(run, "sid binary, w bigint")
+    shared = rows.groupBy("w").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    of = rows.join(shared, "w").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("of"))
+    of = of.join(apart, "sid").withColumn("own", F.col("n") - F.size("of"))
+    t = percent / 100
+    probe, index = (F.col("n") - F.ceil(F.col("n") * F.lit(r) - F.lit(1e-9)) + 1 for r in (t, 2 * t / (1 + t)))
+    of = of.select("sid", "comp", "n", "own", index.alias("index"), F.slice("of", F.lit(1), F.greatest(F.lit(0), probe - F.col("own")).cast("int")).alias("of"))
+    heads = of.select("sid", "comp", "n", "own", "index", F.posexplode("of").alias("i", "x")).select(
+        "sid", "comp", "n", "index", F.col("x.w").alias("w"), (F.col("own") + F.col("i")).alias("at"))
+    x, y = heads.alias("x"), heads.where("at < index").alias("y")
+    order = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sid") > F.col("y.sid")))
+    need = F.lit(t / (1 + t)) * (F.col("x.n") + F.col("y.n")) - F.lit(1e-9)
+    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    close = (F.col("y.n") >= F.col("x.n") * F.lit(t) - F.lit(1e-9)) & (room >= need)
+    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.comp") != F.col("y.comp")) & order & close)
+    return pairs.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct()
+
+
+def _grouped(df: DataFrame, percent: int) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, component_th for every row of (doc_id, text).
 
     Words are runs of bytes other than space and 0x09-0x0D after lower-casing A-Z; a text's set
     holds its distinct shingles of five words, or the whole sequence if it has fewer. Two texts are
@@ -188,9 +255,9 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> DataFrame:
     are one node from the start, whatever their number, and repeated rows likewise; a null doc_id
     takes part and counts as larger than any other. An empty table gives an empty table.
 
-    In a band's bucket every text is first compared with one of them, the bucket's smallest; then,
-    in buckets that still hold several components, all pairs of different components are compared.
-    Pairs that links already join are never listed, so a bucket of many near copies stays linear.
+    In a band's bucket every text is first compared with one of them, then with its text of most links;
+    where a bucket then still holds several components, its texts are compared in pairs of different components whose rarest shingles meet. Pairs that
+    links already join are never listed, so a bucket of many near copies stays linear.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -199,37 +266,57 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> DataFrame:
     classes = found.where("sid is not null").groupBy("sid").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep"),
         F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    members = scratch.save(classes.select("sid", "n", "rep.doc_id", "rep.th", F.posexplode("bands").alias("band", "hash")), "bands")
-    lead = members.groupBy("band", "hash").agg(F.min("sid").alias("b"), F.max("sid").alias("top")).where("b <> top").drop("top")
-    crowded = members.join(lead, ["band", "hash"])
-    fits = lambda x, y: F.least(x, y) * 100 >= percent * F.greatest(x, y)  # noqa: E731  no set can share more than the smaller has
-    stars = scratch.save(crowded.where("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "stars")
-    needed = crowded.select("sid", "doc_id", "th").distinct()
+    classes = scratch.save(classes.select("sid", F.xxhash64("sid").alias("h"), "n", "rep.doc_id", "rep.th", "bands"), "classes")
+    buckets = scratch.save(_buckets(classes), "buckets")
+    needed = buckets.select("sid").distinct().join(classes.select("sid", "doc_id", "th"), "sid")
     source = df.select("doc_id", F.xxhash64("text").alias("th"), "text")
     texts = _packed(source).alias("t").join(
         needed.alias("k"), F.col("t.th").eqNullSafe(F.col("k.th")) & F.col("t.doc_id").eqNullSafe(F.col("k.doc_id")))
     texts = scratch.save(texts.select("k.sid", "t.z"), "texts")
-    links = scratch.save(_verify(stars, texts, percent).distinct(), "links")
+
+    # one text of each bucket against the others, first any and then the one of most links
+    lead = buckets.groupBy("band").agg(F.max_by("sid", F.xxhash64(F.pmod("band", F.lit(LEADS)), "sid")).alias("lead"))
+    stars = scratch.save(_stars(buckets, lead).distinct(), "stars")
+    links = scratch.save(_verify(stars, texts, percent), "links")
+    both = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
+    weight = F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("sid"))
+    lead = buckets.join(both, "sid", "left").groupBy("band").agg(F.max_by("sid", weight).alias("lead"))
+    hubs = scratch.save(_stars(buckets, lead).distinct().join(stars, ["a", "b"], "left_anti"), "hubs")
+    tested = stars.unionByName(hubs)
+    links = scratch.save(links.unionByName(_verify(hubs, texts, percent)), "links")
     comps = scratch.save(connected_components(links, scratch), "components")
 
-    # what the first comparisons left apart: pairs of a bucket's different components
-    named = (crowded.select("band", "hash", "sid", "n").join(comps, F.col("sid") == F.col("node"), "left")
-             .select("band", "hash", "sid", "n", F.coalesce("comp", "sid").alias("comp")))
-    split = named.groupBy("band", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    apart = scratch.save(named.join(split.select("band", "hash"), ["band", "hash"], "left_semi"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    cross = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.comp") < F.col("y.comp")))
-             .where(fits(F.col("x.n"), F.col("y.n")))
-             .select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct()
-             .join(stars, ["a", "b"], "left_anti"))
-    more = scratch.save(_verify(cross, texts, percent).distinct(), "links")
+    # what is still apart: the rarest shingles of the sets themselves rule out all but a few pairs
+    apart = _apart(buckets, comps).select("sid", "comp").distinct().join(classes.select("sid", "n"), "sid")
+    cross = scratch.save(_close_pairs(scratch.save(apart, "apart"), texts, percent), "pairs").join(tested, ["a", "b"], "left_anti")
+    more = scratch.save(_verify(cross, texts, percent), "links")
     if not more.isEmpty():
         comps = scratch.save(connected_components(links.unionByName(more), scratch), "components")
-    scratch.drop(texts)
-    scratch.drop(members)
+    for done in (texts, buckets, classes):
+        scratch.drop(done)
 
     named = rows.join(comps, F.col("sid") == F.col("node"), "left").withColumn("group", F.coalesce("comp", "sid"))
-    least = named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "group", "left").withColumn(
-        "component_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    least = named.where("group is not null").groupBy("group").agg(F.min(key).alias("first"))
+    out = named.join(least, "group", "left").withColumn("first", F.coalesce("first", key))
+    return out.select("doc_id", "th", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first.th").alias("component_th"))
+
+
+def near_duplicates(df: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of (doc_id, text); see ``_grouped``.
+
+    Repeated rows of the smallest doc_id are all marked kept; ``drop_near_duplicates`` keeps one."""
+    out = _grouped(df, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of df (doc_id, text and any others) without near copies: one row of each component,
+    that of the smallest doc_id (and of several texts with that id, one by hash). Texts without words all stay."""
+    found = _grouped(df.select("doc_id", "text"), percent)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("th").eqNullSafe(F.col("component_th")))
+    keep = keep.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg((F.count(F.lit(1)) > 1).alias("_again"))
+    rows = df.withColumn("_th", F.xxhash64("text"))
+    rows = rows.join(keep, F.col("_th").eqNullSafe(F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    again = rows.where("_again").dropDuplicates(["_th", "doc_id"])  # rows that are copies in all but other columns
+    return rows.where("not _again").unionByName(again).select(*df.columns)
