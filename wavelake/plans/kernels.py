@@ -116,7 +116,7 @@ def entropy_rows(x: np.ndarray):
     q = p[0] / p[0].sum()
     q = q[q > 0]
     spectral = float(-(q * np.log2(q)).sum() / np.log2(len(p[0])))
-    y = x[:1000]
+    y = x[:600]
     r = 0.2 * y.std()
     hits = []
     for m in (2, 3):
