@@ -155,6 +155,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: float =
                          "score": found.score[hit].astype(np.int64)})
 
     keys = ["dim", "qb", "cb"]
+    # groups are small in bytes and large in work: a stated count keeps them from being merged into few tasks
+    session = queries.sparkSession
+    tasks = min(2 * blocks * q_blocks, max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism))
+    quer, cand = quer.repartition(tasks, *keys), cand.repartition(tasks, *keys)
     part = quer.groupBy(*keys).cogroup(cand.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
