@@ -97,6 +97,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert write_archives(df.limit(0), f"file://{tmp_path}/e").count() == 0 and read_archives(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_archive_keeps_each_payload_of_a_repeated_id(spark, tmp_path):
+    rows = [(1, "u", "shared"), (1, "u", "only here"), (2, "u", "shared"), (3, "u", "other"), (3, "v", "shared too"), (4, "v", "shared too")]
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = sorted((r.page_id, r.record_type, bytes(r.payload).decode(), r.refers_to or 0) for r in read_archives(spark, f"file://{tmp_path}/w").collect())
+    assert got == [(1, "response", "only here", 0), (1, "revisit", "", 2), (2, "response", "shared", 0), (3, "response", "other", 0), (3, "revisit", "", 4), (4, "response", "shared too", 0)]
+
+
 def test_blocks_of_pages():
     main = lambda h: [t for k, t in blocks_of(h) if k == "main"]
     assert main("<nav>m</nav><article><header><h1>T</h1></header><p>a &amp;amp; b<br>c  d<div class='ad'>x</div>e<aside>q</aside><footer>f</footer></article><footer>z</footer>") == ["T", "a &amp; b", "c d", "e"]

@@ -85,9 +85,10 @@ def plan_records(df: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame
     so a group of any number of copies does not meet in one task."""
     rows = df.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("_key", F.sha2(F.encode("html", "UTF-8"), 256))
     groups = rows.where(F.octet_length("html") >= revisit_bytes).groupBy("_key").agg(F.max("page_id").alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    joined = rows.select("page_id", "_key").join(groups, "_key").select(F.col("page_id").alias("_p"), F.col("_top").alias("refers_to")).where(
+    joined = rows.select("page_id", "_key").join(groups, "_key").select(F.col("page_id").alias("_p"), F.col("_key").alias("_k"), F.col("_top").alias("refers_to")).where(
         "_p <> refers_to").distinct()
-    return rows.drop("_key").join(joined, F.col("page_id") == F.col("_p"), "left").drop("_p")
+    # by payload as well as id: rows may share an id and differ in html
+    return rows.join(joined, (F.col("page_id") == F.col("_p")) & (F.col("_key") == F.col("_k")), "left").drop("_key", "_p", "_k")
 
 
 def write_archives(df: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
