@@ -39,6 +39,26 @@ def test_every_shard_fits_and_splits_only_when_it_must(spark):
     assert sharding.assign_shards(df.limit(0), 2000).count() == 0
 
 
+def test_alike_rows_stay_when_branches_of_the_plan_are_partitioned_differently(spark):
+    rows = [(g, "same" * 50 + str(g), str(g) * 2000) for g in range(40) for _ in range(30)]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+            "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+        got = sharding.assign_shards(df, 2000).collect()
+        sizes = collections.Counter()
+        for r in got:
+            sizes[r.shard] += r.n_bytes
+        assert collections.Counter((r.doc_id, r.text, r.extra) for r in got) == collections.Counter(rows)
+        assert all(sizes[r.shard] == r.shard_bytes <= 2000 and not r.oversized for r in got)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_written_shards_hold_all_rows(spark, tmp_path):
     df = spark.createDataFrame([(i, "t" * i) for i in range(100)], "doc_id long, text string")
     out = sharding.write_shards(df, str(tmp_path / "s"), 900)

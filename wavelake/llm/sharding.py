@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import Scratch
+
 #: Bits of the key hash (15 hexadecimal digits of an MD5 sum).
 BITS = 60
 #: Directory cells to start from, as a power of two over the shards that the total would fill.
@@ -58,8 +60,9 @@ def assign_shards(df: DataFrame, limit_bytes: int, key: str = "doc_id", payload:
               .groupBy(F.col("_h").alias("h")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n")))
     deep = _leaf_depths(inside, min(bits + 1, BITS), BITS, limit_bytes)
     # what no number of bits can divide: one long row, or rows alike in key and payload
-    stuck = (inside.join(deep, "h", "left_anti")
-             .select("h", "n", (F.col("bytes") / F.col("n")).cast("bigint").alias("each"), "bytes"))
+    scratch = Scratch(df.sparkSession, "shards")
+    stuck = scratch.save(inside.join(deep, "h", "left_anti")
+                         .select("h", "n", (F.col("bytes") / F.col("n")).cast("bigint").alias("each"), "bytes"), "stuck")
 
     out = (rows.join(coarse.select(F.col("h").alias("_cell"), F.col("depth").alias("_d1")), "_cell", "left")
            .join(deep.select(F.col("h").alias("_h"), F.col("depth").alias("_d2")), "_h", "left")
@@ -68,15 +71,19 @@ def assign_shards(df: DataFrame, limit_bytes: int, key: str = "doc_id", payload:
     bucket = F.substring(F.lpad(F.bin("_h"), BITS, "0"), F.lit(1), F.col("depth"))
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.col("_each")))
 
-    # pages: the rows alike are numbered in two steps, within the partition that read them and over those
-    alike = out.where("_each is not null and _n > 1").withColumn("_part", F.spark_partition_id())
-    before = alike.groupBy("_h", "_part").agg(F.count(F.lit(1)).alias("_c")).withColumn(
-        "_before", F.sum("_c").over(W.partitionBy("_h").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).drop("_c")
-    alike = alike.join(before, ["_h", "_part"]).withColumn(
-        "_i", F.row_number().over(W.partitionBy("_h", "_part").orderBy("_part")) - 1 + F.coalesce("_before", F.lit(0)))
-    alike = alike.withColumn("shard", F.concat(bucket, F.lit("."), F.floor(F.col("_i") / per_page).cast("string")))
     rest = out.where("_each is null or _n = 1").withColumn("shard", bucket)
-    out = rest.unionByName(alike, allowMissingColumns=True)
+    if stuck.where("n > 1").isEmpty():
+        out = rest
+    else:
+        # pages: the rows alike are numbered in two steps, within the partition that wrote them and over those;
+        # they are stored with its number, for each branch of the plan would number partitions anew
+        alike = scratch.save(out.where("_each is not null and _n > 1").withColumn("_part", F.spark_partition_id()), "alike")
+        before = alike.groupBy("_h", "_part").agg(F.count(F.lit(1)).alias("_c")).withColumn(
+            "_before", F.sum("_c").over(W.partitionBy("_h").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).drop("_c")
+        alike = alike.join(before, ["_h", "_part"], "left").withColumn(
+            "_i", F.row_number().over(W.partitionBy("_h", "_part").orderBy("_part")) - 1 + F.coalesce("_before", F.lit(0)))
+        alike = alike.withColumn("shard", F.concat(bucket, F.lit("."), F.floor(F.col("_i") / per_page).cast("string")))
+        out = rest.unionByName(alike, allowMissingColumns=True)
     size = out.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
     return (out.join(size, "shard").withColumn("oversized", F.col("shard_bytes") > limit_bytes)
             .select(*df.columns, "n_bytes", "shard", "depth", "shard_bytes", "oversized"))
