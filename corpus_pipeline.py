@@ -21,6 +21,8 @@ from wavelake.llm.repeats import pack_texts, remove_repeats, unpack_texts
 from wavelake.llm.sentencepiece_codec import encode_documents
 
 
+#: Words of a passage that may not repeat; passages of short words are under op8's REPEAT_BYTES.
+PASSAGE_WORDS = 51
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -56,10 +58,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @carrying
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur more than once; n_chars follows the text.
+    """All documents, without the passages of over 50 words or of 400 bytes that occur more than once; n_chars follows the text.
 
     A document that loses everything stays as an empty text (the mix then takes no words of it)."""
-    out = remove_repeats(docs, REPEAT_BYTES, as_text=True).withColumn("text", F.col("kept"))
+    out = remove_repeats(docs, REPEAT_BYTES, as_text=True, words=PASSAGE_WORDS).withColumn("text", F.col("kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

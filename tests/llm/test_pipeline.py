@@ -49,3 +49,23 @@ def test_stages(spark, corpus, tmp_path):
     assert ids("mix") <= ids("near_dedup") and len(seen["encode"]) == len(seen["mix"])
     assert all(r.size == (None if r.doc_id is None else r.doc_id % 7) and r.kept == r.lang and r._th == "x" for r in seen["mix"])
     assert p.run(spark, d).count() == len(seen["encode"])
+
+
+def test_short_words_repeat_too(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqé") for _ in range(rng.randrange(2, 5)))
+    text = lambda n: [word() for _ in range(n)]
+    rows, want = [], {}
+    for n in (50, *range(51, 61)):
+        passage = text(n)
+        for k in range(2):
+            head, tail = text(30), text(30)
+            i = 2 * n + k
+            rows.append((i, "  ".join([*head, *passage]) + "\n" + " ".join(tail) if k else " ".join([*head, *passage, *tail])))
+            want[i] = head + (passage if n == 50 else []) + tail
+            assert len(" ".join(passage).encode()) < 400
+    rows.append((None, None))
+    got = p.passage_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id: r.text.split() for r in got} == want | {None: []}

@@ -17,7 +17,9 @@ all but that many of their bytes, and those bytes become the key.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,6 +35,8 @@ PART = 1 << 22
 CROWD = 256
 #: Bytes of segments in one suffix array.
 ARRAY_BYTES = 1 << 20
+#: Letters that stand for a word where repeats are counted in words.
+WORD = 8
 
 
 class Anchors:
@@ -352,11 +356,48 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], top[np.append(at[1:] - 1, len(spans) - 1)]], axis=1)
 
 
-def remove_repeats(df: DataFrame, width: int = 400, as_text: bool = False) -> DataFrame:
+def _name_words(df: DataFrame) -> DataFrame:
+    """(doc_id, th, text) with ``WORD`` letters of a hash in place of each word of the text."""
+    import pyarrow as pa
+
+    kept = ["doc_id", "th"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields), "text string"])
+
+    def run(batches):
+        names: dict[str, str] = {}
+        for batch in batches:
+            texts, first, size = [], 0, 0
+            for i, x in enumerate(batch.column(batch.schema.get_field_index("text"))):
+                words = (x.as_py() or "").split()
+                for w in words:
+                    if w not in names:
+                        names[w] = base64.b64encode(hashlib.blake2b(w.encode(), digest_size=WORD * 3 // 4).digest()).decode()
+                texts.append("".join(map(names.__getitem__, words)))
+                size += len(texts[-1])
+                if len(names) > 400_000:
+                    names.clear()
+                if size > 4 << 20 or i == len(batch) - 1:
+                    n = i + 1 - first
+                    yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(first, n) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
+                    texts, first, size = [], i + 1, 0
+
+    return df.select(*kept, "text").mapInArrow(run, schema)
+
+
+def _bytes_of_words(text: bytes, spans: np.ndarray) -> np.ndarray:
+    """Byte ranges of a text for ranges in the letters that stand for its words."""
+    at = np.array([m.span() for m in re.finditer(r"\S+", text.decode())]).reshape(-1, 2)
+    begin = np.append(np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80), len(text))  # byte of each character
+    lo, hi = -(-spans[:, 0] // WORD), spans[:, 1] // WORD
+    return np.stack([begin[at[lo, 0]], begin[at[hi - 1, 1]]], axis=1)
+
+
+def remove_repeats(df: DataFrame, width: int = 400, as_text: bool = False, words: int | None = None) -> DataFrame:
     """Every row of df with n_bytes, n_removed, n_spans and kept (the remaining bytes).
 
     A byte of a text goes if a string of ``width`` bytes over it also starts at another place, in
-    the same text or another; all occurrences go, and strings are judged on the input. Texts are
+    the same text or another; all occurrences go, and strings are judged on the input. With ``words``
+so do runs of that many words that occur at another place, whatever white space is between them and however short they are. Texts are
     UTF-8 bytes, a null is empty, matches never cross texts; what is left of a text may end inside
     a character, so it is binary (as text, the bytes of such a character are left out). Rows that are copies of each other repeat each other, with equal
     doc_id or not; null ids take part. An empty table stays empty; df needs doc_id and text, and
@@ -364,14 +405,19 @@ def remove_repeats(df: DataFrame, width: int = 400, as_text: bool = False) -> Da
     """
     import pyarrow as pa
 
-    df = df.drop("n_bytes", "n_removed", "n_spans", "kept", "z", "spans")
+    df = df.drop("n_bytes", "n_removed", "n_spans", "kept", "z", "spans", "in_words")
     scratch = Scratch(df.sparkSession, "repeats")
     keyed = df.withColumn("_th", F.xxhash64("text"))
-    spans = repeated_spans(keyed.select("doc_id", F.col("_th").alias("th"), "text"), width, scratch)
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
+    texts = keyed.select("doc_id", F.col("_th").alias("th"), "text")
+    spans = repeated_spans(texts, width, scratch).withColumn("in_words", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
+    if words is not None:
+        runs = repeated_spans(_name_words(texts), words * WORD, scratch).withColumnRenamed("spans", "in_words")
+        spans = spans.drop("in_words").unionByName(runs, allowMissingColumns=True).groupBy("doc_id", "th").agg(
+            *[F.first(c, ignorenulls=True).alias(c) for c in ("spans", "in_words")])
+    spans = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans", "in_words")
     rest = [c for c in df.columns if c != "text"]
     packed = pack_texts(keyed.select(*rest, "_th", "text"))
-    joined = packed.join(spans, F.col("_th").eqNullSafe(F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(*rest, "z", "spans")
+    joined = packed.join(spans, F.col("_th").eqNullSafe(F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(*rest, "z", "spans", "in_words")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields),
                         "n_bytes bigint, n_removed bigint, n_spans bigint", "kept string" if as_text else "kept binary"])
 
@@ -380,7 +426,7 @@ def remove_repeats(df: DataFrame, width: int = 400, as_text: bool = False) -> Da
 
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            z, found = (batch.column(batch.schema.get_field_index(c)) for c in ("z", "spans"))
+            z, found, found_words = (batch.column(batch.schema.get_field_index(c)) for c in ("z", "spans", "in_words"))
             done, first, size = [], 0, 0
 
             def flush(upto):
@@ -391,10 +437,12 @@ def remove_repeats(df: DataFrame, width: int = 400, as_text: bool = False) -> Da
 
             for i in range(len(batch)):
                 text = unpress.decompress(z[i].as_py())
-                got = found[i]
-                if got.is_valid:
-                    v = got.values
-                    cut = merge_spans(np.stack([v.field(0).to_numpy(), v.field(1).to_numpy()], axis=1))
+                got = [np.stack([v.field(0).to_numpy(), v.field(1).to_numpy()], axis=1) if x.is_valid and len(v := x.values) else None
+                       for x in (found[i], found_words[i])]
+                if got[1] is not None:
+                    got[1] = _bytes_of_words(text, got[1])
+                if any(x is not None for x in got):
+                    cut = merge_spans(np.concatenate([x for x in got if x is not None]))
                     ends = [0, *cut[:, 1].tolist()]
                     left = b"".join(text[a:b] for a, b in zip(ends, [*cut[:, 0].tolist(), len(text)], strict=True))
                     done.append((len(text), len(text) - len(left), len(cut), left.decode("utf-8", "ignore") if as_text else left))
