@@ -144,6 +144,15 @@ def test_text_without_a_marked_article_loses_what_pages_of_its_host_share(spark)
     assert got[10] == "" and got[12] == "A" and "Home page link" in got[11]
 
 
+def test_article_tags_without_an_article_leave_the_shared_strings_to_the_suffix_array(spark):
+    footer = "<p>All rights reserved by the company of this host, two thousand and more.</p>"
+    decoys = ["<!-- <article> -->", "<script>'<main>'</script>", "<article class='comment'><p>reader {i}</p></article>", "<article></article>"]
+    rows = [(10 * k + i, f"http://h{k}.com/{i}", f"<div><p>Unique text {i} with words w{i * 7}.</p></div>{decoy.replace('{i}', str(i))}{footer}") for k, decoy in enumerate(decoys) for i in range(4)]
+    rows += [(99, "http://h0.com/z", f"<article><p>Whole</p></article>{footer}"), (98, None, None), (97, "http://h0.com/e", "")]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {10 * k + i: f"Unique text {i} with words w{i * 7}." for k in range(4) for i in range(4)} | {99: "Whole", 98: "", 97: ""}
+
+
 def water(sizes, weights, total):
     target, open_ = {s: 0.0 for s in sizes}, set(sizes)
     while open_:

@@ -184,12 +184,13 @@ def _segments(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(run, f"doc_id {kind}, th bigint, key bigint, dig binary, lead int, cnt int, pos bigint, seg binary")
 
 
-def repeats_in(segs: list[bytes], counts: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, across: bool):
+def repeats_in(segs: list[bytes], counts: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, across: bool, keys: np.ndarray):
     """Runs (segment, lo, hi) of the windows that occur more than once among these segments.
 
     ``first`` and ``last`` are the least and greatest of the places at which a segment occurs;
     windows repeat if the places of all segments that hold them are not one and the same or, unless
-    it must be another text (``across``), if there are several such windows."""
+    it must be another text (``across``), if there are several such windows. Equal windows of one
+    scope are under one key; those under other keys are of other scopes and do not count."""
     sizes = np.array([len(s) for s in segs])
     t = np.frombuffer(b"".join(segs), np.uint8)
     base = np.cumsum(sizes) - sizes
@@ -202,8 +203,14 @@ def repeats_in(segs: list[bytes], counts: np.ndarray, first: np.ndarray, last: n
     order = suffix_array(t, width)
     order = order[own[order]]
     same = common_prefix_reaches(t, order[:-1], order[1:], width)
-    head = np.flatnonzero(np.concatenate([[True], ~same]))
     seg = np.searchsorted(base, order, side="right") - 1
+    other = keys[seg[1:]] != keys[seg[:-1]]
+    if (same & other).any():
+        by = np.lexsort((keys[seg], np.cumsum(np.concatenate([[0], ~same]))))
+        group = np.cumsum(np.concatenate([[0], ~same]))[by]
+        order, seg = order[by], seg[by]
+        same, other = group[1:] == group[:-1], keys[seg[1:]] != keys[seg[:-1]]
+    head = np.flatnonzero(np.concatenate([[True], ~same | other]))
     least, most = np.minimum.reduceat(first[seg], head), np.maximum.reduceat(last[seg], head)
     size = np.diff(np.append(head, len(order)))
     again[order[np.repeat((least != most) | ((size > 1) & (not across)), size)]] = True
@@ -224,7 +231,7 @@ def _sort_segments(distinct: DataFrame, width: int, across: bool) -> DataFrame:
         held_size = group_size = 0
 
         def solve(rows):
-            which, lo, hi = repeats_in([r[2] for r in rows], *(np.array([r[k] for r in rows]) for k in (3, 4, 5)), width, across)
+            which, lo, hi = repeats_in([r[2] for r in rows], *(np.array([r[k] for r in rows]) for k in (3, 4, 5)), width, across, np.array([r[0] for r in rows]))
             return pa.RecordBatch.from_arrays(
                 [pa.array([rows[i][0] for i in which], pa.int64()), pa.array([rows[i][1] for i in which], pa.binary()),
                  pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["key", "dig", "lo", "hi"])
