@@ -56,3 +56,9 @@ def test_kernel_queries_do_not_depend_on_partitions(spark, name):
         assert run() == first and first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_permutation_p_takes_all_draws(spark):
+    p = [r.p for r in catalog.queries()["permutation_p"](spark, SF).collect() if r.p is not None]
+    # 8 pairs have 40,320 permutations, more have 20,000 draws
+    assert p and all(min(abs(x * n - round(x * n)) for n in (40_320, 20_001)) < 1e-3 for x in p)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .sequences import average_rank
 
+#: Values that the permutations of one batch hold.
+BATCH = 1 << 18
+
 
 def direction(delta_pct: Column, polarity: Column, dead_band: float) -> Column:
     """improved, worsened or unchanged by a metric's polarity (+1 more is better, -1 less is, 0 neither)."""
@@ -59,8 +62,11 @@ def permutation_p(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int
             p = float((each >= seen - 1e-12).mean())
         else:
             rng = np.random.default_rng(0)
-            each = np.abs(rng.permuted(np.tile(b, (draws, 1)), axis=1) @ a)
-            p = (float((each >= seen - 1e-12).sum()) + 1) / (draws + 1)
+            at_once, hits = max(1, BATCH // n), 0
+            for i in range(0, draws, at_once):
+                each = np.abs(rng.permuted(np.tile(b, (min(at_once, draws - i), 1)), axis=1) @ a)
+                hits += int((each >= seen - 1e-12).sum())
+            p = (hits + 1) / (draws + 1)
         return pd.DataFrame(key | {"p": [p]})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
