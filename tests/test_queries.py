@@ -62,3 +62,19 @@ def test_permutation_p_takes_all_draws(spark):
     p = [r.p for r in catalog.queries()["permutation_p"](spark, SF).collect() if r.p is not None]
     # 8 pairs have 40,320 permutations, more have 20,000 draws
     assert p and all(min(abs(x * n - round(x * n)) for n in (40_320, 20_001)) < 1e-3 for x in p)
+
+
+def test_edges_of_every_montage_and_all_channels(spark, duck):
+    import numpy as np
+
+    rows = duck.execute("SELECT vec_id, label, embedding FROM embeddings").fetchall()
+    want = {(i, j): np.corrcoef(x, y)[0, 1] for i, m, x in rows for j, n, y in rows if i < j and m == n and i // 60 == j // 60}
+    got = {(r.ch_i, r.ch_j): r.w for r in catalog.queries()["pair_edges_montages"](spark, SF).collect()}
+    assert got.keys() == want.keys() and max(i for i, _ in want) >= 60 and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    sums = {k: [0.0, 0.0] for k in range(-1, 100)}
+    for side, (t, c) in enumerate((("supplier", "s"), ("customer", "c"))):
+        for k, v in duck.execute(f"SELECT {c}_nationkey, {c}_acctbal FROM {t}").fetchall():
+            sums[k][side] += float(v)
+    got = {r.k: (float(r.va), float(r.vb)) for r in catalog.queries()["full_outer_all_channels"](spark, SF).collect()}
+    assert got and all(abs(a - sums[k][0]) < 1e-3 and abs(b - sums[k][1]) < 1e-3 for k, (a, b) in got.items()) and any(k >= 15 and b for k, (_, b) in got.items())
+    assert got.keys() == {k for k, v in sums.items() if any(v)}

@@ -225,6 +225,16 @@ def pair_edges_corr(spark, d):
     return j.groupBy(F.col("a.vec_id").alias("ch_i"), F.col("b.vec_id").alias("ch_j")).agg(F.round(F.corr(x, y), 6).alias("w"))
 
 
+@query("pair_edges_montages")
+def pair_edges_montages(spark, d):
+    """Correlation of all channel pairs of every montage, as edges; a montage is a label's channels of one run of 60 numbers."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 60).alias("m"), F.posexplode("embedding").alias("i", "x"))
+    a, b = v.alias("a"), v.alias("b")
+    j = a.join(b, (F.col("a.m") == F.col("b.m")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    x, y = F.col("a.x").cast("double"), F.col("b.x").cast("double")
+    return j.groupBy(F.col("a.vec_id").alias("ch_i"), F.col("b.vec_id").alias("ch_j")).agg(F.round(F.corr(x, y), 6).alias("w"))
+
+
 @query("graph_strength_clustering", """
 WITH e0 AS (SELECT DISTINCT least(l_suppkey, l_partkey % 100 + 1) AS i, greatest(l_suppkey, l_partkey % 100 + 1) AS j FROM lineitem WHERE l_suppkey <> l_partkey % 100 + 1 AND l_quantity > 45),
 e AS (SELECT i, j FROM e0 UNION ALL SELECT j, i FROM e0), deg AS (SELECT i, count(*) AS k FROM e GROUP BY i),
@@ -288,6 +298,14 @@ def full_outer_channels(spark, d):
     return a.join(b, "k", "full").select("k", F.round(F.coalesce("va", F.lit(0.0)), 4).alias("va"), F.round(F.coalesce("vb", F.lit(0.0)), 4).alias("vb"))
 
 
+@query("full_outer_all_channels")
+def full_outer_all_channels(spark, d):
+    """Channels of either recording with all customers, a missing one as 0."""
+    a = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.sum("s_acctbal").alias("va"))
+    b = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("vb"))
+    return a.join(b, "k", "full").select("k", F.round(F.coalesce("va", F.lit(0.0)), 4).alias("va"), F.round(F.coalesce("vb", F.lit(0.0)), 4).alias("vb"))
+
+
 @query("table_counts", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents")
 def table_counts(spark, d):
     """Rows of each table."""
