@@ -110,13 +110,20 @@ def test_archives_round_trip(spark, tmp_path):
     got = {(r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in read_archives(spark, path).collect()}
     digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
     want = {(1, "revisit", 7, digest("same é"), 2), (2, "response", 7, digest("same é"), None), (3, "revisit", 0, digest(""), 4), (4, "response", 0, digest(""), None),
-            (None, "response", 7, digest("same é"), None), (5, "response", 50_000, digest("x" * 50_000), None)}
+            (None, "revisit", 7, digest("same é"), 2), (5, "response", 50_000, digest("x" * 50_000), None)}
     assert got == want
     again = f"file://{tmp_path}/v"
     assert {m.sha256 for m in write_archives(df.orderBy(F.rand()), again, file_bytes=400).collect()} == {m.sha256 for m in manifest}
     assert write_archives(df.limit(0), f"file://{tmp_path}/e").count() == 0 and read_archives(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_archive_of_null_ids_and_of_columns_of_its_own_names(spark, tmp_path):
+    rows = [(None, "u", "a", 1), (None, "v", "a", 2), (None, "w", "b", 3)]
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, key int").withColumn("shard", F.lit(7)), f"file://{tmp_path}/n")
+    got = sorted((r.url, r.record_type, bytes(r.payload), r.refers_to or 0) for r in read_archives(spark, f"file://{tmp_path}/n").collect())
+    assert got == [("u", "response", b"a", 0), ("v", "response", b"a", 0), ("w", "response", b"b", 0)]
+
+
 def test_archive_keeps_each_payload_of_a_repeated_id(spark, tmp_path):
     rows = [(1, "u", "shared"), (1, "u", "only here"), (2, "u", "shared"), (3, "u", "other"), (3, "v", "shared too"), (4, "v", "shared too")]
     write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")

@@ -119,6 +119,18 @@ def pieces(offsets: np.ndarray, limit: int):
         i = j
 
 
+def batch_slices(column, limit: int):
+    """Ranges of rows of an Arrow string or binary column with about ``limit`` bytes each, so that a worker holds
+    what it makes of a batch for one of them at a time."""
+    import pyarrow as pa
+
+    if not len(column):
+        return
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+    yield from pieces(offsets - offsets[0], limit)
+
+
 U = np.uint64
 
 
