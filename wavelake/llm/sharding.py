@@ -1,8 +1,9 @@
 """Extendible hashing: shards are hash-prefix buckets, split bit by bit until each fits a byte limit.
 
 A row belongs to the bucket of the first ``d`` bits of its key hash, where ``d`` is the smallest
-depth at which that bucket holds at most ``limit_bytes``. Deeper bits are looked at only under
-buckets that are too large, so the directory has leaves of different depth.
+depth at which that bucket holds at most ``limit_bytes``. The directory is grown from the root: each
+round looks at a few more bits, but only under the buckets that are still too large, and rows leave
+the search with the round in which their bucket fits. Only hashes and sizes take part in this.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from .common import Scratch
 
 #: Bits of the key hash (15 hexadecimal digits of an MD5 sum).
 BITS = 60
-#: Directory cells to start from, as a power of two over the shards that the total would fill.
-FINER_BITS = 6
+#: Bits that a round of the directory looks at.
+STEP = 4
 
 
 def key_hash(*cols: Column) -> Column:
@@ -25,13 +26,53 @@ def key_hash(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def _leaf_depths(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """cells (h, bytes) -> (h, depth): the smallest depth from low to high whose bucket fits, else null."""
-    levels = cells.select("h", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
-    levels = levels.withColumn("p", F.expr(f"shiftright(h, cast({BITS} - depth as int))"))
-    fits = levels.groupBy("depth", "p").agg(F.sum("bytes").alias("b")).where(F.col("b") <= limit)
-    return (levels.join(fits.select("depth", "p"), ["depth", "p"], "left_semi")
-            .groupBy("h").agg(F.min("depth").alias("depth")))
+def _prefix(h: str, depth: Column) -> Column:
+    return F.call_function("shiftright", F.col(h), (F.lit(BITS) - depth).cast("int"))
+
+
+def _directory(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
+    """(h, bytes) of rows in buckets that are too large at depth low - 1 -> cell (the first ``high`` bits), depth, full.
+
+    depth is that of the leaf, from low to high, that holds the cell, and full the leaf's bytes; both are null where the
+    bucket of ``high`` bits is still too large. A bucket too large with a single hash cannot be split: its depth is BITS."""
+    cells = rows.groupBy(_prefix("h", F.lit(high)).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    levels = cells.select("cell", "bytes", "lo", "hi", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+    levels = levels.withColumn("p", F.call_function("shiftright", F.col("cell"), (F.lit(high) - F.col("depth")).cast("int")))
+    buckets = levels.groupBy("depth", "p").agg(F.sum("bytes").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    over = F.col("bytes") > limit
+    # a leaf fits and its parent does not; the parents of the first level are too large
+    split = buckets.where(over).select((F.col("depth") + 1).alias("depth"), F.col("p").alias("up"))
+    leaves = buckets.where(~over).withColumn("up", F.call_function("shiftright", F.col("p"), F.lit(1)))
+    leaves = leaves.where(F.col("depth") == low).unionByName(leaves.join(split, ["depth", "up"], "left_semi"))
+    stuck = buckets.where(over & (F.col("lo") == F.col("hi")) & (F.col("depth") == high))
+    whole = (leaves.select("depth", "p", F.col("depth").alias("leaf"), "bytes")
+             .unionByName(stuck.select("depth", "p", F.lit(BITS).alias("leaf"), "bytes")))
+    at = levels.join(whole.withColumnRenamed("bytes", "full"), ["depth", "p"]).select("cell", "leaf", "full")
+    return cells.select("cell").join(at, "cell", "left").select("cell", F.col("leaf").alias("depth"), "full")
+
+
+def leaf_depths(hashes: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """(h, bytes), one row for each row to store -> (h, depth, full), one row for each hash: its leaf's depth and bytes."""
+    open_rows, low, found = scratch.save(hashes, "hashes"), 0, []
+    while True:
+        high = min(BITS, low + STEP - 1)
+        directory = scratch.save(_directory(open_rows, low, high, limit), "directory")
+        n, left = directory.agg(F.count("depth"), F.count(F.lit(1)) - F.count("depth")).first()
+        if n:
+            dealt = scratch.save(open_rows.withColumn("cell", _prefix("h", F.lit(high))).join(directory, "cell").select("h", "bytes", "depth", "full"), "dealt")
+            found.append(dealt.where("depth is not null").select("h", "depth", "full"))
+            open_rows = dealt.where("depth is null").select("h", "bytes")
+        scratch.drop(directory)
+        if not left or high == BITS:
+            break
+        low = high + 1
+    if left:  # alike in all bits
+        last = open_rows.groupBy("h").agg(F.sum("bytes").alias("full")).select("h", F.lit(BITS).alias("depth"), "full")
+        found.append(last)
+    out = found[0] if found else hashes.limit(0).select("h", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("full"))
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("h").agg(F.first("depth").cast("int").alias("depth"), F.first("full").alias("full"))
 
 
 def assign_shards(df: DataFrame, limit_bytes: int, key: str = "doc_id", payload: str = "text") -> DataFrame:
@@ -45,48 +86,39 @@ def assign_shards(df: DataFrame, limit_bytes: int, key: str = "doc_id", payload:
     marked oversized. An empty table gives an empty table; columns of the added names are replaced.
     Only built-in expressions are used.
     """
-    df = df.drop("n_bytes", "shard", "depth", "shard_bytes", "oversized")
+    added = ("n_bytes", "shard", "depth", "shard_bytes", "oversized")
+    df = df.drop(*added, "_h", "_n", "_each", "_full")
     rows = df.withColumn("n_bytes", F.coalesce(F.octet_length(payload), F.lit(0)).cast("bigint")).withColumn(
         "_h", key_hash(F.col(key), F.md5(F.coalesce(F.col(payload), F.lit("")))))
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(BITS, max(0, (total // max(limit_bytes, 1)).bit_length()) + FINER_BITS)
-
-    cells = rows.groupBy(F.expr(f"shiftleft(shiftright(_h, {BITS - bits}), {BITS - bits})").alias("h")).agg(
-        F.sum("n_bytes").alias("bytes"))
-    coarse = _leaf_depths(cells, 0, bits, limit_bytes)
-    full = cells.join(coarse, "h", "left_anti").select(F.col("h").alias("cell"))
-    rows = rows.withColumn("_cell", F.expr(f"shiftleft(shiftright(_h, {BITS - bits}), {BITS - bits})"))
-    inside = (rows.join(full, rows["_cell"] == full["cell"], "left_semi")
-              .groupBy(F.col("_h").alias("h")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n")))
-    deep = _leaf_depths(inside, min(bits + 1, BITS), BITS, limit_bytes)
-    # what no number of bits can divide: one long row, or rows alike in key and payload
     scratch = Scratch(df.sparkSession, "shards")
-    stuck = scratch.save(inside.join(deep, "h", "left_anti")
-                         .select("h", "n", (F.col("bytes") / F.col("n")).cast("bigint").alias("each"), "bytes"), "stuck")
-
-    out = (rows.join(coarse.select(F.col("h").alias("_cell"), F.col("depth").alias("_d1")), "_cell", "left")
-           .join(deep.select(F.col("h").alias("_h"), F.col("depth").alias("_d2")), "_h", "left")
-           .join(stuck.select(F.col("h").alias("_h"), F.col("each").alias("_each"), F.col("n").alias("_n")), "_h", "left"))
-    out = out.withColumn("depth", F.coalesce("_d1", "_d2", F.lit(BITS)).cast("int"))
+    leaves = scratch.save(leaf_depths(rows.select(F.col("_h").alias("h"), F.col("n_bytes").alias("bytes")), limit_bytes, scratch), "leaves")
+    out = rows.join(leaves.select(F.col("h").alias("_h"), F.col("depth"), F.col("full").alias("_full")), "_h", "left")
     bucket = F.substring(F.lpad(F.bin("_h"), BITS, "0"), F.lit(1), F.col("depth"))
-    per_page = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.col("_each")))
-
-    rest = out.where("_each is null or _n = 1").withColumn("shard", bucket)
-    if stuck.where("n > 1").isEmpty():
-        out = rest
-    else:
-        # pages: the rows alike are numbered in two steps, within the partition that wrote them and over those;
-        # they are stored with its number, for each branch of the plan would number partitions anew
-        alike = scratch.save(out.where("_each is not null and _n > 1").withColumn("_part", F.spark_partition_id()), "alike")
-        before = alike.groupBy("_h", "_part").agg(F.count(F.lit(1)).alias("_c")).withColumn(
-            "_before", F.sum("_c").over(W.partitionBy("_h").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).drop("_c")
-        alike = alike.join(before, ["_h", "_part"], "left").withColumn(
-            "_i", F.row_number().over(W.partitionBy("_h", "_part").orderBy("_part")) - 1 + F.coalesce("_before", F.lit(0)))
-        alike = alike.withColumn("shard", F.concat(bucket, F.lit("."), F.floor(F.col("_i") / per_page).cast("string")))
-        out = rest.unionByName(alike, allowMissingColumns=True)
-    size = out.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
-    return (out.join(size, "shard").withColumn("oversized", F.col("shard_bytes") > limit_bytes)
-            .select(*df.columns, "n_bytes", "shard", "depth", "shard_bytes", "oversized"))
+
+    def finish(part: DataFrame) -> DataFrame:
+        return part.withColumn("oversized", F.col("shard_bytes") > limit_bytes).select(*df.columns, *added)
+
+    # what no number of bits can divide: one long row, or rows alike in key and payload
+    stuck = F.col("_full") > limit_bytes
+    alike = leaves.where(F.col("full") > limit_bytes).select(F.col("h").alias("_h"))
+    if alike.isEmpty():
+        return finish(out.withColumn("shard", bucket).withColumn("shard_bytes", F.col("_full")))
+    rest = finish(out.where(~stuck).withColumn("shard", bucket).withColumn("shard_bytes", F.col("_full")))
+    # pages: the rows alike are numbered in two steps, within the partition that wrote them and over those;
+    # they are stored with its number, for each branch of the plan would number partitions anew
+    alike = scratch.save(out.where(stuck).withColumn("_part", F.spark_partition_id()), "alike")
+    parts = alike.groupBy("_h", "_part").agg(F.count(F.lit(1)).alias("_c"), F.max("n_bytes").alias("_each"))
+    of = W.partitionBy("_h")
+    parts = (parts.withColumn("_before", F.coalesce(F.sum("_c").over(of.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("_page", F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.max("_each").over(of)))).drop("_c", "_each"))
+    alike = alike.join(parts, ["_h", "_part"], "left").withColumn(
+        "_i", F.row_number().over(W.partitionBy("_h", "_part").orderBy("_part")) - 1 + F.col("_before"))
+    alike = alike.withColumn("_page", F.floor(F.col("_i") / F.col("_page")))
+    # a row above the limit that stands alone keeps the leaf's name
+    shard = F.when(F.col("_full") == F.col("n_bytes"), bucket).otherwise(F.concat(bucket, F.lit("."), F.col("_page").cast("string")))
+    alike = scratch.save(alike.withColumn("shard", shard), "pages")
+    size = alike.groupBy(F.col("shard").alias("_s")).agg(F.sum("n_bytes").alias("shard_bytes"))
+    return rest.unionByName(finish(alike.join(size, F.col("shard") == F.col("_s"))))
 
 
 def write_shards(df: DataFrame, path: str, limit_bytes: int, key: str = "doc_id", payload: str = "text") -> DataFrame:
