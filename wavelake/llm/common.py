@@ -15,9 +15,17 @@ from pyspark.sql import functions as F
 _PACKAGE = Path(__file__).resolve().parents[1]
 
 
+#: Bytes of an Arrow batch that a Python worker gets at a time; Spark's own default, 64 MiB, is too much beside a small heap.
+ARROW_BYTES = 4 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make the package importable on every executor (once per application)."""
+    """Make the package importable on every executor (once per application), and keep Arrow batches small
+    where the session does not set their size itself."""
     sc = spark.sparkContext
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, None) in (None, "67108864b", f"{64 << 20}"):
+        spark.conf.set(size, str(ARROW_BYTES))
     if getattr(sc, "_wavelake_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="wavelake-"), "wavelake_pkg.zip")
