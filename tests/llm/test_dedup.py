@@ -158,6 +158,22 @@ def test_repeats_match_brute_force(spark, monkeypatch, crowd):
     assert got == collections.Counter((d, *w) for (d, _, _), w in zip(rows + rows[:5], want, strict=True))
 
 
+def test_planted_passages_by_bytes_and_by_words(spark):
+    """400 bytes and more go by the byte rule; 51 short words go where repeats are also counted in words."""
+    rng = np.random.default_rng(3)
+    words = lambda n, k: " ".join("".join(rng.choice(list("abcdefghij"), k)) for _ in range(n))
+    long, short = words(70, 6), words(51, 4)
+    assert len(long) >= 400 > len(short)
+    rows = [(i, f"{words(40, 6)} {(long, short)[i % 2]} {words(40, 6)}") for i in range(12)] + [(20, words(90, 6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by_bytes = {r.doc_id: r for r in repeats.remove_repeats(df, 400, as_text=True).collect()}
+    by_words = {r.doc_id: r for r in repeats.remove_repeats(df, 400, as_text=True, words=51).collect()}
+    for i in range(12):
+        assert ((long, short)[i % 2] in by_bytes[i].kept) == (i % 2 == 1) and by_bytes[i].n_spans == (i % 2 == 0)
+        assert (long, short)[i % 2] not in by_words[i].kept and len(by_words[i].kept) >= 500
+    assert by_bytes[20].kept == by_words[20].kept == rows[-1][1]
+
+
 def test_repeats_as_text_drop_half_characters(spark):
     df = spark.createDataFrame([(1, "é" * 30 + "A"), (2, "B" + "é" * 30)], "doc_id long, text string")
     got = {r.doc_id: r.kept for r in repeats.remove_repeats(df, 40, as_text=True).collect()}

@@ -197,6 +197,29 @@ def test_mix_follows_the_targets(spark):
     assert mix_sources(df.limit(0)).count() == 0
 
 
+def test_positions_invert_the_integral_of_the_schedule(spark):
+    rows = [(i if i % 5 else None, " ".join(["w"] * (1 + i % 7)) + f" {i}", f"s{i % 3}", i) for i in range(300)] + [(7, "x y", "s0", -1)] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _h int")
+    got = [r for r in mix_sources(df).collect() if r.taken]
+    targets = {r.source: r.target for r in got}
+    slope = {s: (-0.5, 0.0, 0.5)[i % 3] for i, s in enumerate(sorted(targets))}
+    u = np.linspace(0, 1, 200_001)
+    rate = {s: targets[s] * ((1 - k) + 2 * k * u) for s, k in slope.items()}  # words a source asks for at each time
+    whole = sum(rate.values())
+    clock = np.concatenate([[0], np.cumsum((whole[1:] + whole[:-1]) / 2 * np.diff(u))])
+    for s in targets:
+        own = np.concatenate([[0], np.cumsum((rate[s][1:] + rate[s][:-1]) / 2 * np.diff(u))])
+        at, due = 0, []
+        mine = sorted((r.position, r.size) for r in got if r.source == s and r.position is not None)
+        for position, size in mine:  # in training order a source's documents are its stream
+            due.append(np.interp(np.interp(at, own, u), u, clock))
+            at += size
+        assert np.allclose([p for p, _ in mine], due, rtol=1e-3, atol=1.0)
+    assert sum(r.doc_id == 7 for r in mix_sources(df).collect()) == 61
+    full = {(r.doc_id, r.size, r.position) for r in got}
+    assert {(r.doc_id, r.size, r.position) for r in mix_sources(df.repartition(5)).collect() if r.taken} == full
+
+
 def test_ids_equal_those_of_the_library(spark):
     import sentencepiece
 
@@ -206,8 +229,12 @@ def test_ids_equal_those_of_the_library(spark):
     for _ in range(3000):
         t = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
         ids = sp.encode(t, add_bos=True, add_eos=True)
-        packed, text = table.encode(t)
+        packed, text = table.encode([t])[0]
         assert np.frombuffer(packed, "<u4").tolist() == ids and text == sp.decode(ids)
+    for t in [" ".join(f"w{i % 900}" for i in range(400_000)), "no-space" * 200_000, ("ab  ▁ c\n d" * 150_000)]:  # longer than a slice
+        ids, text = table.encode([t])[0]
+        want = sp.encode(t, add_bos=True, add_eos=True)
+        assert ids.tolist() == want and text == sp.decode(want)
     rows = [(1, "Hello  there,\nwörld", 5), (2, None, 6), (3, "", 7), (3, "", 7), (4, "ab " * 20_000, 8)]
     out = encode_documents(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"), model_path())
     for r in out.withColumn("ids", ids_array()).withColumn("again", decode_ids(model_path())).collect():

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, and the slopes of their schedules, both repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -61,12 +63,17 @@ def mix_sources(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEI
     of doc_id, so reruns agree; repeated rows are separate documents. An empty table stays empty.
     ``df`` needs doc_id, text and source; columns of the added names are replaced.
 
-    A running sum over a whole source would meet in one task. Each source is cut by hash range
-    into about as many buckets as a bucket has documents; sums run over the buckets, then inside each.
+    A running sum over a whole source would meet in one task: rows are range-sorted instead, sums run over the
+    ranges of a source and then inside each. A salt behind the sort key lets ranges end within rows that are alike in all.
+    Words are counted once; the texts themselves do not move, and are not among the columns returned.
     """
     df = df.drop(*ADDED)
-    out = place_documents(measured(df), share, cap, weights, slopes)
-    return out.select(*df.columns, "size", "source_size", "target", "taken", "position", "position_again")
+    kept = [c for c in df.columns if c != "text"]
+    # other columns ride along in one struct, so no name can clash
+    rest = [c for c in kept if c not in ("doc_id", "source")]
+    packed = df.select("doc_id", "source", "text", *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
+    out = place_documents(measured(packed).drop("text"), share, cap, weights, slopes)
+    return out.select(*[F.col("rest").getField(c).alias(c) if c in rest else c for c in kept], *ADDED[:6])
 
 
 def measured(df: DataFrame) -> DataFrame:
@@ -76,17 +83,20 @@ def measured(df: DataFrame) -> DataFrame:
 
 def place_documents(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, slopes=SLOPES) -> DataFrame:
     """``mix_sources`` for rows that are measured already; they may carry anything in place of the text."""
-    docs = (df.withColumn("_h", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")))
+    scratch = Scratch(df.sparkSession, "mix")
+    docs = scratch.save(df.withColumn("_h", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")), "measured")
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    targets = source_targets(sizes, share, cap, weights, slopes).withColumnRenamed("source", "_source")
-    docs = docs.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    docs = docs.withColumn("_bits", F.ceil(F.log2("n_docs") / 2).cast("int")).withColumn(
-        "_bucket", F.expr("shiftright(_h, 60 - _bits)"))
-    sums = docs.groupBy(F.col("source").alias("_s"), F.col("_bucket").alias("_b")).agg(F.sum("size").alias("_n"))
+    targets = scratch.save(source_targets(sizes, share, cap, weights, slopes).withColumnRenamed("source", "_source"), "targets")
+    # stored with the number of its range, for another run of the plan may cut ranges elsewhere
+    ordered = docs.withColumn("_salt", F.rand(7)).repartitionByRange("source", "_h", "doc_id", "_t", "_salt").withColumn("_part", F.spark_partition_id())
+    ordered = scratch.save(ordered.drop("_salt"), "ordered")
+    scratch.drop(docs)
+    sums = ordered.groupBy(F.col("source").alias("_s"), F.col("_part").alias("_p")).agg(F.sum("size").alias("_n"))
     sums = sums.withColumn("_before", F.coalesce(
-        F.sum("_n").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    docs = docs.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
-    inside = W.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "_t").rowsBetween(W.unboundedPreceding, 0)
+        F.sum("_n").over(W.partitionBy("_s").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    docs = ordered.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    docs = docs.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).drop("_s", "_p")
+    inside = W.partitionBy("source", "_part").orderBy("_h", "doc_id", "_t").rowsBetween(W.unboundedPreceding, 0)
     docs = docs.withColumn("_at", F.col("_before") + F.sum("size").over(inside) - F.col("size"))
     words = F.floor(F.col("target") + 0.5)
     first = F.greatest(F.lit(0), F.least(F.col("size"), words - F.col("_at")))
@@ -94,6 +104,7 @@ def place_documents(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights
     docs = docs.withColumn("taken", (first + second).cast("bigint"))
 
     def due(offset):
+        """The demand of a source is target ((1 - slope) u + slope u^2) by the time u: the u at which it reaches the offset."""
         x = F.least(F.lit(1.0), offset / F.col("target"))
         k = F.col("slope")
         root = (k - 1 + F.sqrt((1 - k) * (1 - k) + 4 * k * x)) / (2 * k)
@@ -102,7 +113,7 @@ def place_documents(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights
 
     docs = (docs.withColumn("position", F.when(first > 0, due(F.col("_at"))))
             .withColumn("position_again", F.when(second > 0, due(F.col("_at") + F.col("source_size")))))
-    return docs.select(*df.columns, "source_size", "target", "taken", "position", "position_again")
+    return docs.select(*[c for c in df.columns if c not in ("_t", "_h")], "source_size", "target", "taken", "position", "position_again")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:

@@ -45,7 +45,9 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix_sources(docs).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    places = [F.round(c, 3).alias(c) for c in ("position", "position_again")]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", *places)
 
 
 def op3_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +88,8 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), REPEAT_BYTES)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # text: what is left, with U+FFFD for the bytes of a character that was cut
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,8 +170,14 @@ o AS (SELECT *, most / weight AS full_at, 1.5::DOUBLE * sum(source_size) OVER ()
   coalesce(sum(most) OVER (ORDER BY most / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
   sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY most / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_from FROM w),
 t AS (SELECT *, max(CASE WHEN (want - before) / weight_from <= full_at THEN (want - before) / weight_from END) OVER () AS level FROM o),
-g AS (SELECT source, source_size, least(most, coalesce(weight * level, most)) AS target FROM t),
-c AS (SELECT d.doc_id, d.size, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS pos
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, floor(target + 0.5) - pos)) + greatest(0, least(size, floor(target + 0.5) - source_size - pos)) AS BIGINT) AS taken FROM c
+g AS (SELECT source, source_size, least(most, coalesce(weight * level, most)) AS target, CASE i % 3 WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS k FROM t),
+k AS (SELECT *, sum(target * (1 - k)) OVER () AS clock_a, sum(target * k) OVER () AS clock_b FROM g),
+c AS (SELECT d.doc_id, d.size, k.*, floor(k.target + 0.5) AS words, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS pos
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+a AS (SELECT *, greatest(0, least(size, words - pos)) AS once, greatest(0, least(size, words - source_size - pos)) AS again,
+  least(1.0::DOUBLE, pos / target) AS x, least(1.0::DOUBLE, (pos + source_size) / target) AS y FROM c),
+u AS (SELECT *, CASE WHEN k = 0 THEN x ELSE (k - 1 + sqrt((1 - k) * (1 - k) + 4 * k * x)) / (2 * k) END AS u,
+  CASE WHEN k = 0 THEN y ELSE (k - 1 + sqrt((1 - k) * (1 - k) + 4 * k * y)) / (2 * k) END AS v FROM a)
+SELECT doc_id, size, source_size, target, CAST(once + again AS BIGINT) AS taken, CASE WHEN once > 0 THEN round(clock_a * u + clock_b * u * u, 3) END AS position,
+  CASE WHEN again > 0 THEN round(clock_a * v + clock_b * v * v, 3) END AS position_again FROM u
 """

@@ -2,27 +2,34 @@
 
 When no piece of the model holds a whitespace marker behind another character, no merge crosses
 the point before a marker run. A text is then cut there, each distinct chunk (its markers and the
-word behind them) is segmented once, and the ids are joined back by position.
+word behind them) is segmented once, and the ids are joined back by position. The table of chunks is a worker's: it
+grows over all that the worker reads. One table for the corpus would have to move each block's distinct chunks
+to it and back, which is more than the texts themselves (figures in the README).
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batch_slices
+
 MARK = "▁"
-#: Distinct chunks that a worker keeps; the table is emptied beyond it, so its memory is bounded.
+#: Distinct chunks, and letters of them, that a worker keeps; the table starts anew beyond either, so its memory is bounded.
 TABLE_SIZE = 400_000
-#: Bytes of ids and text after which an output batch is handed on.
-BATCH_BYTES = 4 << 20
+TABLE_LETTERS = 8 << 20
+#: Bytes of text whose chunks are looked up at a time; a longer text is taken in segments that end before a space.
+SLICE_BYTES = 1 << 20
 
 
 class ChunkTable:
-    """chunk -> (ids as little-endian unsigned 32-bit integers, decoded text)."""
+    """Distinct chunks, numbered, with the ids of all of them end to end."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -32,39 +39,82 @@ class ChunkTable:
         self.splits = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.mark_id = self.sp.piece_to_id(MARK)
         self.anchor = self.sp.piece_to_id(MARK + "a")
-        self.bos, self.eos = (x.to_bytes(4, "little") for x in (self.sp.bos_id(), self.sp.eos_id()))
+        self.bos, self.eos = self.sp.bos_id(), self.sp.eos_id()
         self.find = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.table: dict[str, tuple[bytes, str]] = {}
-
-    def add(self, missing: list[str]) -> None:
-        if len(self.table) > TABLE_SIZE:
-            self.table.clear()
-        for chunk, ids in zip(missing, self.sp.encode([c[1:] for c in missing], num_threads=1), strict=True):
-            ids = ids or [self.mark_id]  # the library gives nothing for an empty text, not even its marker
-            text = self.sp.decode([self.anchor, *ids])[1:]
-            self.table[chunk] = (b"".join(i.to_bytes(4, "little") for i in ids), text)
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """All ids with begin and end, and the decoded text."""
-        if not text:
-            return self.bos + self.eos, ""
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.ends, self.letters = array("I"), array("q", [0]), 0
+
+    def add(self, chunks: list[str]) -> None:
+        """Segment chunks that the table does not hold, each once."""
+        for chunk, ids in zip(chunks, self.sp.encode([c[1:] for c in chunks], num_threads=1), strict=True):
+            self.number[chunk] = len(self.number)
+            self.ids.extend(ids or [self.mark_id])  # the library gives nothing for an empty text, not even its marker
+            self.ends.append(len(self.ids))
+            self.letters += len(chunk)
+
+    def lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks end to end, and how many each has: the distinct ones are segmented, then joined back by position."""
+        distinct = dict.fromkeys(chunks)
+        missing = [c for c in distinct if c not in self.number]
+        if missing:
+            if len(self.number) + len(missing) > TABLE_SIZE or self.letters > TABLE_LETTERS:
+                self.clear()
+                missing = list(distinct)
+            self.add(missing)
+        at = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        ends, ids = np.array(self.ends), np.array(self.ids, np.uint32)
+        begin = ends[at]
+        count = ends[at + 1] - begin
+        place = np.cumsum(count) - count
+        return ids[np.repeat(begin - place, count) + np.arange(count.sum())], count
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text without begin and end."""
         if not self.splits:
-            ids = self.sp.encode(text, add_bos=True, add_eos=True)
-            return b"".join(i.to_bytes(4, "little") for i in ids), self.sp.decode(ids)
-        chunks = self.find(MARK + text.replace(" ", MARK))
-        table = self.table
-        try:
-            got = [table[c] for c in chunks]
-        except KeyError:
-            self.add([c for c in dict.fromkeys(chunks) if c not in table])
-            table = self.table
-            got = [table[c] if c in table else self.again(c) for c in chunks]
-        out = b"".join([self.bos, *[g[0] for g in got], self.eos])
-        return out, "".join([g[1] for g in got])[1:]
-
-    def again(self, chunk: str) -> tuple[bytes, str]:
-        self.add([chunk])
-        return self.table[chunk]
+            return [np.array(x, np.uint32) for x in self.sp.encode(texts, num_threads=1)]
+        chunks: list[str] = []
+        upto = [0]
+        for text in texts:
+            if text:
+                chunks += self.find(MARK + text.replace(" ", MARK))
+            upto.append(len(chunks))
+        ids, count = self.lookup(chunks)
+        cuts = np.concatenate([[0], np.cumsum(count)])[upto]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def segments(self, text: str):
+        """Parts of a long text that begin with a space behind another character, where no piece crosses."""
+        at = 0
+        while self.splits and len(text) - at > SLICE_BYTES:
+            cut = text.find(" ", at + SLICE_BYTES)
+            while cut > 0 and text[cut - 1] in (" ", MARK):
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
+    def encode_long(self, text: str) -> tuple[np.ndarray, str]:
+        """Ids with begin and end, and the decoded text, of a text taken in segments."""
+        out, decoded = [np.array([self.bos], np.uint32)], []
+        for i, part in enumerate(self.segments(text)):
+            # a later segment already begins with its marker
+            ids = self.encode_all([part if not i else part[1:]])[0]
+            out.append(ids)
+            decoded.append(self.sp.decode(ids.tolist()) if not i else self.sp.decode([self.anchor, *ids.tolist()])[1:])
+        return np.concatenate([*out, np.array([self.eos], np.uint32)]), "".join(decoded)
+
+    def encode(self, texts: list[str], decoded: bool = True) -> list[tuple[np.ndarray, str | None]]:
+        """Ids with begin and end of each text, and the text that they decode to."""
+        if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
+            return [self.encode_long(texts[0])]
+        found = self.encode_all(texts)
+        ends = [np.concatenate([[self.bos], x, [self.eos]]).astype(np.uint32) for x in found]
+        return list(zip(ends, self.sp.decode([x.tolist() for x in ends]) if decoded and ends else [None] * len(ends), strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -91,27 +141,15 @@ def encode_documents(df: DataFrame, model: str, text: str = "text", decoded: boo
         table = _table(model)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            ids, texts, size, first = [], [], 0, 0
-
-            def flush(upto):
-                part = batch.slice(first, upto - first)
-                cols = [*part.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            for i, j in batch_slices(column, SLICE_BYTES):
+                part = batch.slice(i, j - i)
+                got = table.encode([x.as_py() or "" for x in part.column(part.schema.get_field_index(text))], decoded)
+                cols = [*part.columns, pa.array([len(x) for x, _ in got], pa.int64()), pa.array([x.astype("<u4").tobytes() for x, _ in got], pa.binary())]
                 names = [*part.schema.names, "n_tokens", "ids_u32"]
                 if decoded:
-                    cols.append(pa.array(texts, pa.string()))
+                    cols.append(pa.array([t for _, t in got], pa.string()))
                     names.append("decoded")
-                return pa.RecordBatch.from_arrays(cols, names)
-
-            for i, value in enumerate(column):
-                a, b = table.encode(value.as_py() or "")
-                ids.append(a)
-                texts.append(b)
-                size += len(a) + len(b)
-                if size > BATCH_BYTES:
-                    yield flush(i + 1)
-                    ids, texts, size, first = [], [], 0, i + 1
-            if ids:
-                yield flush(len(batch))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return out.mapInArrow(run, schema)
 
@@ -120,8 +158,6 @@ def ids_array(packed: str = "ids_u32"):
     """The ids as an array column, for users who need numbers rather than packed bytes."""
     @F.pandas_udf("array<int>")
     def unpack(col: pd.Series) -> pd.Series:
-        import numpy as np
-
         return col.map(lambda x: None if x is None else np.frombuffer(x, "<u4").astype("int32"))
 
     return unpack(packed)
@@ -131,8 +167,6 @@ def decode_ids(model: str, column: str = "ids_u32"):
     """Column of texts decoded by the library itself from packed ids."""
     @F.pandas_udf("string")
     def decode(col: pd.Series) -> pd.Series:
-        import numpy as np
-
         sp = _table(model).sp
         return col.map(lambda x: None if x is None else sp.decode(np.frombuffer(x, "<u4").tolist()))
 
