@@ -4,9 +4,11 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import wavelake.catalog as catalog
+from wavelake.plans import kernels
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -58,6 +60,70 @@ def test_kernel_queries_do_not_depend_on_partitions(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def stored(duck):
+    """(rec, ch, epoch) -> samples, put together without Spark."""
+    out = {}
+    for i, v in duck.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall():
+        out.setdefault((i // 512, f"C{i % 4}", i // 32 % 16), []).extend(400.0 * x for x in v)
+    return {k: np.array(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("name, kernel", [("spindles", kernels.spindle_rows), ("slow_waves", kernels.slow_wave_rows), ("bursts", kernels.burst_rows), ("spikes", kernels.spike_rows)])
+def test_events_of_stored_epochs(spark, duck, name, kernel):
+    got = sorted((r[0], r[1], r[2], r[3]) for r in catalog.queries()[name](spark, SF).collect())
+    want = sorted((*k, row[0]) for k, x in stored(duck).items() for row in kernel(x))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-5 for g, w in zip(got, want, strict=True))
+
+
+def test_spectra_and_entropies_against_plain_sums(spark, duck):
+    """Band powers from a Fourier sum written out, sample entropy from two loops."""
+    data = stored(duck)
+    bands = {(r.rec, r.ch, r.epoch): r for r in catalog.queries()["band_powers"](spark, SF).collect()}
+    assert bands.keys() == data.keys()
+    n = 256
+    win = np.array([0.5 - 0.5 * np.cos(2 * np.pi * i / n) for i in range(n)])
+    for key in sorted(data)[:3]:
+        x, power = data[key], np.zeros(n // 2 + 1)
+        for start in range(0, len(x) - n + 1, n // 2):
+            part = (x[start: start + n] - x[start: start + n].mean()) * win
+            for k in range(n // 2 + 1):
+                turn = 2 * np.pi * k * np.arange(n) / n
+                power[k] += (part @ np.cos(turn)) ** 2 + (part @ np.sin(turn)) ** 2
+        f = np.arange(n // 2 + 1) * 64 / n
+        share = [power[(f >= a) & (f < b)].sum() for a, b in ((0.5, 4), (4, 8), (8, 13), (13, 30))]
+        r = bands[key]
+        assert np.allclose([r.delta_pct, r.theta_pct, r.alpha_pct, r.beta_pct], [100 * v / sum(share) for v in share], atol=1e-3)
+        m, tol, hits = len(x) - 2, 0.2 * x.std(), [0, 0]
+        for i in range(m):
+            for j in range(i + 1, m):
+                if abs(x[i] - x[j]) <= tol and abs(x[i + 1] - x[j + 1]) <= tol:
+                    hits[0] += 1
+                    hits[1] += abs(x[i + 2] - x[j + 2]) <= tol
+        want = -np.log(hits[1] / hits[0]) if hits[0] and hits[1] else None
+        got = kernels.entropy_rows(x)[0][1]
+        assert got is want is None or abs(got - want) < 1e-9
+    medians = {(r.rec, r.ch): r for r in catalog.queries()["entropies"](spark, SF).collect()}
+    for rec, ch in medians:
+        rows = [kernels.entropy_rows(x)[0] for k, x in data.items() if k[:2] == (rec, ch)]
+        assert abs(medians[rec, ch].spectral - np.median([r[0] for r in rows])) < 1e-4 and medians[rec, ch].n_epochs == len(rows)
+
+
+def test_phase_lag_index_against_a_plain_loop(spark, duck):
+    data = stored(duck)
+    for r in catalog.queries()["wpli"](spark, SF).collect():
+        im = []
+        for rec, ch, epoch in data:
+            if (rec, ch) == (r.rec, r.ch_i) and (rec, r.ch_j, epoch) in data:
+                x, y = data[rec, ch, epoch], data[rec, r.ch_j, epoch]
+                for s in range(0, min(len(x), len(y)) - 127, 128):
+                    for k in range(16, 26):  # bins of 8 Hz to under 13 Hz at half a hertz each
+                        turn = np.exp(-2j * np.pi * k * np.arange(128) / 128)
+                        im.append((((x[s: s + 128] - x[s: s + 128].mean()) @ turn) * np.conj((y[s: s + 128] - y[s: s + 128].mean()) @ turn)).imag)
+        im = np.array(im)
+        s, q, m = im.sum(), (im**2).sum(), np.abs(im).sum()
+        assert abs(r.w - min(1, max(0, (s * s - q) / (m * m - q)))) < 1e-4
+
+
 def test_permutation_p_takes_all_draws(spark):
     p = [r.p for r in catalog.queries()["permutation_p"](spark, SF).collect() if r.p is not None]
     # 8 pairs have 40,320 permutations, more have 20,000 draws

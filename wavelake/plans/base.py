@@ -40,6 +40,23 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "t_s", F.col("us") / F.lit(1e6)).withColumn("epoch", F.floor(F.col("us") / F.lit(EPOCH_US)))
 
 
+#: Stored sample blocks: a vector of embeddings is a block of 64 samples; eight blocks make an epoch of 8 s at 64 Hz.
+FS, UV = 64.0, 400.0
+
+
+def stored_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as stored epochs: rec, ch, epoch, samples (µV). Recording, channel and epoch follow from a block's id,
+    so an epoch holds eight blocks and a recording 16 epochs of four channels, whatever the size of the table."""
+    blocks = table(spark, sf_dir, "embeddings").select(
+        F.expr("vec_id div 512").alias("rec"), F.concat(F.lit("C"), F.col("vec_id") % 4).alias("ch"), F.expr("(vec_id div 32) % 16").alias("epoch"), "vec_id", "embedding")
+    held = blocks.groupBy("rec", "ch", "epoch").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("b"))
+    return held.select("rec", "ch", "epoch", F.transform(F.flatten("b.embedding"), lambda x: x.cast("double") * UV).alias("samples"))
+
+
+E = f"""e AS (SELECT vec_id // 512 AS rec, 'C' || (vec_id % 4) AS ch, (vec_id // 32) % 16 AS epoch,
+  list_transform(flatten(list(embedding ORDER BY vec_id)), lambda x: CAST(x AS DOUBLE) * {UV}) AS samples FROM embeddings GROUP BY ALL)"""
+
+
 def stage_of(epoch):
     return F.element_at(F.array(*[F.lit(s) for s in STAGES]), (F.pmod(epoch, F.lit(len(STAGES))) + 1).cast("int"))
 

@@ -1,8 +1,7 @@
-"""Queries whose filters need numpy kernels: recordings are made from events, one Arrow group per channel.
+"""Queries whose filters need numpy kernels, over stored epochs: one row of samples per recording, channel and epoch.
 
-A recording has 60 s per user and event type at 100 Hz: seeded noise with a slow wave per
-event and a spindle-like burst per large one, so each row of events shapes a signal. Groups are
-bounded by a recording's length; only results leave them.
+A kernel sees one epoch at a time, so what a worker holds is bounded by an epoch; events keep the epoch they
+were found in, and what belongs to a recording is summed or ranked by Spark.
 """
 
 from __future__ import annotations
@@ -13,37 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.functions import dsp
-from wavelake.plans.base import query, samples
+from wavelake.plans.base import FS, query, stored_epochs
 
-FS, SECONDS = 100.0, 60.0
 
+def per_epoch(df: DataFrame, kernel, schema: str) -> DataFrame:
+    """Apply a kernel (samples -> list of rows) to every epoch (rec, ch, epoch, samples)."""
+    names = ["rec", "ch", "epoch", *[c.split()[0] for c in schema.split(", ")]]
 
-def signal_of(rec: int, ch: str, t_s: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Signal of a channel in µV from the times and sizes of its events."""
-    rng = np.random.default_rng([int(rec), sum(ch.encode())])
-    t = np.arange(int(FS * SECONDS)) / FS
-    x = rng.standard_normal(len(t)) * 8 + 12 * np.sin(2 * np.pi * 10 * t + rec)
-    for at, v in zip(t_s % SECONDS, value, strict=True):
-        near = np.abs(t - at)
-        x = x - 1.2 * v * np.exp(-(near**2) / 0.08)
-        if v > 60:
-            x = x + 0.6 * v * np.exp(-(near**2) / 0.2) * np.sin(2 * np.pi * 13 * t)
-    return x
+    def run(parts):
+        for part in parts:
+            rows = [(rec, ch, epoch, *row) for rec, ch, epoch, x in part.itertuples(index=False) for row in kernel(np.asarray(x, float))]
+            yield pd.DataFrame(rows, columns=names)
 
+    return df.select("rec", "ch", "epoch", "samples").mapInPandas(run, f"rec bigint, ch string, epoch bigint, {schema}")
 
-def per_channel(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """Apply a kernel (signal -> list of rows) to each channel of each recording."""
 
-    def run(pdf):
-        pdf = pdf.sort_values(["us", "event_id"])
-        rec, ch = pdf["rec"].iloc[0], pdf["ch"].iloc[0]
-        rows = kernel(signal_of(rec, ch, pdf["t_s"].to_numpy(), pdf["value"].to_numpy()))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-        out.insert(0, "ch", ch)
-        out.insert(0, "rec", rec)
-        return out
-
-    return df.select("rec", "ch", "us", "event_id", "t_s", "value").groupBy("rec", "ch").applyInPandas(run, f"rec bigint, ch string, {schema}")
+def epochs_by_channel(df: DataFrame) -> DataFrame:
+    """rec, epoch, chans: the channels of an epoch together, in the order of their names."""
+    return df.groupBy("rec", "epoch").agg(F.array_sort(F.collect_list(F.struct("ch", "samples"))).alias("chans"))
 
 
 def spindle_rows(x: np.ndarray):
@@ -73,15 +59,15 @@ def slow_wave_rows(x: np.ndarray):
     return rows
 
 
-def burst_rows(x: np.ndarray):
-    """The moving mean of |5-25 Hz| above four MADs over its median for at least half a second."""
+def burst_rows(x: np.ndarray, least_s: float = 3.0):
+    """The moving mean of |5-25 Hz| above four MADs over its median for at least three seconds."""
     band = np.abs(dsp.sosfiltfilt(dsp.butter_sos(4, (5, 25), FS), x)[0])
     env = dsp.moving_average(band, int(0.25 * FS))
     med = np.median(env)
     limit = med + 4 * np.median(np.abs(env - med))
     rows = []
     for a, b in dsp.true_runs(env > limit):
-        if (b - a) / FS >= 0.5:
+        if (b - a) / FS >= least_s:
             f = np.fft.rfftfreq(b - a, 1 / FS)
             p = np.abs(np.fft.rfft(x[a:b] - x[a:b].mean())) ** 2
             ok = (f >= 1) & (f <= 15)
@@ -111,18 +97,17 @@ def band_rows(x: np.ndarray):
 
 
 def entropy_rows(x: np.ndarray):
-    """Spectral and sample entropy, Higuchi dimension, Lempel-Ziv complexity."""
+    """Spectral and sample entropy, Higuchi dimension, Lempel-Ziv complexity of a whole epoch (of 2,000 samples at most)."""
     _, p = dsp.welch(x, FS, 256)
     q = p[0] / p[0].sum()
     q = q[q > 0]
     spectral = float(-(q * np.log2(q)).sum() / np.log2(len(p[0])))
-    y = x[:600]
-    r = 0.2 * y.std()
-    hits = []
-    for m in (2, 3):
-        e = np.stack([y[i: len(y) - 2 + i] for i in range(m)], axis=1) if m == 3 else np.stack([y[i: len(y) - 2 + i] for i in range(2)], axis=1)
-        near = np.abs(e[:, None, :] - e[None, :, :]).max(axis=2) <= r
-        hits.append((near.sum() - len(e)) / 2)
+    r = 0.2 * x.std()
+    last = len(x) - 2
+    two = np.abs(x[:last, None] - x[None, :last]) <= r
+    two &= np.abs(x[1: last + 1, None] - x[None, 1: last + 1]) <= r
+    three = two & (np.abs(x[2:, None] - x[None, 2:]) <= r)
+    hits = [(near.sum() - last) / 2 for near in (two, three)]
     sample = float(-np.log(hits[1] / hits[0])) if hits[0] and hits[1] else None
     lengths, ks = [], range(1, 9)
     for k in ks:
@@ -148,55 +133,65 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query("spindles")
 def spindles(spark, d):
-    return _rounded(per_channel(samples(spark, d), spindle_rows, "start_s double, end_s double, peak_s double, amplitude double"))
+    return _rounded(per_epoch(stored_epochs(spark, d), spindle_rows, "start_s double, end_s double, peak_s double, amplitude double"))
 
 
 @query("slow_waves")
 def slow_waves(spark, d):
-    return _rounded(per_channel(samples(spark, d), slow_wave_rows, "start_s double, neg_peak_s double, zero_cross_s double, neg_peak_uv double, ptp_uv double, slope_uv_per_s double"))
+    return _rounded(per_epoch(stored_epochs(spark, d), slow_wave_rows, "start_s double, neg_peak_s double, zero_cross_s double, neg_peak_uv double, ptp_uv double, slope_uv_per_s double"))
 
 
 @query("bursts")
 def bursts(spark, d):
-    return _rounded(per_channel(samples(spark, d), burst_rows, "start_s double, end_s double, dominant_hz double"))
+    return _rounded(per_epoch(stored_epochs(spark, d), burst_rows, "start_s double, end_s double, dominant_hz double"))
 
 
 @query("spikes")
 def spikes(spark, d):
-    return _rounded(per_channel(samples(spark, d), spike_rows, "t_s double, height double"))
+    return _rounded(per_epoch(stored_epochs(spark, d), spike_rows, "t_s double, height double"))
 
 
 @query("band_powers")
 def band_powers(spark, d):
-    return _rounded(per_channel(samples(spark, d), band_rows, "delta_pct double, theta_pct double, alpha_pct double, beta_pct double, dar double, peak_hz double, aperiodic double, stage string"))
+    return _rounded(per_epoch(stored_epochs(spark, d), band_rows, "delta_pct double, theta_pct double, alpha_pct double, beta_pct double, dar double, peak_hz double, aperiodic double, stage string"))
 
 
 @query("entropies")
 def entropies(spark, d):
-    return _rounded(per_channel(samples(spark, d), entropy_rows, "spectral double, sample double, higuchi double, lempel_ziv double"))
+    """Medians over the epochs of a channel."""
+    rows = per_epoch(stored_epochs(spark, d), entropy_rows, "spectral double, sample double, higuchi double, lempel_ziv double")
+    return _rounded(rows.groupBy("rec", "ch").agg(*[F.median(c).alias(c) for c in ("spectral", "sample", "higuchi", "lempel_ziv")], F.count(F.lit(1)).alias("n_epochs")))
 
 
-def spectra_rows(x: np.ndarray):
-    """Complex spectra of 2 s segments at 8-13 Hz, for connectivity."""
+def cross_sums(x: np.ndarray, y: np.ndarray, low: float = 8.0, high: float = 13.0) -> tuple[float, float, float]:
+    """Sums of the imaginary cross-spectrum of two channels over 2 s segments and the bins of a band: plain, squared, absolute."""
     n = int(2 * FS)
     f = np.fft.rfftfreq(n, 1 / FS)
-    ok = np.flatnonzero((f >= 8) & (f < 13))
-    rows = []
-    for seg in range(len(x) // n):
-        s = np.fft.rfft(x[seg * n: (seg + 1) * n] - x[seg * n: (seg + 1) * n].mean())
-        rows += [(seg, int(b), float(s[b].real), float(s[b].imag)) for b in ok]
-    return rows
+    ok = (f >= low) & (f < high)
+    parts = [z[: len(z) // n * n].reshape(-1, n) for z in (x, y)]
+    a, b = (np.fft.rfft(z - z.mean(axis=1, keepdims=True), axis=1)[:, ok] for z in parts)
+    im = (a * np.conj(b)).imag
+    return float(im.sum()), float((im * im).sum()), float(np.abs(im).sum())
 
 
 @query("wpli")
 def wpli(spark, d):
-    """Debiased weighted phase lag index of channel pairs; the sums over segments and bins are Spark's."""
-    s = per_channel(samples(spark, d), spectra_rows, "seg int, bin int, re double, im double")
-    a, b = s.alias("a"), s.alias("b")
-    p = a.join(b, (F.col("a.rec") == F.col("b.rec")) & (F.col("a.seg") == F.col("b.seg")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.ch") < F.col("b.ch")))
-    im = F.col("a.im") * F.col("b.re") - F.col("a.re") * F.col("b.im")
-    g = p.groupBy(F.col("a.rec").alias("rec"), F.col("a.ch").alias("ch_i"), F.col("b.ch").alias("ch_j")).agg(
-        F.sum(im).alias("s"), F.sum(im * im).alias("q"), F.sum(F.abs(im)).alias("m"))
+    """Debiased weighted phase lag index of channel pairs; each epoch's sums are added up by Spark."""
+    names = ["rec", "ch_i", "ch_j", "s", "q", "m"]
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for rec, chans in zip(part["rec"], part["chans"], strict=True):
+                for i in range(len(chans)):
+                    for j in range(i + 1, len(chans)):
+                        x, y = (np.asarray(chans[k]["samples"], float) for k in (i, j))
+                        n = min(len(x), len(y))
+                        rows.append((rec, chans[i]["ch"], chans[j]["ch"], *cross_sums(x[:n], y[:n])))
+            yield pd.DataFrame(rows, columns=names)
+
+    sums = epochs_by_channel(stored_epochs(spark, d)).select("rec", "chans").mapInPandas(run, "rec bigint, ch_i string, ch_j string, s double, q double, m double")
+    g = sums.groupBy("rec", "ch_i", "ch_j").agg(*[F.sum(c).alias(c) for c in ("s", "q", "m")])
     w = (F.col("s") ** 2 - F.col("q")) / F.when(F.col("m") ** 2 > F.col("q"), F.col("m") ** 2 - F.col("q"))
     return g.select("rec", "ch_i", "ch_j", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), w)), 5).alias("w"))
 
@@ -225,17 +220,20 @@ def graph_metrics(spark, d):
 
 @query("microstates")
 def microstates(spark, d):
-    """Polarity-free k-means of the topographies at maxima of the global field, per recording."""
-    wide = samples(spark, d).select("rec", "ch", "us", "event_id", "t_s", "value")
+    """Polarity-free k-means of the topographies at maxima of the global field; a recording is at most 16 epochs here."""
+    wide = epochs_by_channel(stored_epochs(spark, d))
+    cols = ["rec", "state", "coverage_pct", "mean_ms", "per_s"]
 
     def run(pdf):
-        pdf = pdf.sort_values(["ch", "us", "event_id"])
-        chans = [(c, g) for c, g in pdf.groupby("ch")]
         rec = pdf["rec"].iloc[0]
-        cols = ["rec", "state", "coverage_pct", "mean_ms", "per_s"]
-        if len(chans) < 3:
+        pdf = pdf.sort_values("epoch")
+        names = [tuple(c["ch"] for c in chans) for chans in pdf["chans"]]
+        full = max(set(names), key=lambda v: (len(v), v))
+        blocks = [np.stack([np.asarray(c["samples"], float) for c in chans]) for chans, n in zip(pdf["chans"], names, strict=True)
+                  if n == full and len({len(c["samples"]) for c in chans}) == 1]
+        if len(full) < 3 or not blocks:
             return pd.DataFrame(columns=cols)
-        x = np.stack([signal_of(rec, c, g["t_s"].to_numpy(), g["value"].to_numpy()) for c, g in chans])
+        x = np.concatenate(blocks, axis=1)
         x = x - x.mean(axis=0)
         gfp = x.std(axis=0)
         at = dsp.find_peaks(gfp, 0.0, 2)
@@ -256,7 +254,7 @@ def microstates(spark, d):
         for name, j in zip("ABCD", order, strict=False):
             runs = dsp.true_runs(state == j)
             mean = float((runs[:, 1] - runs[:, 0]).mean() / FS * 1000) if len(runs) else 0.0
-            rows.append((rec, name, float((state == j).mean() * 100), mean, len(runs) / SECONDS))
+            rows.append((rec, name, float((state == j).mean() * 100), mean, len(runs) / (x.shape[1] / FS)))
         return pd.DataFrame(rows, columns=cols)
 
     return _rounded(wide.groupBy("rec").applyInPandas(run, "rec bigint, state string, coverage_pct double, mean_ms double, per_s double"))
