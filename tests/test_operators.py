@@ -126,3 +126,36 @@ def test_entropy_of_noise_is_higher_than_of_a_sine():
     t = np.arange(2000) / kernels.FS
     sine, noise = kernels.entropy_rows(np.sin(2 * np.pi * 5 * t))[0], kernels.entropy_rows(np.random.default_rng(0).standard_normal(2000))[0]
     assert all(a < b for a, b in zip(sine, noise, strict=True))
+
+
+def test_fast_oscillations_blinks_and_their_filters():
+    fs = kernels.FAST_FS
+    t = np.arange(int(fs * 2)) / fs
+    quiet = np.random.default_rng(0).standard_normal(len(t))
+    ripple = quiet + 30 * np.exp(-((t - 1) ** 2) / 0.0006) * np.sin(2 * np.pi * 150 * t)
+    got = kernels.hfo_rows(ripple)
+    assert len(got) == 1 and got[0][0] < 1 < got[0][1] and abs(got[0][2] - 150) < 20 and got[0][4]
+    assert not kernels.hfo_rows(quiet) and not kernels.hfo_rows(ripple, fs=256.0)
+    h = dsp.fir_band(256, (80, 250), fs)
+    gain = lambda f: abs(h @ np.exp(-2j * np.pi * f / fs * np.arange(len(h))))
+    assert len(h) % 2 and abs(gain(165) - 1) < 1e-3 and gain(40) < 0.01 and gain(350) < 0.01
+    y = dsp.firfiltfilt(h, np.sin(2 * np.pi * 165 * t))
+    assert np.abs(y - np.sin(2 * np.pi * 165 * t))[300:-300].max() < 0.01  # no delay
+    mains = dsp.sosfiltfilt(dsp.notch_sos(50, 30, fs), np.sin(2 * np.pi * 50 * t) + np.sin(2 * np.pi * 80 * t))[0]
+    assert abs(np.std(mains[512:-512]) - np.sqrt(0.5)) < 0.03
+    slow = np.arange(int(kernels.FS * 20)) / kernels.FS
+    wink = 150 * np.exp(-((slow - 5) ** 2) / 0.03) + 150 * np.exp(-((slow - 12) ** 2) / 0.03)
+    assert [round(a) for a, _ in kernels.blink_rows(wink, np.zeros(len(slow)))] == [5, 12]
+
+
+def test_submission_text_rules(spark):
+    from wavelake.functions import text
+
+    rows = {"1999-01-02": "iso_date", "3.4.2001": "numeric_date", "a@b.io": "email", "id 1234567": "long_number", "+49 170 123 4567": "phone", "see C:\\data\\x1": "path",
+            "Jane Doe": "name_like", "my child": "narrative", "123-45-6789": "ssn", "A123456789": "insurance_number", "DE12ABCDEFGHIJK1": "iban", "x" * 81: "too_long", "\u0410nna": "foreign_letter"}
+    df = spark.createDataFrame([(k,) for k in [*rows, "fine", "[-180,-135)", ""]], "t string")
+    got = {r.t: list(r.f) for r in df.select("t", text.submission_findings(F.col("t")).alias("f")).collect()}
+    assert all(name in got[k] for k, name in rows.items()) and got["fine"] == got[""] == got["[-180,-135)"] == []
+    wide = spark.createDataFrame([("\uff11\uff12\uff13-45-6789",)], "t string")  # full-width digits
+    both = wide.select(text.submission_findings(F.col("t")).alias("a"), text.submission_findings(F.col("t"), text.nfkc("t")).alias("b")).first()
+    assert "ssn" in both.b and "ssn" not in both.a

@@ -80,3 +80,26 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in got) == [1, 3]
     assert len(run_stream(spark, rates.distinct_events(stream()), "d", tmp_path)) == 5
     assert [r.n for r in run_stream(spark, rates.sessions(stream()), "s", tmp_path)] == [4]
+
+
+def test_anonymised_headers(spark, tmp_path):
+    from wavelake.sources.edf import anonymise
+
+    raw = b"0       " + b"Jane Doe 01-JAN-2001".ljust(80) + b"Startdate 02-MAR-2019 here".ljust(80) + b"02.03.1911.12.13" + b"256     " + bytes(range(256))
+    (tmp_path / "a.edf").write_bytes(raw)
+    (tmp_path / "short.edf").write_bytes(b"0       Jane Doe")
+    got = anonymise(spark.read.format("binaryFile").load(f"file://{tmp_path}")).collect()
+    assert len(got) == 1
+    out = bytes(got[0].content)
+    assert len(out) == len(raw) and out[:8] == raw[:8] and out[184:] == raw[184:]
+    assert b"Jane" not in out and b"2019" not in out and out[168:184] == b"01.01.8500.00.00"
+
+
+def test_aggregates_of_another_shape_are_refused(spark, tmp_path):
+    from wavelake.sources.tables import read_aggregates
+
+    (tmp_path / "a.json").write_text('{"version": 2,\n "cells": [{"n": 5}], "stamp": "x"}')
+    needed = {"version": "number", "cells": "array", "stamp": "string"}
+    assert read_aggregates(spark, f"file://{tmp_path}/a.json", needed).first().version == 2
+    with pytest.raises(ValueError, match="cells, more"):
+        read_aggregates(spark, f"file://{tmp_path}/a.json", {"cells": "string", "more": "number"})

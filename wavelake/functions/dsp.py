@@ -151,3 +151,29 @@ def true_runs(flag: np.ndarray) -> np.ndarray:
 
 def moving_average(x: np.ndarray, size: int) -> np.ndarray:
     return np.convolve(x, np.ones(size) / size, mode="same")
+
+
+def fir_band(taps: int, band, fs: float) -> np.ndarray:
+    """Band-pass by windowed sincs under a Hamming window, of unit gain at the band's middle; an even length gets one tap more."""
+    taps += 1 - taps % 2
+    t = np.arange(taps) - taps // 2
+    low, high = (2 * np.asarray(band, float) / fs)
+    h = (high * np.sinc(high * t) - low * np.sinc(low * t)) * (0.54 + 0.46 * np.cos(2 * np.pi * t / (taps - 1)))
+    return h / np.abs(h @ np.exp(-1j * np.pi * (low + high) / 2 * t))
+
+
+def firfiltfilt(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A symmetric filter run forth and back, with odd reflection at both ends: its squared response without delay."""
+    pad = min(3 * len(h), len(x) - 1)
+    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2: -pad - 2: -1]]) if pad > 0 else x
+    size = 1 << (len(ext) + 2 * len(h)).bit_length()
+    y = np.fft.irfft(np.fft.rfft(ext, size) * np.fft.rfft(h, size) ** 2, size)
+    return y[len(h) - 1 + pad: len(h) - 1 + pad + len(x)]
+
+
+def notch_sos(freq: float, q: float, fs: float) -> np.ndarray:
+    """Second-order notch with a width of freq / q."""
+    w = 2 * np.pi * freq / fs
+    beta = np.tan(w / q / 2)
+    gain = 1 / (1 + beta)
+    return np.array([[gain, -2 * gain * np.cos(w), gain, 1.0, -2 * gain * np.cos(w), 2 * gain - 1]])

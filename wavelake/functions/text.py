@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +32,43 @@ def scan(df: DataFrame, text: str) -> DataFrame:
     """Add ``findings`` (names of the patterns found) and ``clean``."""
     found = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(n)) for n, p in PATTERNS.items()]))
     return df.withColumn("findings", found).withColumn("clean", F.size("findings") == 0)
+
+
+#: What a submission's text is searched for, and the longest text allowed. Readable by Java and RE2 alike.
+SUBMISSION_PATTERNS = {
+    "iso_date": r"\b\d{4}-\d{2}-\d{2}\b",
+    "numeric_date": r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "long_number": r"\b\d{7,}\b",
+    "phone": r"(?:\+\d{1,3}[\s.-]?\d{2,4}[\s.-]?\d{3,4}[\s.-]?\d{3,4}|\(\d{2,4}\)[\s.-]?\d{3,4}[\s.-]?\d{3,4}|\b\d{2,4}\s\d{3,4}\s\d{3,4}\b)",
+    "path": r"(?:[A-Za-z]:[\\/]|/)[\w./\\-]{4,}",
+    "name_like": r"\b[A-Z][a-z]{1,}\s+[A-Z][a-z]{1,}\b",
+    "narrative": r"(?i)\b(?:my (?:son|daughter|child)|patient|named|called)\b",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "insurance_number": r"\b[A-Z]\d{9}\b",
+    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
+}
+LONGEST = 80
+
+SUBMISSION_SQL = ("concat_ws(',', CASE WHEN length({t}) > 80 THEN 'too_long' END, "
+                  + ", ".join(f"CASE WHEN regexp_matches({{t}}, '{p}') THEN '{n}' END" for n, p in ((n, p.replace("{", "{{").replace("}", "}}")) for n, p in SUBMISSION_PATTERNS.items()))
+                  + r", CASE WHEN regexp_matches(regexp_replace({t}, '[A-Za-z]', '', 'g'), '\p{{L}}') THEN 'foreign_letter' END)")
+
+
+def nfkc(text: str):
+    """Compatibility forms of characters folded together; Spark has no function for it, so this is an Arrow-batched one."""
+    @F.pandas_udf("string")
+    def fold(col: pd.Series) -> pd.Series:
+        return col.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return fold(text)
+
+
+def submission_findings(text: Column, folded: Column | None = None) -> Column:
+    """Names of all that a submitted text must not hold: a length over LONGEST, identifiers (sought in ``folded``, the
+    text after NFKC, where given), letters beyond ASCII. A null text has none."""
+    where = text if folded is None else folded
+    found = [F.when(F.length(text) > LONGEST, F.lit("too_long"))]
+    found += [F.when(where.rlike(p), F.lit(n)) for n, p in SUBMISSION_PATTERNS.items()]
+    found.append(F.when(F.regexp_replace(text, "[A-Za-z]", "").rlike(r"\p{L}"), F.lit("foreign_letter")))
+    return F.array_compact(F.array(*found))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.functions import dsp
+from wavelake.operators import recordings
 from wavelake.plans.base import FS, query, stored_epochs
 
 
@@ -127,6 +128,42 @@ def entropy_rows(x: np.ndarray):
     return [(spectral, sample, higuchi, float(n_words * np.log2(len(bits)) / len(bits)))]
 
 
+#: Nominal rate at which the stored blocks are read for fast oscillations, and the least rate at which they can be sought.
+FAST_FS, LEAST_FS = 1024.0, 600.0
+
+
+def hfo_rows(x: np.ndarray, fs: float = FAST_FS, band=(80.0, 250.0)):
+    """80-250 Hz after mains notches; 6 ms RMS above five deviations of its quieter half (1 µV at least), grown down to
+    half of that, 36-200 ms long. A ripple has twice the power of the band's lower neighbour; others are artefacts.
+
+    A rate under LEAST_FS gives no events. Overlapping growths count once."""
+    if fs < LEAST_FS or len(x) < 8:
+        return []
+    y = np.asarray(x, float)
+    for f in (50.0, 100.0):
+        y = dsp.sosfiltfilt(dsp.notch_sos(f, 30, fs), y)[0]
+    y = dsp.firfiltfilt(dsp.fir_band(int(2 * fs) // 16, band, fs), y)
+    rms = np.sqrt(np.maximum(dsp.moving_average(y * y, max(1, int(0.006 * fs))), 0))
+    quiet = np.sort(rms)[: max(1, len(rms) // 2)]
+    limit = quiet.mean() + 5 * max(quiet.std(), 0.2)
+    rows = []
+    for a, b in dsp.true_runs(rms > limit / 2):
+        if rms[a:b].max() > limit and 0.036 <= (b - a) / fs <= 0.2:
+            f, p = np.fft.rfftfreq(b - a, 1 / fs), np.abs(np.fft.rfft(x[a:b] - x[a:b].mean())) ** 2
+            inside, below = p[(f >= band[0]) & (f <= band[1])], p[(f >= 20) & (f < band[0])]
+            ratio = float(inside.sum() / max(below.sum(), 1e-12))
+            at = f[(f >= band[0]) & (f <= band[1])]
+            rows.append((a / fs, b / fs, float(at[np.argmax(inside)]) if len(at) else None, float((rms[a:b].max() - quiet.mean()) / max(quiet.std(), 0.2)), bool(ratio >= 2)))
+    return rows
+
+
+def blink_rows(x: np.ndarray, y: np.ndarray, fs: float = FS):
+    """The larger of two frontal channels at 0.5-4 Hz; peaks of 75 µV, 0.3 s apart."""
+    sos = dsp.butter_sos(2, (0.5, 4), fs)
+    both = np.maximum(np.abs(dsp.sosfiltfilt(sos, x)[0]), np.abs(dsp.sosfiltfilt(sos, y)[0]))
+    return [(i / fs, float(both[i])) for i in dsp.find_peaks(both, 75.0, int(0.3 * fs))]
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(f.name, 5).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
 
@@ -258,3 +295,55 @@ def microstates(spark, d):
         return pd.DataFrame(rows, columns=cols)
 
     return _rounded(wide.groupBy("rec").applyInPandas(run, "rec bigint, state string, coverage_pct double, mean_ms double, per_s double"))
+
+
+@query("hfo")
+def hfo(spark, d):
+    """Fast oscillations, the stored blocks read at a nominal 1,024 Hz."""
+    return _rounded(per_epoch(stored_epochs(spark, d), hfo_rows, "start_s double, end_s double, peak_hz double, rms_z double, is_ripple boolean"))
+
+
+@query("blinks")
+def blinks(spark, d):
+    """Blinks of an epoch from its first two channels, and whether the epoch is clean."""
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for rec, epoch, chans in part.itertuples(index=False):
+                found = blink_rows(*(np.asarray(c["samples"], float) for c in chans[:2])) if len(chans) > 1 and len(chans[0]["samples"]) == len(chans[1]["samples"]) else []
+                rows.append((rec, epoch, len(found), not found))
+            yield pd.DataFrame(rows, columns=["rec", "epoch", "n_blinks", "clean"])
+
+    return epochs_by_channel(stored_epochs(spark, d)).select("rec", "epoch", "chans").mapInPandas(run, "rec bigint, epoch bigint, n_blinks bigint, clean boolean")
+
+
+#: Spindles a minute that are usual, by age from that on.
+SPINDLE_NORMS = ((0, 2.0), (5, 4.0), (12, 5.0), (18, 4.0))
+
+
+@query("spindle_density")
+def spindle_density(spark, d):
+    """Spindles a minute of each channel against the norm of the recording's age (its number, here)."""
+    e = stored_epochs(spark, d)
+    found = per_epoch(e, spindle_rows, "start_s double, end_s double, peak_s double, amplitude double").groupBy("rec", "ch").agg(F.count(F.lit(1)).alias("n"))
+    minutes = e.groupBy("rec", "ch").agg((F.sum(F.size("samples")) / FS / 60).alias("minutes"))
+    age, norm = F.col("rec") % 20, F.lit(SPINDLE_NORMS[0][1])
+    for start, value in SPINDLE_NORMS[1:]:
+        norm = F.when(age >= start, F.lit(value)).otherwise(norm)
+    out = minutes.join(found, ["rec", "ch"], "left").select("rec", "ch", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("minutes")).alias("per_min"), norm.alias("norm"))
+    label = F.when(F.col("per_min") < 0.5 * F.col("norm"), "low").when(F.col("per_min") > 1.5 * F.col("norm"), "high").otherwise("usual")
+    return _rounded(out.withColumn("label", label))
+
+
+@query("slow_wave_means")
+def slow_wave_means(spark, d):
+    """Slow waves of live channels, their rate and mean shape; channels without any have nulls."""
+    e = stored_epochs(spark, d)
+    sd = e.select("rec", "ch", "epoch", F.expr("aggregate(samples, named_struct('n', 0D, 's', 0D, 'q', 0D), (a, x) -> named_struct('n', a.n + 1, 's', a.s + x, 'q', a.q + x * x), "
+                                               "a -> sqrt(greatest(a.q / a.n - (a.s / a.n) * (a.s / a.n), 0)))").alias("sd"))
+    live = recordings.live_channels(sd, ["rec", "ch"]).where("live").select("rec", "ch")
+    waves = per_epoch(e.join(live, ["rec", "ch"]), slow_wave_rows, "start_s double, neg_peak_s double, zero_cross_s double, neg_peak_uv double, ptp_uv double, slope_uv_per_s double")
+    g = waves.groupBy("rec", "ch").agg(F.count(F.lit(1)).alias("n"), F.avg("ptp_uv").alias("ptp_uv"), F.avg("slope_uv_per_s").alias("slope_uv_per_s"))
+    minutes = e.groupBy("rec", "ch").agg((F.sum(F.size("samples")) / FS / 60).alias("minutes")).join(live, ["rec", "ch"])
+    return _rounded(minutes.join(g, ["rec", "ch"], "left").select("rec", "ch", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("minutes")).alias("per_min"), "ptp_uv", "slope_uv_per_s"))

@@ -32,3 +32,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     """(good rows, bad lines): lines that do not parse are kept apart, not lost."""
     raw = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     return raw.where("_bad is null").drop("_bad"), raw.where("_bad is not null").select(F.col("_bad").alias("line"))
+
+
+def read_aggregates(spark: SparkSession, path: str, needed: dict[str, str]) -> DataFrame:
+    """Rows of a multi-line JSON file of aggregates. A file without one of the ``needed`` fields, or with one of another
+    kind ("number", "string" or "array"), is refused as a whole."""
+    df = spark.read.option("multiLine", True).json(path)
+    kinds = {"bigint": "number", "double": "number", "string": "string"}
+    found = {f.name: kinds.get(f.dataType.simpleString(), f.dataType.typeName()) for f in df.schema.fields}
+    wrong = sorted(c for c, k in needed.items() if found.get(c) != k)
+    if wrong:
+        raise ValueError(f"aggregates of another shape: {', '.join(wrong)}")
+    return df
