@@ -34,19 +34,21 @@ def scan(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("findings", found).withColumn("clean", F.size("findings") == 0)
 
 
-#: What a submission's text is searched for, and the longest text allowed. Readable by Java and RE2 alike.
+_EDGE, _END = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+#: What a submission's text is searched for, and the longest text allowed. Readable by Java and RE2 alike;
+#: the edges of words are written out, as engines differ on them beside letters beyond ASCII.
 SUBMISSION_PATTERNS = {
-    "iso_date": r"\b\d{4}-\d{2}-\d{2}\b",
-    "numeric_date": r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b",
+    "iso_date": _EDGE + r"\d{4}-\d{2}-\d{2}" + _END,
+    "numeric_date": _EDGE + r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}" + _END,
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "long_number": r"\b\d{7,}\b",
-    "phone": r"(?:\+\d{1,3}[\s.-]?\d{2,4}[\s.-]?\d{3,4}[\s.-]?\d{3,4}|\(\d{2,4}\)[\s.-]?\d{3,4}[\s.-]?\d{3,4}|\b\d{2,4}\s\d{3,4}\s\d{3,4}\b)",
+    "long_number": _EDGE + r"\d{7,}" + _END,
+    "phone": r"(?:\+\d{1,3}[\s.-]?\d{2,4}[\s.-]?\d{3,4}[\s.-]?\d{3,4}|\(\d{2,4}\)[\s.-]?\d{3,4}[\s.-]?\d{3,4}|" + _EDGE + r"\d{2,4}\s\d{3,4}\s\d{3,4}" + _END + r")",
     "path": r"(?:[A-Za-z]:[\\/]|/)[\w./\\-]{4,}",
-    "name_like": r"\b[A-Z][a-z]{1,}\s+[A-Z][a-z]{1,}\b",
-    "narrative": r"(?i)\b(?:my (?:son|daughter|child)|patient|named|called)\b",
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "insurance_number": r"\b[A-Z]\d{9}\b",
-    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
+    "name_like": _EDGE + r"[A-Z][a-z]{1,}\s+[A-Z][a-z]{1,}" + _END,
+    "narrative": r"(?i)" + _EDGE + r"(?:my (?:son|daughter|child)|patient|named|called)" + _END,
+    "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
+    "insurance_number": _EDGE + r"[A-Z]\d{9}" + _END,
+    "iban": _EDGE + r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}" + _END,
 }
 LONGEST = 80
 

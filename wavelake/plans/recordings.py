@@ -53,10 +53,11 @@ def event_sample_windows(spark, d):
 
 
 def _spread(spark, d):
-    return samples(spark, d).groupBy("rec", "ch", "epoch").agg(F.stddev_pop("value").alias("sd"))
+    """Spread of a channel in blocks of ten days, for a user has few events in a shorter one."""
+    return samples(spark, d).groupBy("rec", "ch", F.expr("epoch div 480").alias("epoch")).agg(F.stddev_pop("value").alias("sd"))
 
 
-LIVE = f"""{S}, e AS (SELECT rec, ch, epoch, stddev_pop(value) AS sd FROM s GROUP BY ALL),
+LIVE = f"""{S}, e AS (SELECT rec, ch, epoch // 480 AS epoch, stddev_pop(value) AS sd FROM s GROUP BY ALL),
 i AS (SELECT *, row_number() OVER (PARTITION BY rec, ch ORDER BY epoch) - 1 AS i, count(*) OVER (PARTITION BY rec, ch) AS n FROM e),
 l AS (SELECT rec, ch, median(sd) AS sigma, coalesce(median(sd) >= 1.5, true) AS live FROM i JOIN (SELECT unnest([1, 2, 3]) AS k) ON i = k * n // 4 GROUP BY rec, ch)"""
 
