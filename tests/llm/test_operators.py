@@ -140,6 +140,31 @@ def test_blocks_of_pages():
     assert blocks_of(None) == [] and blocks_of("") == []
 
 
+def test_made_pages_give_back_their_articles(spark):
+    """Pages are made from known articles and known surroundings; the articles must come back, whole and in order."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgéß") for _ in range(rng.randrange(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    around = ["<nav><ul><li><a href='/x'>{}</a></li></ul></nav>", "<div class='ad'>{}</div>", "<aside>{}</aside>", "<div id='cookie-notice'>{}</div>", "<form>{}<input></form>",
+              "<script>var a = '<p>{}</p>';</script>", "<style>p{{}} /* {} */</style>", "<!-- {} -->", "<div class=\"sidebar\">{}</div>", "<header>{}</header>", "<footer>&copy; {}</footer>"]
+    inside = ["<div class='share'>{}</div>", "<section class='comments'><p>{}</p></section>", "<script>{}</script>", "<aside>{}</aside>", "<!-- {} -->"]
+    escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace("é", "&eacute;").replace("ß", "&#223;")
+    rows, want = [], {}
+    for i in range(60):
+        blocks = [line(rng.randrange(1, 30)) + rng.choice(["", " & more", " a < b", "."]) for _ in range(rng.randrange(0, 8))]
+        parts = []
+        for b in blocks:
+            if rng.random() < 0.3:
+                parts.append(rng.choice(inside).format(line(5)))
+            html = escape(b).replace(" ", rng.choice([" ", "\n  ", " <b>", "\t"]), 1)
+            parts.append(f"<{'p' if '<b>' not in html else 'p'}>{html}{'</b>' if '<b>' in html else ''}</p>")
+        before, after = ("".join(rng.choice(around).format(line(6)) for _ in range(3)) for _ in range(2))
+        rows.append((i, f"https://h{i % 4}.example.org/{i}", f"<!DOCTYPE html><html><head><title>{line(3)}</title></head><body>{before}<article>{''.join(parts)}</article>{after}</body></html>"))
+        want[i] = "\n".join(blocks)
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_text_without_a_marked_article_loses_what_pages_of_its_host_share(spark):
     nav = "<div><ul><li>Home page link</li><li>About our company</li><li>Contact the people here</li></ul></div>"
     page = lambda i: f"{nav}<div><p>Unique text {i} with words w{i * 7} and more {i * 13}.</p></div><p>All rights reserved by the company of this host, two thousand.</p>"

@@ -19,15 +19,18 @@ def model_path() -> str:
     return public_tokenizers.path(MODEL_NAME)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; with ``spread``, one of fewer file splits than cores (a small or a single file) is dealt to all cores."""
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"))
 
 
 #: Bytes a shard may hold.
@@ -76,7 +79,7 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_text
 
-    out = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    out = extract_text(table(spark, sf_dir, "pages", spread=True).select("page_id", "url", "html"))
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
@@ -87,7 +90,7 @@ REPEAT_BYTES = 400
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), REPEAT_BYTES)
+    out = remove_repeats(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), REPEAT_BYTES)
     # text: what is left, with U+FFFD for the bytes of a character that was cut
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
@@ -95,7 +98,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_documents
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     out = encode_documents(docs, model_path()).drop("text")
     return out.select("doc_id", "n_tokens", F.sha2("ids_u32", 256).alias("ids_sha256"),
                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
@@ -116,7 +119,7 @@ def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame):
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import held_out, score_documents
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     scored = score_documents(docs, quality_model(spark, sf_dir, docs)).drop("text")
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
