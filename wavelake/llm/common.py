@@ -55,6 +55,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.saved: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -65,11 +66,21 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._wavelake_path = path
+        self.saved.append(out)
+        return out
+
+    def keep_only(self, df: DataFrame, name: str) -> DataFrame:
+        """Save a last table and drop all those that it was made from."""
+        before, self.saved = self.saved, []
+        out = self.save(df, name)
+        for old in before:
+            self.drop(old)
         return out
 
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_wavelake_path", None)
         if path:
+            df._wavelake_path = None
             jvm = self.spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

@@ -292,15 +292,13 @@ def _grouped(df: DataFrame, percent: int) -> DataFrame:
     more = scratch.save(_verify(cross, texts, percent), "links")
     if not more.isEmpty():
         comps = scratch.save(connected_components(links.unionByName(more), scratch), "components")
-    for done in (texts, buckets, classes):
-        scratch.drop(done)
-
     named = rows.join(comps, F.col("sid") == F.col("node"), "left").withColumn("group", F.coalesce("comp", "sid"))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     # stored, so that the join below is no more than a join, which adaptive execution splits where a group is large
     least = scratch.save(named.where("group is not null").groupBy("group").agg(F.min(key).alias("first")), "least")
     out = named.join(least, "group", "left").withColumn("first", F.coalesce("first", key))
-    return out.select("doc_id", "th", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first.th").alias("component_th"))
+    out = out.select("doc_id", "th", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first.th").alias("component_th"))
+    return scratch.keep_only(out, "groups")
 
 
 def near_duplicates(df: DataFrame, percent: int = 75) -> DataFrame:

@@ -421,7 +421,8 @@ so do runs of that many words that occur at another place, whatever white space
         runs = repeated_spans(_name_words(texts), words * WORD, scratch).withColumnRenamed("spans", "in_words")
         spans = spans.drop("in_words").unionByName(runs, allowMissingColumns=True).groupBy("doc_id", "th").agg(
             *[F.first(c, ignorenulls=True).alias(c) for c in ("spans", "in_words")])
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans", "in_words")
+    # the spans alone outlive this: segments and places go
+    spans = scratch.keep_only(spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans", "in_words"), "spans")
     rest = [c for c in df.columns if c != "text"]
     packed = pack_texts(keyed.select(*rest, "_th", "text"))
     joined = packed.join(spans, F.col("_th").eqNullSafe(F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(*rest, "z", "spans", "in_words")
