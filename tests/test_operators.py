@@ -159,3 +159,33 @@ def test_submission_text_rules(spark):
     wide = spark.createDataFrame([("\uff11\uff12\uff13-45-6789",)], "t string")  # full-width digits
     both = wide.select(text.submission_findings(F.col("t")).alias("a"), text.submission_findings(F.col("t"), text.nfkc("t")).alias("b")).first()
     assert "ssn" in both.b and "ssn" not in both.a
+
+
+def test_block_bootstrap_against_one_loop(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, b, float(v)) for g in range(2) for b in range(40) for v in rng.normal(g, 1, 1 + b % 3)] + [(1, 3, None)]
+    df = spark.createDataFrame(rows, "g long, b long, v double")
+    got = {r.g: r for r in longitudinal.block_bootstrap_ci(df, ["g"], "b", "v", draws=400).collect()}
+    seeds = {(r.g, r.b): r.h for r in df.select("g", "b", F.xxhash64("g", "b").alias("h")).distinct().collect()}
+    for g in range(2):
+        n, s = np.zeros(400), np.zeros(400)
+        for b in range(40):
+            v = [x for i, j, x in rows if (i, j) == (g, b) and x is not None]
+            times = np.random.default_rng([42, seeds[g, b] % 2**64]).poisson(1.0, 400)
+            n, s = n + times * len(v), s + times * sum(v)
+        own = [x for i, _, x in rows if i == g and x is not None]
+        assert abs(got[g].point - np.mean(own)) < 1e-9 and np.allclose([got[g].lo, got[g].hi], np.percentile(s / n, [2.5, 97.5]))
+        assert got[g].lo < g < got[g].hi and abs((got[g].hi - got[g].lo) / (2 * 1.96 / np.sqrt(len(own))) - 1) < 0.5
+
+
+def test_triangles_against_all_triples(spark):
+    from wavelake.operators.graph import triangles
+
+    rng = random.Random(3)
+    edges = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(110)} | {(0, j) for j in range(1, 25)}
+    want = {}
+    for t in itertools.combinations(range(25), 3):
+        if all(p in edges for p in itertools.combinations(t, 2)):
+            for v in t:
+                want[v] = want.get(v, 0) + 1
+    assert {r.node: r.triangles for r in triangles(spark.createDataFrame(sorted(edges), "i long, j long")).collect()} == want

@@ -78,6 +78,36 @@ def slope_label(slope: Column, stable: float) -> Column:
     return F.when(slope.isNull(), "not_evaluable").when(F.abs(slope) < stable, "stable").when(slope > 0, "rising").otherwise("falling")
 
 
+def block_bootstrap_ci(df: DataFrame, keys: Sequence[str], block: str, value: str, draws: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """keys, point, lo, hi: percentile bootstrap of the mean with blocks drawn whole, for groups of any size.
+
+    Values are first summed per block. A block's number of appearances in each draw is Poisson of mean 1 from a generator
+    seeded by the block itself, so partitions do not matter; a task adds up the draws of the blocks it holds, Spark
+    the tasks'. Null values are left out; a draw without any block does not count."""
+    sums = df.where(F.col(value).isNotNull()).groupBy(*keys, block).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(value).alias("s"))
+    sums = sums.withColumn("_seed", F.xxhash64(*keys, block))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n array<double>, s array<double>"])
+
+    def run(parts):
+        import pandas as pd
+
+        for part in parts:
+            held: dict[tuple, np.ndarray] = {}
+            for row in part.itertuples(index=False):
+                key, (n, s, own) = tuple(row[: len(keys)]), row[len(keys):]
+                times = np.random.default_rng([seed, own % 2**64]).poisson(1.0, draws)
+                held[key] = held.get(key, 0.0) + np.stack([times * n, times * s])
+            yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=[*keys, "n", "s"])
+
+    drawn = sums.select(*keys, "n", "s", "_seed").mapInPandas(run, schema)
+    drawn = drawn.select(*keys, F.posexplode(F.arrays_zip("n", "s")).alias("_d", "_x")).groupBy(*keys, "_d").agg(F.sum("_x.n").alias("n"), F.sum("_x.s").alias("s"))
+    tail = (1 - level) / 2
+    ends = drawn.where("n > 0").groupBy(*keys).agg(F.percentile(F.col("s") / F.col("n"), F.array(F.lit(tail), F.lit(1 - tail))).alias("_p"))
+    point = sums.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("point"))
+    return point.join(ends, list(keys), "left").select(*keys, "point", F.col("_p")[0].alias("lo"), F.col("_p")[1].alias("hi"))
+
+
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, draws: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """keys, point, lo, hi: percentile bootstrap of the mean, one seeded generator per group."""
 

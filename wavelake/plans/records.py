@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wavelake.functions import text as phi
-from wavelake.operators import cohort, joins, longitudinal, sequences
+from wavelake.operators import cohort, graph, joins, longitudinal, sequences
 from wavelake.plans.base import S, query, samples, table
 
 PIVOT = "1995-06-17"
@@ -241,13 +241,11 @@ e AS (SELECT i, j FROM e0 UNION ALL SELECT j, i FROM e0), deg AS (SELECT i, coun
 t AS (SELECT a.i, count(*) AS tri FROM e a JOIN e b ON a.j = b.i JOIN e c ON b.j = c.j AND c.i = a.i WHERE b.j <> a.i GROUP BY a.i)
 SELECT deg.i AS node, k AS degree, CASE WHEN k >= 2 THEN round(coalesce(tri, 0) / (k * (k - 1))::DOUBLE, 6) ELSE 0.0::DOUBLE END AS clustering FROM deg LEFT JOIN t ON t.i = deg.i""")
 def graph_strength_clustering(spark, d):
-    """Degree and clustering of each node, by joining edges into triangles."""
+    """Degree and clustering of each node, from edges that point to the larger degree."""
     other = F.col("l_partkey") % 100 + 1
     e0 = table(spark, d, "lineitem").where((F.col("l_suppkey") != other) & (F.col("l_quantity") > 45)).select(F.least("l_suppkey", other).alias("i"), F.greatest("l_suppkey", other).alias("j")).distinct()
-    e = e0.unionByName(e0.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    b, c = e.select(F.col("i").alias("j"), F.col("j").alias("k")), e.select(F.col("i").alias("i2"), F.col("j").alias("k2"))
-    tri = e.join(b, "j").where("k <> i").join(c, (F.col("i") == F.col("i2")) & (F.col("k") == F.col("k2"))).groupBy("i").agg(F.count(F.lit(1)).alias("tri"))
-    deg = e.groupBy("i").agg(F.count(F.lit(1)).alias("k")).join(tri, "i", "left")
+    tri = graph.triangles(e0).select(F.col("node").alias("i"), (2 * F.col("triangles")).alias("tri"))
+    deg = e0.select(F.explode(F.array("i", "j")).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("k")).join(tri, "i", "left")
     share = F.coalesce("tri", F.lit(0)) / (F.col("k") * (F.col("k") - 1))
     return deg.select(F.col("i").alias("node"), F.col("k").alias("degree"), F.when(F.col("k") >= 2, F.round(share, 6)).otherwise(0.0).alias("clustering"))
 
@@ -323,6 +321,6 @@ def permutation_p(spark, d):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
-    """Seeded percentile bootstrap of the mean value of each recording."""
-    out = longitudinal.bootstrap_ci(samples(spark, d), ["rec"], "value", draws=500)
+    """Seeded percentile bootstrap of the mean value of each recording, its epochs drawn as blocks."""
+    out = longitudinal.block_bootstrap_ci(samples(spark, d), ["rec"], "epoch", "value", draws=500)
     return out.select("rec", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
