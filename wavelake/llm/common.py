@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -48,6 +50,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def release() -> None:
+    """Give back memory that is free inside this process. Workers outlive their tasks and stand beside those of other
+    stages, so what a task's arrays left behind would count against the executor until the worker ends."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to do
+        pass
+
+
+def tidy(run):
+    """A kernel over Arrow batches whose worker gives its free memory back at the end of each task."""
+
+    @wraps(run)
+    def kernel(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return kernel
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; each can be dropped once it is not needed."""
 

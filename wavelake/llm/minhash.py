@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, U, Rolling, connected_components, mix, pieces, text_bytes, words
+from .common import Scratch, U, Rolling, connected_components, mix, pieces, text_bytes, tidy, words
 
 SHINGLE = 5
 BINS = 128
@@ -133,7 +133,7 @@ def sketch_documents(df: DataFrame) -> DataFrame:
                      pa.array([next(bands) if len(x) else None for x in sets], pa.list_(pa.int64()))],
                     ["doc_id", "th", "n_shingles", "sid", "bands"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th bigint, n_shingles bigint, sid binary, bands array<bigint>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, th bigint, n_shingles bigint, sid binary, bands array<bigint>")
 
 
 def _packed(df: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def _packed(df: DataFrame) -> DataFrame:
             z = pa.array([press.compress((x.as_py() or "").encode()) for x in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), z], ["doc_id", "th", "z"])
 
-    return df.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, z binary")
+    return df.select("doc_id", "th", "text").mapInArrow(tidy(run), f"doc_id {kind}, th bigint, z binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     left = texts.select(F.col("sid").alias("a"), F.col("z").alias("za"))
     right = texts.select(F.col("sid").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def _close_pairs(apart: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 x = shingles.chunk(data, np.array([0, len(data)]))[0]
                 yield pa.RecordBatch.from_arrays([pa.array([sid.as_py()], pa.binary()).take(pa.array(np.zeros(len(x), np.int64))), pa.array(x.view(np.int64))], ["sid", "w"])
 
-    rows = texts.join(apart.select("sid"), "sid", "left_semi").select("sid", "z").mapInArrow(run, "sid binary, w bigint")
+    rows = texts.join(apart.select("sid"), "sid", "left_semi").select("sid", "z").mapInArrow(tidy(run), "sid binary, w bigint")
     shared = rows.groupBy("w").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     of = rows.join(shared, "w").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("of"))
     of = of.join(apart, "sid").withColumn("own", F.col("n") - F.size("of"))

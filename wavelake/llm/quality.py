@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Rolling, mix, pieces, text_bytes, words
+from .common import U, Rolling, mix, pieces, text_bytes, tidy, words
 
 #: Hash space of the indicators, as a power of two.
 SPACE = 18
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
                     ["doc_id", "label", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, label int, ids array<int>").toArrow()
+    got = rows.select("doc_id", "text", "label").mapInArrow(tidy(run), f"doc_id {kind}, label int, ids array<int>").toArrow()
     y = got.column("label").to_numpy().astype(np.int64)
     x = [np.asarray(v.values, np.int32) for v in got.column("ids")]
     keys = got.column("doc_id").to_pylist()
@@ -231,7 +231,7 @@ def score_documents(df: DataFrame, model: Model, text: str = "text", score: str
                 scores = pa.array([m.score(x) for x in ids], pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, score])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

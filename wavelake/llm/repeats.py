@@ -17,28 +17,56 @@ all but that many of their bytes, and those bytes become the key.
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, U, Rolling, pieces, text_bytes
+from .common import Scratch, U, Rolling, pieces, text_bytes, tidy, words
 from .suffix import common_prefix_reaches, suffix_array
 
 CHUNK = 1 << 19
 #: Texts longer than this are cut into overlapping parts while anchors are sought.
-PART = 1 << 22
+PART = 1 << 20
 #: Different segments of one key that a task takes; more are dealt again by a longer core.
 CROWD = 256
 #: Bytes of segments in one suffix array.
 ARRAY_BYTES = 1 << 20
-#: Letters that stand for a word where repeats are counted in words.
+#: Bytes of a hash that stand for a word where repeats are counted in words.
 WORD = 8
 
 
+def _at_spaces(data: np.ndarray):
+    """Parts of a text of about ``CHUNK`` bytes that end at white space (a longer word stays whole)."""
+    at = 0
+    while at < len(data):
+        end = at + CHUNK
+        while end < len(data) and data[end] not in (9, 10, 11, 12, 13, 32):
+            end += 1
+        yield data[at:end]
+        at = end
+
+
+def word_codes(column):
+    """A binary column with ``WORD`` bytes of a hash in place of each word (run of bytes other than space and 0x09-0x0D)."""
+    import pyarrow as pa
+
+    roll = Rolling(12)
+    data, offsets = text_bytes(column)
+    codes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for i, j in pieces(offsets, CHUNK):
+        part, off = data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]
+        found = np.zeros(j - i, np.int64)
+        for sub, cuts in [(part, off)] if j - i > 1 else ((x, np.array([0, len(x)])) for x in _at_spaces(part)):
+            start, end, n = words(sub, cuts)
+            codes.append(roll.spans(roll.prefix(sub), start, end))
+            found += n
+        counts.append(found)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) * WORD
+    return pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.concatenate(codes))])
+
+
 class Anchors:
     def __init__(self, width: int):
         self.width, self.roll = width, Rolling(8)
@@ -90,7 +118,7 @@ class Anchors:
                     yield i, j, x, k, self.runs(x, np.array([0, len(x)]))
 
 
-def anchor_counts(df: DataFrame, width: int, across: bool = False) -> DataFrame:
+def anchor_counts(df: DataFrame, width: int, across: bool = False, by_words: bool = False) -> DataFrame:
     """doc_id, th, fp, n: how often each text names an anchor (once at most if only other texts matter)."""
     import pyarrow as pa
 
@@ -99,7 +127,8 @@ def anchor_counts(df: DataFrame, width: int, across: bool = False) -> DataFrame:
     def run(batches):
         anchors = Anchors(width)
         for batch in batches:
-            for i, _, _, _, (doc, _, _, fp, _) in anchors.batch(batch.column("text")):
+            column = batch.column("text")
+            for i, _, _, _, (doc, _, _, fp, _) in anchors.batch(word_codes(column) if by_words else column):
                 if not len(doc):
                     continue
                 order = np.lexsort((fp, doc))
@@ -111,11 +140,11 @@ def anchor_counts(df: DataFrame, width: int, across: bool = False) -> DataFrame:
                     [batch.column("doc_id").take(rows), batch.column("th").take(rows), pa.array(f[new]),
                      pa.array(np.minimum(np.diff(np.append(new, len(d))), 1 if across else 2).astype(np.int32))], ["doc_id", "th", "fp", "n"])
 
-    return df.select("doc_id", "th", "scope", "text").mapInArrow(run, f"doc_id {kind}, th bigint, fp bigint, n int")
+    return df.select("doc_id", "th", "scope", "text").mapInArrow(tidy(run), f"doc_id {kind}, th bigint, fp bigint, n int")
 
 
-def pack_texts(df: DataFrame) -> DataFrame:
-    """text -> z, the text's UTF-8 bytes compressed, to move less of it."""
+def pack_texts(df: DataFrame, by_words: bool = False) -> DataFrame:
+    """text -> z, the text's UTF-8 bytes (or its words' codes) compressed, to move less of it."""
     import pyarrow as pa
 
     kept = [c for c in df.columns if c != "text"]
@@ -126,10 +155,12 @@ def pack_texts(df: DataFrame) -> DataFrame:
 
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            z = pa.array([press.compress((x.as_py() or "").encode()) for x in batch.column("text")], pa.binary())
+            column = batch.column("text")
+            texts = (x.as_py() for x in word_codes(column)) if by_words else ((x.as_py() or "").encode() for x in column)
+            z = pa.array([press.compress(x) for x in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), z], [*kept, "z"])
 
-    return df.select(*kept, "text").mapInArrow(run, schema)
+    return df.select(*kept, "text").mapInArrow(tidy(run), schema)
 
 
 def _segments(df: DataFrame, width: int) -> DataFrame:
@@ -181,7 +212,7 @@ def _segments(df: DataFrame, width: int) -> DataFrame:
             if rows:
                 yield flush()
 
-    return df.mapInArrow(run, f"doc_id {kind}, th bigint, key bigint, dig binary, lead int, cnt int, pos bigint, seg binary")
+    return df.mapInArrow(tidy(run), f"doc_id {kind}, th bigint, key bigint, dig binary, lead int, cnt int, pos bigint, seg binary")
 
 
 def repeats_in(segs: list[bytes], counts: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, across: bool, keys: np.ndarray):
@@ -252,7 +283,7 @@ def _sort_segments(distinct: DataFrame, width: int, across: bool) -> DataFrame:
             yield solve(held)
 
     return (distinct.select("key", "dig", "seg", "cnt", "first", "last").repartition("key").sortWithinPartitions("key")
-            .mapInArrow(run, "key bigint, dig binary, lo int, hi int"))
+            .mapInArrow(tidy(run), "key bigint, dig binary, lo int, hi int"))
 
 
 def _finer(distinct: DataFrame, cell: int, width: int) -> DataFrame:
@@ -280,7 +311,7 @@ def _finer(distinct: DataFrame, cell: int, width: int) -> DataFrame:
                                              else [pa.array([], k) for k in kinds], names)
 
     return distinct.select("key", "dig", "seg", "lead", "cnt", "first", "last").mapInArrow(
-        run, "key bigint, dig binary, shift int, key2 bigint, dig2 binary, seg binary, lead int, cnt int, first bigint, last bigint")
+        tidy(run), "key bigint, dig binary, shift int, key2 bigint, dig2 binary, seg binary, lead int, cnt int, first bigint, last bigint")
 
 
 def _resolve(distinct: DataFrame, cells: tuple[int, ...], width: int, across: bool, scratch: Scratch) -> DataFrame:
@@ -321,20 +352,21 @@ def unpack_texts(df: DataFrame) -> DataFrame:
                 texts = pa.array([unpress.decompress(z.as_py()).decode() for z in packed.slice(i, 512)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), texts], [*kept, "text"])
 
-    return df.select(*kept, "z").mapInArrow(run, schema)
+    return df.select(*kept, "z").mapInArrow(tidy(run), schema)
 
 
-def repeated_spans(df: DataFrame, width: int, scratch: Scratch, across: bool = False) -> DataFrame:
+def repeated_spans(df: DataFrame, width: int, scratch: Scratch, across: bool = False, by_words: bool = False) -> DataFrame:
     """(doc_id, th, spans): for texts with repeated strings, the byte ranges (lo, hi) that they cover, unmerged.
 
     ``df`` has doc_id, th (a hash of the text), text and perhaps scope, a number: strings repeat
-    within one scope only. ``across`` asks for another text, not just another place."""
+    within one scope only. ``across`` asks for another text, not just another place. With ``by_words`` texts are
+    read as the codes of their words, and width and ranges count the codes' bytes."""
     if "scope" not in df.columns:
         df = df.withColumn("scope", F.lit(0).cast("bigint"))
-    counts = scratch.save(anchor_counts(df, width, across), "anchors")
+    counts = scratch.save(anchor_counts(df, width, across, by_words), "anchors")
     again = counts.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
     wanted = counts.join(again, "fp", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set("fp").alias("fps"))
-    packed = pack_texts(df.select("doc_id", "th", "scope", "text"))
+    packed = pack_texts(df.select("doc_id", "th", "scope", "text"), by_words)
     hits = packed.join(wanted, F.col("th").eqNullSafe(F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
     places = scratch.save(_segments(hits.select("doc_id", "th", "scope", "z", "fps"), width), "places")
     scratch.drop(counts)
@@ -363,40 +395,10 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], top[np.append(at[1:] - 1, len(spans) - 1)]], axis=1)
 
 
-def _name_words(df: DataFrame) -> DataFrame:
-    """(doc_id, th, text) with ``WORD`` letters of a hash in place of each word of the text."""
-    import pyarrow as pa
-
-    kept = ["doc_id", "th"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields), "text string"])
-
-    def run(batches):
-        names: dict[str, str] = {}
-        for batch in batches:
-            texts, first, size = [], 0, 0
-            for i, x in enumerate(batch.column(batch.schema.get_field_index("text"))):
-                words = (x.as_py() or "").split()
-                for w in words:
-                    if w not in names:
-                        names[w] = base64.b64encode(hashlib.blake2b(w.encode(), digest_size=WORD * 3 // 4).digest()).decode()
-                texts.append("".join(map(names.__getitem__, words)))
-                size += len(texts[-1])
-                if len(names) > 400_000:
-                    names.clear()
-                if size > 4 << 20 or i == len(batch) - 1:
-                    n = i + 1 - first
-                    yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(first, n) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
-                    texts, first, size = [], i + 1, 0
-
-    return df.select(*kept, "text").mapInArrow(run, schema)
-
-
 def _bytes_of_words(text: bytes, spans: np.ndarray) -> np.ndarray:
-    """Byte ranges of a text for ranges in the letters that stand for its words."""
-    at = np.array([m.span() for m in re.finditer(r"\S+", text.decode())]).reshape(-1, 2)
-    begin = np.append(np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80), len(text))  # byte of each character
-    lo, hi = -(-spans[:, 0] // WORD), spans[:, 1] // WORD
-    return np.stack([begin[at[lo, 0]], begin[at[hi - 1, 1]]], axis=1)
+    """Byte ranges of a text for ranges in the codes that stand for its words."""
+    start, end, _ = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    return np.stack([start[-(-spans[:, 0] // WORD)], end[spans[:, 1] // WORD - 1]], axis=1)
 
 
 def remove_repeats(df: DataFrame, width: int = 400, as_text: bool = False, words: int | None = None) -> DataFrame:
@@ -404,7 +406,7 @@ def remove_repeats(df: DataFrame, width: int = 400, as_text: bool = False, words
 
     A byte of a text goes if a string of ``width`` bytes over it also starts at another place, in
     the same text or another; all occurrences go, and strings are judged on the input. With ``words``
-so do runs of that many words that occur at another place, whatever white space is between them and however short they are. Texts are
+    so do runs of that many words that occur at another place, whatever white space is between them and however short they are. Texts are
     UTF-8 bytes, a null is empty, matches never cross texts; what is left of a text may end inside
     a character, so it is binary (as text, the bytes of such a character are left out). Rows that are copies of each other repeat each other, with equal
     doc_id or not; null ids take part. An empty table stays empty; df needs doc_id and text, and
@@ -418,7 +420,7 @@ so do runs of that many words that occur at another place, whatever white space
     texts = keyed.select("doc_id", F.col("_th").alias("th"), "text")
     spans = repeated_spans(texts, width, scratch).withColumn("in_words", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
     if words is not None:
-        runs = repeated_spans(_name_words(texts), words * WORD, scratch).withColumnRenamed("spans", "in_words")
+        runs = repeated_spans(texts, words * WORD, scratch, by_words=True).withColumnRenamed("spans", "in_words")
         spans = spans.drop("in_words").unionByName(runs, allowMissingColumns=True).groupBy("doc_id", "th").agg(
             *[F.first(c, ignorenulls=True).alias(c) for c in ("spans", "in_words")])
     # the spans alone outlive this: segments and places go
@@ -463,4 +465,4 @@ so do runs of that many words that occur at another place, whatever white space
             if done:
                 yield flush(len(batch))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)

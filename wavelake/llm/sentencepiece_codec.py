@@ -2,8 +2,8 @@
 
 When no piece of the model holds a whitespace marker behind another character, no merge crosses
 the point before a marker run. A text is then cut there, each distinct chunk (its markers and the
-word behind them) is segmented once, and the ids are joined back by position. The table of chunks is a worker's: it
-grows over all that the worker reads. One table for the corpus would have to move each block's distinct chunks
+word behind them) is segmented once, and the ids are joined back by position. The table of chunks is a task's: it
+grows over all that the task reads. One table for the corpus would have to move each block's distinct chunks
 to it and back, which is more than the texts themselves (figures in the README).
 """
 
@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_slices
+from .common import batch_slices, tidy
 
 MARK = "▁"
-#: Distinct chunks, and letters of them, that a worker keeps; the table starts anew beyond either, so its memory is bounded.
+#: Distinct chunks, and letters of them, that a task keeps; the table starts anew beyond either, so its memory is bounded.
 TABLE_SIZE = 400_000
 TABLE_LETTERS = 8 << 20
 #: Bytes of text whose chunks are looked up at a time; a longer text is taken in segments that end before a space.
@@ -150,8 +150,9 @@ def encode_documents(df: DataFrame, model: str, text: str = "text", decoded: boo
                     cols.append(pa.array([t for _, t in got], pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        table.clear()  # the worker may wait, or serve other stages next
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidy(run), schema)
 
 
 def ids_array(packed: str = "ids_u32"):
