@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Rolling, mix, pieces, text_bytes, tidy, words
+from .common import U, Rolling, mix, pieces, release, text_bytes, tidy, words
 
 #: Hash space of the indicators, as a power of two.
 SPACE = 18
@@ -207,7 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     x = [np.asarray(v.values, np.int32) for v in got.column("ids")]
     keys = got.column("doc_id").to_pylist()
     order = sorted(range(len(y)), key=lambda i: (keys[i], len(x[i]), x[i].tobytes()))
-    return fit([x[i] for i in order], y[order])
+    model = fit([x[i] for i in order], y[order])
+    del got, x
+    release()
+    return model
 
 
 def score_documents(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:

@@ -331,7 +331,8 @@ def _resolve(distinct: DataFrame, cells: tuple[int, ...], width: int, across: bo
     found = _resolve(below, cells[1:], width, across, scratch).select(F.col("key").alias("key2"), F.col("dig").alias("dig2"), "lo", "hi")
     back = parts.select("key", "dig", "shift", "key2", "dig2").join(found, ["key2", "dig2"]).select(
         "key", "dig", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
-    return few.unionByName(back)
+    # saved level by level, so that no plan holds more than one level
+    return scratch.save(few.unionByName(back), "found")
 
 
 def unpack_texts(df: DataFrame) -> DataFrame:
@@ -415,16 +416,20 @@ def remove_repeats(df: DataFrame, width: int = 400, as_text: bool = False, words
     import pyarrow as pa
 
     df = df.drop("n_bytes", "n_removed", "n_spans", "kept", "z", "spans", "in_words")
-    scratch = Scratch(df.sparkSession, "repeats")
+
+    def spans_of(width, by_words):
+        """Saved before any other plan begins; of all that they were made from, the spans alone outlive this."""
+        scratch = Scratch(df.sparkSession, "repeats")
+        return scratch.keep_only(repeated_spans(texts, width, scratch, by_words=by_words), "spans")
+
     keyed = df.withColumn("_th", F.xxhash64("text"))
     texts = keyed.select("doc_id", F.col("_th").alias("th"), "text")
-    spans = repeated_spans(texts, width, scratch).withColumn("in_words", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
+    spans = spans_of(width, False).withColumn("in_words", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
     if words is not None:
-        runs = repeated_spans(texts, words * WORD, scratch, by_words=True).withColumnRenamed("spans", "in_words")
+        runs = spans_of(words * WORD, True).withColumnRenamed("spans", "in_words")
         spans = spans.drop("in_words").unionByName(runs, allowMissingColumns=True).groupBy("doc_id", "th").agg(
             *[F.first(c, ignorenulls=True).alias(c) for c in ("spans", "in_words")])
-    # the spans alone outlive this: segments and places go
-    spans = scratch.keep_only(spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans", "in_words"), "spans")
+    spans = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans", "in_words")
     rest = [c for c in df.columns if c != "text"]
     packed = pack_texts(keyed.select(*rest, "_th", "text"))
     joined = packed.join(spans, F.col("_th").eqNullSafe(F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(*rest, "z", "spans", "in_words")
