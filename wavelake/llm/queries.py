@@ -125,12 +125,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    return scan_licenses(docs).drop("text")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_extendible_sharding": OP2_SQL, "op3_cover_tree_topk": OP3_SQL, "op4_warc_archive": OP4_SQL, "op7_curriculum_mix": OP7_SQL}
+    return {"op2_extendible_sharding": OP2_SQL, "op3_cover_tree_topk": OP3_SQL, "op4_warc_archive": OP4_SQL, "op7_curriculum_mix": OP7_SQL,
+            "op11_license_scan": op11_sql(), "op13_hard_negatives": OP13_SQL}
 
 
 OP2_SQL = f"""
@@ -184,3 +206,51 @@ u AS (SELECT *, CASE WHEN k = 0 THEN x ELSE (k - 1 + sqrt((1 - k) * (1 - k) + 4
 SELECT doc_id, size, source_size, target, CAST(once + again AS BIGINT) AS taken, CASE WHEN once > 0 THEN round(clock_a * u + clock_b * u * u, 3) END AS position,
   CASE WHEN again > 0 THEN round(clock_a * v + clock_b * v * v, 3) END AS position_again FROM u
 """
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id,
+  p.positive_score, s.score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 10
+"""
+
+
+def op11_sql() -> str:
+    """The licence scan as joins of words and postings, from the same templates."""
+    import string
+
+    from .licenses import BASE, RARE, SHARE, SLACK, TEMPLATES, WIDTH
+
+    listed = lambda parts: "[" + ", ".join(f"'{p}'" for p in parts) + "]"
+    notices = ", ".join(f"({i}, '{label}', {listed(text.split())}, {listed(phrases)})" for i, (label, text, phrases) in enumerate(TEMPLATES))
+    base = ", ".join(f"('{label}', {listed(phrase.split())})" for phrase, label in BASE.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+u AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM d),
+t(id, label, own, phrases) AS (VALUES {notices}),
+b(label, own) AS (VALUES {base}),
+places AS (SELECT d.r, b.label, u.i FROM b JOIN u ON u.w = b.own[1] JOIN d ON d.r = u.r AND d.words[u.i + 1: u.i + len(b.own)] = b.own),
+p AS (SELECT id, unnest(own) AS w, generate_subscripts(own, 1) - 1 AS p FROM t),
+n AS (SELECT w, count(DISTINCT r) AS n FROM u WHERE w IN (SELECT w FROM p) GROUP BY w),
+k AS (SELECT id, least({RARE}, count(DISTINCT w)) AS k FROM p GROUP BY id),
+ranked AS (SELECT c.*, row_number() OVER (PARTITION BY r, id ORDER BY n, w) AS place FROM (SELECT DISTINCT u.r, p.id, u.w FROM u JOIN p ON u.w = p.w) c JOIN n USING (w)),
+rare AS (SELECT r, id, w, k FROM ranked JOIN k USING (id) WHERE place <= k QUALIFY count(*) OVER (PARTITION BY r, id) = k),
+votes AS (SELECT rare.r, rare.id, rare.w, rare.k, u.i - p.p AS o FROM rare JOIN u ON u.r = rare.r AND u.w = rare.w JOIN p ON p.id = rare.id AND p.w = rare.w),
+cells AS (SELECT r, id, w, k, 2 * CAST(floor(o / {WIDTH}.0) AS BIGINT) AS c FROM votes UNION ALL SELECT r, id, w, k, 2 * CAST(floor((o + {SLACK}) / {WIDTH}.0) AS BIGINT) + 1 FROM votes),
+placed AS (SELECT r, id, k, c, count(DISTINCT w) AS n FROM cells GROUP BY r, id, k, c HAVING count(DISTINCT w) >= ceil(k * {SHARE} / 100.0)),
+spans AS (SELECT placed.*, label, phrases, greatest(CAST(floor(c / 2.0) AS BIGINT) * {WIDTH} - CASE WHEN abs(c) % 2 = 1 THEN {SLACK} ELSE 0 END - {SLACK}, 0) AS first,
+  len(own) + {WIDTH + 2 * SLACK} AS size FROM placed JOIN t USING (id)),
+judged AS (SELECT spans.r, label, n / k AS share, len(list_filter(phrases, lambda x: NOT contains(' ' || array_to_string(d.words[first + 1: first + size], ' ') || ' ', ' ' || x || ' '))) = 0 AS ok
+  FROM spans JOIN d USING (r)),
+x AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
+y AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, label FROM judged WHERE ok) GROUP BY r),
+z AS (SELECT r, max(CASE WHEN ok THEN share ELSE share / 2 END) AS share FROM judged GROUP BY r)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(x.n_base, 0) AS n_base, CAST(x.first_word AS BIGINT) AS first_word, CAST(x.last_word AS BIGINT) AS last_word,
+  coalesce(x.labels, '') AS base_labels, coalesce(y.labels, '') AS labels, CASE WHEN x.r IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(z.share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN x ON x.r = d.r LEFT JOIN y ON y.r = d.r LEFT JOIN z ON z.r = d.r
+"""
