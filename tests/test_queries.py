@@ -68,13 +68,6 @@ def stored(duck):
     return {k: np.array(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("name, kernel", [("spindles", kernels.spindle_rows), ("slow_waves", kernels.slow_wave_rows), ("bursts", kernels.burst_rows), ("spikes", kernels.spike_rows)])
-def test_events_of_stored_epochs(spark, duck, name, kernel):
-    got = sorted((r[0], r[1], r[2], r[3]) for r in catalog.queries()[name](spark, SF).collect())
-    want = sorted((*k, row[0]) for k, x in stored(duck).items() for row in kernel(x))
-    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-5 for g, w in zip(got, want, strict=True))
-
-
 def test_spectra_and_entropies_against_plain_sums(spark, duck):
     """Band powers from a Fourier sum written out, sample entropy from two loops."""
     data = stored(duck)

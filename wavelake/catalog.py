@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavelake.plans import base, kernels, recordings, records, rules, signals  # noqa: F401  (modules register their queries)
+from wavelake.plans import base, detectors, kernels, recordings, records, rules, signals  # noqa: F401  (modules register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelake.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -26,6 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)  # kernels run wherever the executors are
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,11 +47,17 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 FS, UV = 64.0, 400.0
 
 
-def stored_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Samples of a whole epoch.
+PER_EPOCH = 512
+
+
+def stored_epochs(spark: SparkSession, sf_dir: str, loud: int | None = None) -> DataFrame:
     """embeddings as stored epochs: rec, ch, epoch, samples (µV). Recording, channel and epoch follow from a block's id,
-    so an epoch holds eight blocks and a recording 16 epochs of four channels, whatever the size of the table."""
+    so an epoch holds eight blocks and a recording 16 epochs of four channels, whatever the size of the table.
+
+    With ``loud``, a block whose label is that or more is ten times as large: events for detectors."""
     blocks = table(spark, sf_dir, "embeddings").select(
-        F.expr("vec_id div 512").alias("rec"), F.concat(F.lit("C"), F.col("vec_id") % 4).alias("ch"), F.expr("(vec_id div 32) % 16").alias("epoch"), "vec_id", "embedding")
+        F.expr("vec_id div 512").alias("rec"), F.concat(F.lit("C"), F.col("vec_id") % 4).alias("ch"), F.expr("(vec_id div 32) % 16").alias("epoch"), "vec_id", "embedding" if loud is None else F.transform("embedding", lambda x: x * F.when(F.col("label") >= loud, 10).otherwise(1)).alias("embedding"))
     held = blocks.groupBy("rec", "ch", "epoch").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("b"))
     return held.select("rec", "ch", "epoch", F.transform(F.flatten("b.embedding"), lambda x: x.cast("double") * UV).alias("samples"))
 
@@ -69,3 +78,8 @@ _CASES = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(STAGES))
 
 def stage_sql(epoch: str) -> str:
     return f"(CASE {epoch} % {len(STAGES)} {_CASES} END)"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to five digits."""
+    return df.select(*[F.round(f.name, 5).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])

@@ -1,7 +1,7 @@
 """Queries whose filters need numpy kernels, over stored epochs: one row of samples per recording, channel and epoch.
 
-A kernel sees one epoch at a time, so what a worker holds is bounded by an epoch; events keep the epoch they
-were found in, and what belongs to a recording is summed or ranked by Spark.
+A kernel sees one epoch at a time, so what a worker holds is bounded by an epoch; what belongs to a recording is
+summed or ranked by Spark. Detectors that need the whole trace are in ``detectors``.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.functions import dsp
-from wavelake.operators import recordings
-from wavelake.plans.base import FS, query, stored_epochs
+from wavelake.plans.base import FS, query, rounded, stored_epochs
 
 
 def per_epoch(df: DataFrame, kernel, schema: str) -> DataFrame:
@@ -33,57 +32,6 @@ def epochs_by_channel(df: DataFrame) -> DataFrame:
     return df.groupBy("rec", "epoch").agg(F.array_sort(F.collect_list(F.struct("ch", "samples"))).alias("chans"))
 
 
-def spindle_rows(x: np.ndarray):
-    """Runs of 0.5-2.5 s in which the smoothed envelope of 11-16 Hz is above its 90th percentile."""
-    band = dsp.sosfiltfilt(dsp.butter_sos(4, (11, 16), FS), x)[0]
-    env = dsp.moving_average(np.abs(dsp.analytic(band)), int(0.2 * FS))
-    rows = []
-    for a, b in dsp.true_runs(env > np.percentile(env, 90)):
-        if 0.5 <= (b - a) / FS <= 2.5:
-            rows.append((a / FS, b / FS, (a + int(np.argmax(env[a:b]))) / FS, float(env[a:b].max())))
-    return rows
-
-
-def slow_wave_rows(x: np.ndarray):
-    """0.3-1.5 Hz stays below -40 µV for 0.3-1.5 s; trough, following crest and slope."""
-    s = dsp.sosfiltfilt(dsp.butter_sos(2, (0.3, 1.5), FS), x)[0]
-    rows = []
-    for a, b in dsp.true_runs(s < -40):
-        if 0.3 <= (b - a) / FS <= 1.5:
-            low = a + int(np.argmin(s[a:b]))
-            rise = np.flatnonzero(s[low:] >= 0)
-            if not len(rise):
-                continue
-            zero = low + int(rise[0])
-            crest = float(s[zero: zero + int(FS)].max())
-            rows.append((a / FS, low / FS, zero / FS, float(s[low]), crest - float(s[low]), float(-s[low] / max((zero - low) / FS, 1 / FS))))
-    return rows
-
-
-def burst_rows(x: np.ndarray, least_s: float = 3.0):
-    """The moving mean of |5-25 Hz| above four MADs over its median for at least three seconds."""
-    band = np.abs(dsp.sosfiltfilt(dsp.butter_sos(4, (5, 25), FS), x)[0])
-    env = dsp.moving_average(band, int(0.25 * FS))
-    med = np.median(env)
-    limit = med + 4 * np.median(np.abs(env - med))
-    rows = []
-    for a, b in dsp.true_runs(env > limit):
-        if (b - a) / FS >= least_s:
-            f = np.fft.rfftfreq(b - a, 1 / FS)
-            p = np.abs(np.fft.rfft(x[a:b] - x[a:b].mean())) ** 2
-            ok = (f >= 1) & (f <= 15)
-            rows.append((a / FS, b / FS, float(f[ok][np.argmax(p[ok])]) if ok.any() else None))
-    return rows
-
-
-def spike_rows(x: np.ndarray):
-    """Peaks of |10-30 Hz| above six MADs or three RMS, at least 80 ms apart."""
-    band = np.abs(dsp.sosfiltfilt(dsp.butter_sos(4, (10, 30), FS), x)[0])
-    mad = np.median(np.abs(band - np.median(band)))
-    at = dsp.find_peaks(band, max(6 * mad, 3 * float(np.sqrt((band**2).mean()))), int(0.08 * FS))
-    return [(i / FS, float(band[i])) for i in at]
-
-
 def band_rows(x: np.ndarray):
     """Band powers, delta over alpha, peak frequency, and the slope of the log spectrum."""
     f, p = dsp.welch(x, FS, int(4 * FS))
@@ -128,35 +76,6 @@ def entropy_rows(x: np.ndarray):
     return [(spectral, sample, higuchi, float(n_words * np.log2(len(bits)) / len(bits)))]
 
 
-#: Nominal rate at which the stored blocks are read for fast oscillations, and the least rate at which they can be sought.
-FAST_FS, LEAST_FS = 1024.0, 600.0
-
-
-def hfo_rows(x: np.ndarray, fs: float = FAST_FS, band=(80.0, 250.0)):
-    """80-250 Hz after mains notches; 6 ms RMS above five deviations of its quieter half (1 µV at least), grown down to
-    half of that, 36-200 ms long. A ripple has twice the power of the band's lower neighbour; others are artefacts.
-
-    A rate under LEAST_FS gives no events. Overlapping growths count once."""
-    if fs < LEAST_FS or len(x) < 8:
-        return []
-    y = np.asarray(x, float)
-    for f in (50.0, 100.0):
-        y = dsp.sosfiltfilt(dsp.notch_sos(f, 30, fs), y)[0]
-    y = dsp.firfiltfilt(dsp.fir_band(int(2 * fs) // 16, band, fs), y)
-    rms = np.sqrt(np.maximum(dsp.moving_average(y * y, max(1, int(0.006 * fs))), 0))
-    quiet = np.sort(rms)[: max(1, len(rms) // 2)]
-    limit = quiet.mean() + 5 * max(quiet.std(), 0.2)
-    rows = []
-    for a, b in dsp.true_runs(rms > limit / 2):
-        if rms[a:b].max() > limit and 0.036 <= (b - a) / fs <= 0.2:
-            f, p = np.fft.rfftfreq(b - a, 1 / fs), np.abs(np.fft.rfft(x[a:b] - x[a:b].mean())) ** 2
-            inside, below = p[(f >= band[0]) & (f <= band[1])], p[(f >= 20) & (f < band[0])]
-            ratio = float(inside.sum() / max(below.sum(), 1e-12))
-            at = f[(f >= band[0]) & (f <= band[1])]
-            rows.append((a / fs, b / fs, float(at[np.argmax(inside)]) if len(at) else None, float((rms[a:b].max() - quiet.mean()) / max(quiet.std(), 0.2)), bool(ratio >= 2)))
-    return rows
-
-
 def blink_rows(x: np.ndarray, y: np.ndarray, fs: float = FS):
     """The larger of two frontal channels at 0.5-4 Hz; peaks of 75 µV, 0.3 s apart."""
     sos = dsp.butter_sos(2, (0.5, 4), fs)
@@ -164,40 +83,16 @@ def blink_rows(x: np.ndarray, y: np.ndarray, fs: float = FS):
     return [(i / fs, float(both[i])) for i in dsp.find_peaks(both, 75.0, int(0.3 * fs))]
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(f.name, 5).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
-
-
-@query("spindles")
-def spindles(spark, d):
-    return _rounded(per_epoch(stored_epochs(spark, d), spindle_rows, "start_s double, end_s double, peak_s double, amplitude double"))
-
-
-@query("slow_waves")
-def slow_waves(spark, d):
-    return _rounded(per_epoch(stored_epochs(spark, d), slow_wave_rows, "start_s double, neg_peak_s double, zero_cross_s double, neg_peak_uv double, ptp_uv double, slope_uv_per_s double"))
-
-
-@query("bursts")
-def bursts(spark, d):
-    return _rounded(per_epoch(stored_epochs(spark, d), burst_rows, "start_s double, end_s double, dominant_hz double"))
-
-
-@query("spikes")
-def spikes(spark, d):
-    return _rounded(per_epoch(stored_epochs(spark, d), spike_rows, "t_s double, height double"))
-
-
 @query("band_powers")
 def band_powers(spark, d):
-    return _rounded(per_epoch(stored_epochs(spark, d), band_rows, "delta_pct double, theta_pct double, alpha_pct double, beta_pct double, dar double, peak_hz double, aperiodic double, stage string"))
+    return rounded(per_epoch(stored_epochs(spark, d), band_rows, "delta_pct double, theta_pct double, alpha_pct double, beta_pct double, dar double, peak_hz double, aperiodic double, stage string"))
 
 
 @query("entropies")
 def entropies(spark, d):
     """Medians over the epochs of a channel."""
     rows = per_epoch(stored_epochs(spark, d), entropy_rows, "spectral double, sample double, higuchi double, lempel_ziv double")
-    return _rounded(rows.groupBy("rec", "ch").agg(*[F.median(c).alias(c) for c in ("spectral", "sample", "higuchi", "lempel_ziv")], F.count(F.lit(1)).alias("n_epochs")))
+    return rounded(rows.groupBy("rec", "ch").agg(*[F.median(c).alias(c) for c in ("spectral", "sample", "higuchi", "lempel_ziv")], F.count(F.lit(1)).alias("n_epochs")))
 
 
 def cross_sums(x: np.ndarray, y: np.ndarray, low: float = 8.0, high: float = 13.0) -> tuple[float, float, float]:
@@ -252,7 +147,7 @@ def graph_metrics(spark, d):
         return pd.DataFrame({"rec": [pdf.rec.iloc[0]], "strength": [2 * pdf.w.sum() / len(names)], "path_length": [dist[ok].mean()],
                              "efficiency": [(1 / dist[ok]).sum() / off.sum()]})
 
-    return _rounded(e.groupBy("rec").applyInPandas(run, "rec bigint, strength double, path_length double, efficiency double"))
+    return rounded(e.groupBy("rec").applyInPandas(run, "rec bigint, strength double, path_length double, efficiency double"))
 
 
 @query("microstates")
@@ -294,13 +189,7 @@ def microstates(spark, d):
             rows.append((rec, name, float((state == j).mean() * 100), mean, len(runs) / (x.shape[1] / FS)))
         return pd.DataFrame(rows, columns=cols)
 
-    return _rounded(wide.groupBy("rec").applyInPandas(run, "rec bigint, state string, coverage_pct double, mean_ms double, per_s double"))
-
-
-@query("hfo")
-def hfo(spark, d):
-    """Fast oscillations, the stored blocks read at a nominal 1,024 Hz."""
-    return _rounded(per_epoch(stored_epochs(spark, d), hfo_rows, "start_s double, end_s double, peak_hz double, rms_z double, is_ripple boolean"))
+    return rounded(wide.groupBy("rec").applyInPandas(run, "rec bigint, state string, coverage_pct double, mean_ms double, per_s double"))
 
 
 @query("blinks")
@@ -316,34 +205,3 @@ def blinks(spark, d):
             yield pd.DataFrame(rows, columns=["rec", "epoch", "n_blinks", "clean"])
 
     return epochs_by_channel(stored_epochs(spark, d)).select("rec", "epoch", "chans").mapInPandas(run, "rec bigint, epoch bigint, n_blinks bigint, clean boolean")
-
-
-#: Spindles a minute that are usual, by age from that on.
-SPINDLE_NORMS = ((0, 2.0), (5, 4.0), (12, 5.0), (18, 4.0))
-
-
-@query("spindle_density")
-def spindle_density(spark, d):
-    """Spindles a minute of each channel against the norm of the recording's age (its number, here)."""
-    e = stored_epochs(spark, d)
-    found = per_epoch(e, spindle_rows, "start_s double, end_s double, peak_s double, amplitude double").groupBy("rec", "ch").agg(F.count(F.lit(1)).alias("n"))
-    minutes = e.groupBy("rec", "ch").agg((F.sum(F.size("samples")) / FS / 60).alias("minutes"))
-    age, norm = F.col("rec") % 20, F.lit(SPINDLE_NORMS[0][1])
-    for start, value in SPINDLE_NORMS[1:]:
-        norm = F.when(age >= start, F.lit(value)).otherwise(norm)
-    out = minutes.join(found, ["rec", "ch"], "left").select("rec", "ch", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("minutes")).alias("per_min"), norm.alias("norm"))
-    label = F.when(F.col("per_min") < 0.5 * F.col("norm"), "low").when(F.col("per_min") > 1.5 * F.col("norm"), "high").otherwise("usual")
-    return _rounded(out.withColumn("label", label))
-
-
-@query("slow_wave_means")
-def slow_wave_means(spark, d):
-    """Slow waves of live channels, their rate and mean shape; channels without any have nulls."""
-    e = stored_epochs(spark, d)
-    sd = e.select("rec", "ch", "epoch", F.expr("aggregate(samples, named_struct('n', 0D, 's', 0D, 'q', 0D), (a, x) -> named_struct('n', a.n + 1, 's', a.s + x, 'q', a.q + x * x), "
-                                               "a -> sqrt(greatest(a.q / a.n - (a.s / a.n) * (a.s / a.n), 0)))").alias("sd"))
-    live = recordings.live_channels(sd, ["rec", "ch"]).where("live").select("rec", "ch")
-    waves = per_epoch(e.join(live, ["rec", "ch"]), slow_wave_rows, "start_s double, neg_peak_s double, zero_cross_s double, neg_peak_uv double, ptp_uv double, slope_uv_per_s double")
-    g = waves.groupBy("rec", "ch").agg(F.count(F.lit(1)).alias("n"), F.avg("ptp_uv").alias("ptp_uv"), F.avg("slope_uv_per_s").alias("slope_uv_per_s"))
-    minutes = e.groupBy("rec", "ch").agg((F.sum(F.size("samples")) / FS / 60).alias("minutes")).join(live, ["rec", "ch"])
-    return _rounded(minutes.join(g, ["rec", "ch"], "left").select("rec", "ch", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("minutes")).alias("per_min"), "ptp_uv", "slope_uv_per_s"))
