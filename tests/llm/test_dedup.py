@@ -218,3 +218,35 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert wrong <= 0.01 * len(want)  # the forest's recall; no link is ever made up
     assert sum(g[1] for g in got) <= sum(w[1] for w in want)
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_forest_of_the_greatest_depth():
+    """Pairs at cosine 0.98 meet in a leaf, and a vector is in few leaves a tree, at depth 20."""
+    from wavelake.llm.embedding_dedup import SPILL, Forest, unit
+
+    rng = np.random.default_rng(5)
+    for dim in (64, 256):
+        x = unit(rng.standard_normal((6000, dim)))
+        a = x[:800]
+        off = rng.standard_normal((800, dim))
+        off = unit(off - (off * a).sum(axis=1, keepdims=True) * a)
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * off
+        forest, met, copies = Forest(x, 20, 6, SPILL / np.sqrt(dim)), np.zeros(800, bool), 0
+        for (_, ra, la), (_, rb, lb) in zip(forest.leaves(a), forest.leaves(b), strict=True):
+            both = np.intersect1d(ra.astype(np.int64) << 32 | la, rb.astype(np.int64) << 32 | lb)
+            met[both >> 32] = True
+            copies += len(ra)
+        assert met.mean() >= 0.995 and copies / 800 / 6 < 7.5
+
+
+def test_tiny_and_huge_vectors_keep_every_link(spark):
+    from wavelake.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((1500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(2000 + i, (v * 1.5 + 1e-3).tolist()) for i, v in enumerate(base)]
+    rows += [(5000, [1e-170] * 16), (5001, [2e-170] * 16), (5002, [1e200] * 16), (5003, [5e-324] + [0.0] * 15)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in near_vectors(df).collect()}
+    assert all(got[2000 + i].component_id == got[i].component_id for i in range(1500))
+    assert [got[i].component_id for i in (5000, 5001, 5002)] == [5000] * 3 and got[5000].n_links >= 2
