@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 import uuid
-import zipfile
 from functools import wraps
-from pathlib import Path
+from inspect import signature
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE = Path(__file__).resolve().parents[1]
-
+from wavelake.session import shared_dir, ship
 
 #: Bytes of an Arrow batch that a Python worker gets at a time; Spark's own default, 64 MiB, is too much beside a small heap.
 ARROW_BYTES = 4 << 20
@@ -24,30 +20,35 @@ ARROW_BYTES = 4 << 20
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable on every executor (once per application), and keep Arrow batches small
     where the session does not set their size itself."""
-    sc = spark.sparkContext
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(size, None) in (None, "67108864b", f"{64 << 20}"):
+    if size not in spark.conf.getAll:
         spark.conf.set(size, str(ARROW_BYTES))
-    if getattr(sc, "_wavelake_shipped", False):
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="wavelake-"), "wavelake_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, str(p.relative_to(_PACKAGE.parent)))
-    sc.addPyFile(path)
-    sc._wavelake_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, named by ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests on one machine) is a temporary folder made.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_wavelake_dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="wavelake-shared-")
-        spark.sparkContext._wavelake_dir = path
-    return path.rstrip("/")
+    ship(spark)
+
+
+def carrying(*own: str):
+    """For an operator DataFrame -> DataFrame: its plan sees only its own columns, named here (or by its arguments of these names). All others
+    ride along in one struct, so none can clash with a name used inside; those of names that the operator adds are replaced."""
+
+    def wrap(operator):
+        @wraps(operator)
+        def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+            bound = signature(operator).bind(df, *args, **kwargs)
+            bound.apply_defaults()
+            mine = [bound.arguments.get(c, c) for c in own]
+            extra = [c for c in df.columns if c not in mine]
+            if not extra:
+                return operator(df, *args, **kwargs)
+            core = [c for c in df.columns if c in mine]
+            packed = df.select(*core, F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra)]).alias("_row"))
+            out = operator(packed, *args, **kwargs)
+            made = [c for c in out.columns if c != "_row" and c not in core]
+            back = [F.col(f"`{c}`") if c in core else F.col("_row").getField(f"c{extra.index(c)}").alias(c) for c in df.columns if (c in extra or c in out.columns) and c not in made]
+            return out.select(*back, *made)
+
+        return run
+
+    return wrap
 
 
 def release() -> None:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, U, Rolling, connected_components, mix, pieces, text_bytes, tidy, words
+from .common import Scratch, U, Rolling, carrying, connected_components, mix, pieces, text_bytes, tidy, words
 
 SHINGLE = 5
 BINS = 128
@@ -309,6 +309,7 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@carrying("doc_id", "text")
 def drop_near_duplicates(df: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of df (doc_id, text and any others) without near copies: one row of each component,
     that of the smallest doc_id (and of several texts with that id, one by hash). Texts without words all stay."""

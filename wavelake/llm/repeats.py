@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, U, Rolling, pieces, text_bytes, tidy, words
+from .common import Scratch, U, Rolling, carrying, pieces, text_bytes, tidy, words
 from .suffix import common_prefix_reaches, suffix_array
 
 CHUNK = 1 << 19
@@ -402,6 +402,7 @@ def _bytes_of_words(text: bytes, spans: np.ndarray) -> np.ndarray:
     return np.stack([start[-(-spans[:, 0] // WORD)], end[spans[:, 1] // WORD - 1]], axis=1)
 
 
+@carrying("doc_id", "text")
 def remove_repeats(df: DataFrame, width: int = 400, as_text: bool = False, words: int | None = None) -> DataFrame:
     """Every row of df with n_bytes, n_removed, n_spans and kept (the remaining bytes).
 

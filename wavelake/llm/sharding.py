@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch
+from .common import Scratch, carrying
 
 #: Bits of the key hash (15 hexadecimal digits of an MD5 sum).
 BITS = 60
@@ -75,6 +75,7 @@ def leaf_depths(hashes: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
     return out.groupBy("h").agg(F.first("depth").cast("int").alias("depth"), F.first("full").alias("full"))
 
 
+@carrying("key", "payload")
 def assign_shards(df: DataFrame, limit_bytes: int, key: str = "doc_id", payload: str = "text") -> DataFrame:
     """Add n_bytes, shard (the leaf's prefix bits as text, and a page number where rows repeat), depth,
     shard_bytes and oversized to every row.
