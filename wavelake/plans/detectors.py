@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.operators import detectors, recordings
+from wavelake.operators import components, detectors, recordings
 from wavelake.plans.base import FS, PER_EPOCH, query, rounded, stored_epochs
 
 #: Labels from which on a block is loud: one in ten makes spindles of about a second, three in ten make bursts.
@@ -83,3 +83,27 @@ def slow_wave_means(spark, d):
     g = waves.groupBy("rec", "ch").agg(F.count(F.lit(1)).alias("n"), F.avg("ptp_uv").alias("ptp_uv"), F.avg("slope_uv_per_s").alias("slope_uv_per_s"))
     minutes = e.groupBy("rec", "ch").agg((F.sum(F.size("samples")) / FS / 60).alias("minutes")).join(live, ["rec", "ch"])
     return rounded(minutes.join(g, ["rec", "ch"], "left").select("rec", "ch", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("minutes")).alias("per_min"), "ptp_uv", "slope_uv_per_s"))
+
+
+#: Channels that stand for the frontal ones, and how much of a blink each channel sees.
+FRONTAL, BLINK_WEIGHTS = ("C0", "C1"), (("C0", 0.9), ("C1", 0.8), ("C2", 0.05), ("C3", 0.05))
+
+
+def blinking_epochs(spark, d) -> DataFrame:
+    """The stored epochs with a blink of 300 µV every third second, as each channel sees it."""
+    weight = F.element_at(F.create_map(*[F.lit(v) for pair in BLINK_WEIGHTS for v in pair]), F.col("ch"))
+    at = lambda i: (F.col("epoch") * PER_EPOCH + i) % 192
+    blink = lambda x, i: x + weight * 300 * F.exp(-((at(i) - 96) / 9.0) ** 2 / 2)
+    return stored_epochs(spark, d).withColumn("samples", F.transform("samples", blink))
+
+
+@query("component_cleanup")
+def component_cleanup(spark, d):
+    """Every channel's deviation before and after ocular components are taken out, and how many were."""
+    e = blinking_epochs(spark, d)
+    fitted = components.independent_components(e, FS, PER_EPOCH, FRONTAL)
+    after = components.apply_components(e, fitted)
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x * x) / F.size(c)
+    level = lambda df, name: df.groupBy("rec", "ch").agg(F.sqrt(F.avg(square("samples"))).alias(name))
+    out = level(e, "rms_before").join(level(after.where("cleaned"), "rms_after"), ["rec", "ch"], "left").join(fitted.select("rec", F.size("removed").alias("n_removed")), "rec", "left")
+    return out.select("rec", "ch", F.round("rms_before", 3).alias("rms_before"), F.round("rms_after", 3).alias("rms_after"), "n_removed")
