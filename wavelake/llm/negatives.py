@@ -87,11 +87,16 @@ def search_block(anchors: dict, found: dict, k: int, same: bool) -> tuple[Window
     return windows, n_pairs
 
 
-def numbered(df: DataFrame, size: Column, name: str, parts: int, *order: Column) -> DataFrame:
-    """Deal rows by range and number blocks of ``size`` rows inside each range; saved at once, as the numbers hang on the partitions."""
-    out = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+def numbered(df: DataFrame, size: Column, name: str, parts: int, scratch: Scratch, *order: Column) -> DataFrame:
+    """Sort all rows by range and number blocks of ``size`` rows, however many partitions they lie in: saved with their place in
+    their partition, which the rows of the partitions before it then shift."""
     row = F.monotonically_increasing_id()
-    return out.withColumn(name, F.shiftleft(F.shiftright(row, 33), 33) + (F.pmod(row, F.lit(1 << 33)) / size).cast("bigint"))
+    out = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    out = scratch.save(out.withColumn("_part", F.shiftright(row, 33)).withColumn("_row", F.pmod(row, F.lit(1 << 33))), name)
+    counts = out.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    counts = scratch.save(counts.select("_part", before.alias("_before")), "places")
+    return out.join(counts, "_part").withColumn(name, ((F.col("_before") + F.col("_row")) / size).cast("bigint")).drop("_part", "_row", "_before")
 
 
 def best_in_windows(anchors: DataFrame, rows: DataFrame, buckets: DataFrame, k: int, same: bool, scratch: Scratch) -> DataFrame:
@@ -169,18 +174,19 @@ def hard_negatives(df: DataFrame, anchor: Column, positives: int = 5, negatives:
     whole = whole.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda t, c: t + c * c)).where(F.col("norm") < 2.0**53)
     whole = whole.withColumn("v", F.col("v").cast("array<int>")).withColumn("dim", F.size("v"))
     clean = scratch.save(whole, "clean")
-    block = F.greatest(F.lit(1024), F.lit(BLOCK) / F.col("dim"))
     n = clean.count()
-    parts = max(1, min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores), -(-n // SLICE)), n >> 20)
-    # equal norms (a large group of copies) are dealt by their ids
-    rows = scratch.save(numbered(clean, block, "bucket", parts, F.desc("norm"), F.xxhash64("id")), "rows")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
+    parts = max(1, min(tasks, -(-n // SLICE)), n >> 20)
+    block = F.greatest(F.lit(1024), F.lit(BLOCK) / F.col("dim"))
+    # equal norms (a large group of copies) are dealt by their ids; a small table still gives every core a bucket
+    rows = numbered(clean, F.least(block, F.lit(float(max(SLICE, -(-n // tasks))))), "bucket", parts, scratch, F.desc("norm"), F.xxhash64("id"))
     scratch.drop(clean)
     buckets = rows.groupBy("dim", "bucket").agg(F.max("norm").alias("norm"))
     buckets = scratch.save(buckets.withColumn("place", F.row_number().over(W.partitionBy("dim").orderBy("bucket"))), "buckets")  # a row a bucket
 
     alone = rows.where("is_anchor").select("id", "label", "v", "norm", "dim").distinct().withColumn("tag", F.xxhash64("label", "v"))
     first = alone.withColumn("low", F.array(F.lit(NONE))).withColumn("high", F.array(F.lit(-NONE)))
-    first = scratch.save(numbered(first, block, "block", 1 + parts // 8, F.desc("norm"), F.xxhash64("id")), "first")
+    first = numbered(first, block, "block", 1 + parts // 8, scratch, F.desc("norm"), F.xxhash64("id"))
     near = best_in_windows(first, rows, buckets, positives, True, scratch)
     near = scratch.save(near.withColumn("w", F.row_number().over(W.partitionBy("id", "tag").orderBy(F.desc("score"), "hit")).cast("int") - 1)
                         .select("id", "tag", "w", F.col("hit").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
@@ -190,7 +196,7 @@ def hard_negatives(df: DataFrame, anchor: Column, positives: int = 5, negatives:
     limits = near.groupBy("id", "tag").agg(F.array_sort(F.collect_list(F.struct("w", least.alias("low"), most.alias("high")))).alias("l"))  # ``positives`` at most
     pad = lambda name, fill: F.transform(F.sequence(F.lit(1), F.lit(positives)), lambda i: F.coalesce(F.get(F.col(f"l.{name}"), i - 1), F.lit(fill)))
     then = first.drop("low", "high", "block").join(limits, ["id", "tag"]).withColumn("low", pad("low", 1)).withColumn("high", pad("high", 0)).drop("l")
-    then = scratch.save(numbered(then, block, "block", 1 + parts // 8, F.col("low")[0] / F.sqrt(F.col("norm") + 1), F.xxhash64("id")), "then")
+    then = numbered(then, block, "block", 1 + parts // 8, scratch, F.col("low")[0] / F.sqrt(F.col("norm") + 1), F.xxhash64("id"))
     far = best_in_windows(then, rows, buckets, negatives, False, scratch)
     rank = F.row_number().over(W.partitionBy("id", "tag", "w").orderBy(F.desc("score"), "hit"))
     out = far.withColumn("rank", rank).join(near, ["id", "tag", "w"])
