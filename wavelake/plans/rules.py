@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wavelake.functions import text as texts
 from wavelake.operators import sequences
 from wavelake.plans.base import S, query, samples, stage_of, stage_sql, table
+from wavelake.session import shared_dir
+from wavelake.sources.ledger import Ledger
 
 
 @query("submission_scan", f"""
@@ -170,9 +174,12 @@ def latest_values(spark, d):
 @query("rows_after_delete", """
 SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderpriority LIKE '1-%') AND o_orderkey NOT IN (1, 2, 3) GROUP BY o_orderpriority""")
 def rows_after_delete(spark, d):
-    """K2: what deletes by id and by date with a label's prefix leave."""
-    o = table(spark, d, "orders").where(~((F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ'1995-01-01 00:00:00'")) & F.col("o_orderpriority").like("1-%")) & ~F.col("o_orderkey").isin(1, 2, 3))
-    return o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """K2: orders as a table of commits, deleted from by date with a label's prefix and by id; what it then holds."""
+    t = Ledger(spark, f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}")
+    t.insert_new(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice"), "o_orderkey")
+    t.delete((F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ'1995-01-01 00:00:00'")) & F.col("o_orderpriority").like("1-%"))
+    t.delete(F.col("o_orderkey").isin(1, 2, 3))
+    return t.read().groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("trend_wide", """

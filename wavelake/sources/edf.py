@@ -114,6 +114,39 @@ class EdfDataSource(DataSource):
         return _EdfReader(self.options)
 
 
+class _AnnotationReader(_EdfReader):
+    """Annotations of the records of a file: onset, duration, text; the records' own times are left out."""
+
+    def read(self, partition):
+        head = self.head
+        ends = np.cumsum(head["samples"]) * head["width"]
+        with _open(self.path) as f:
+            f.seek(head["bytes"] + partition.first * int(ends[-1]))
+            for _ in range(partition.first, partition.stop):
+                record = f.read(int(ends[-1]))
+                for i, label in enumerate(head["label"]):
+                    if not label.upper().startswith(("EDF ANNOTATIONS", "BDF ANNOTATIONS")):
+                        continue
+                    for mark in record[int(ends[i - 1]) if i else 0: int(ends[i])].split(b"\0"):
+                        when, *texts = mark.split(b"\x14")
+                        onset, _, duration = when.partition(b"\x15")
+                        for text in texts:
+                            if text:
+                                yield (self.path, float(onset), float(duration or 0), text.decode("utf-8", "replace"))
+
+
+class AnnotationDataSource(EdfDataSource):
+    @classmethod
+    def name(cls):
+        return "edf_annotations"
+
+    def schema(self):
+        return "recording_id string, onset_s double, duration_s double, label string"
+
+    def reader(self, schema):
+        return _AnnotationReader(self.options)
+
+
 class _RawReader(DataSourceReader):
     """Offset-binary 16-bit frames behind a header of fixed length; each epoch can be sought."""
 
@@ -151,6 +184,7 @@ class RawDataSource(EdfDataSource):
 
 def register(spark) -> None:
     spark.dataSource.register(EdfDataSource)
+    spark.dataSource.register(AnnotationDataSource)
     spark.dataSource.register(RawDataSource)
 
 

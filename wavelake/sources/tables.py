@@ -17,14 +17,11 @@ def write_events_tsv(events: DataFrame, path: str) -> None:
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the table does not hold yet."""
+    """Append the rows whose key a plain Parquet folder does not hold yet. For one writer at a time; ``ledger`` has tables for several."""
     spark = rows.sparkSession
-    try:
-        old = spark.read.schema(rows.schema).parquet(path).select(key).distinct()
-        rows = rows.join(old, key, "left_anti")
-    except Exception as e:  # the table's first write
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        rows = rows.join(spark.read.schema(rows.schema).parquet(path).select(key).distinct(), key, "left_anti")
     rows.dropDuplicates([key]).write.mode("append").parquet(path)
 
 
