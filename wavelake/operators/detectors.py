@@ -31,35 +31,45 @@ def own_runs(flag: np.ndarray, before: int, n: int):
     return [(a, b) for a, b in dsp.true_runs(flag).tolist() if before <= a < before + n]
 
 
-def spindles(df: DataFrame, fs: float, per_epoch: int, core: int | None = None, band=(11.0, 16.0), percentile: float = 0.9, least_s: float = 0.5, most_s: float = 2.5) -> DataFrame:
-    """Rec, ch, start_s, end_s, peak_s, duration_s, amplitude, peak_hz. The envelope of the band, averaged over 0.2 s, stays above its
-    percentile over the whole trace for 0.5 to 2.5 s."""
-    sos, fade, window = dsp.butter_sos(4, band, fs), int(3 * fs), max(1, int(0.2 * fs))
+#: Bands of spindles and slow waves, and the seconds that each may last.
+SPINDLE_BAND, SPINDLE_S, SLOW_BAND, SLOW_S = (11.0, 16.0), (0.5, 2.5), (0.3, 1.5), (0.3, 1.5)
+
+
+def spindle_kernel(fs: float):
+    """The band, and its envelope averaged over 0.2 s."""
+    sos, fade, window = dsp.butter_sos(4, SPINDLE_BAND, fs), int(3 * fs), max(1, int(0.2 * fs))
 
     def kernel(x, left, right):
         y = dsp.sosfiltfilt(sos, x)[0]
         return y, dsp.moving_average(envelope(y, left, right, fade), window)
 
-    least, most = int(least_s * fs), int(most_s * fs)
-    held = saved(filtered(df, kernel, ["band", "env"], per_epoch, settle(sos) + fade + window, most + 2, core), "spindles")
-    limit = exact_quantiles(held.select(*KEYS, core_of("env").alias("env")), KEYS, "env", [percentile])
+    return kernel
+
+
+def spindle_events(fs: float):
+    least, most = (int(s * fs) for s in SPINDLE_S)
 
     def events(band, env, before, n, first, q0):
         for a, b in own_runs(env > q0, before, n):
             if least <= b - a <= most:
                 top, t = a + int(np.argmax(env[a:b])), first - before
-                yield (a + t) / fs, (b + t) / fs, (top + t) / fs, (b - a) / fs, float(env[top]), band_peak(band[a:b], fs, 11.0, 16.0)
+                yield (a + t) / fs, (b + t) / fs, (top + t) / fs, (b - a) / fs, float(env[top]), band_peak(band[a:b], fs, *SPINDLE_BAND)
+
+    return events
 
-    return per_row(held.join(limit, KEYS), KEYS, ["band", "env", "before", "n", "first", "q0"], events,
+
+def spindles(df: DataFrame, fs: float, per_epoch: int, core: int | None = None, percentile: float = 0.9) -> DataFrame:
+    """Rec, ch, start_s, end_s, peak_s, duration_s, amplitude, peak_hz. The envelope of 11-16 Hz, averaged over 0.2 s, stays above its
+    percentile over the whole trace for 0.5 to 2.5 s."""
+    reach = settle(dsp.butter_sos(4, SPINDLE_BAND, fs)) + int(3 * fs) + max(1, int(0.2 * fs))
+    held = saved(filtered(df, spindle_kernel(fs), ["band", "env"], per_epoch, reach, int(SPINDLE_S[1] * fs) + 2, core), "spindles")
+    limit = exact_quantiles(held.select(*KEYS, core_of("env").alias("env")), KEYS, "env", [percentile])
+    return per_row(held.join(limit, KEYS), KEYS, ["band", "env", "before", "n", "first", "q0"], spindle_events(fs),
                    "start_s double, end_s double, peak_s double, duration_s double, amplitude double, peak_hz double")
 
 
-def slow_waves(df: DataFrame, fs: float, per_epoch: int, depth: Column, core: int | None = None, band=(0.3, 1.5)) -> DataFrame:
-    """Rec, ch, start_s, neg_peak_s, zero_cross_s, end_s, neg_peak_uv, pos_peak_uv, ptp_uv, duration_s, slope_uv_per_s. The band stays below
-    -``depth`` (a column over the keys) for 0.3 to 1.5 s; the crest is sought in as many samples behind it."""
-    sos = dsp.butter_sos(4, band, fs)
-    least, most = int(0.3 * fs), int(1.5 * fs)
-    held = filtered(df, lambda x, left, right: (dsp.sosfiltfilt(sos, x)[0],), ["band"], per_epoch, settle(sos), 2 * most + 2, core).withColumn("depth", depth.cast("double"))
+def slow_wave_events(fs: float):
+    least, most = (int(s * fs) for s in SLOW_S)
 
     def events(band, before, n, first, depth):
         t = first - before
@@ -69,7 +79,15 @@ def slow_waves(df: DataFrame, fs: float, per_epoch: int, depth: Column, core: in
                 trough, crest = float(band[low]), float(band[b:stop].max()) if stop > b else 0.0
                 yield ((a + t) / fs, (low + t) / fs, (b + t) / fs, (stop + t) / fs, trough, crest, crest - trough, (b - a) / fs, -trough / max((b - low) / fs, 1e-6))
 
-    return per_row(held, KEYS, ["band", "before", "n", "first", "depth"], events, "start_s double, neg_peak_s double, zero_cross_s double, end_s double, neg_peak_uv double, "
+    return events
+
+
+def slow_waves(df: DataFrame, fs: float, per_epoch: int, depth: Column, core: int | None = None) -> DataFrame:
+    """Rec, ch, start_s, neg_peak_s, zero_cross_s, end_s, neg_peak_uv, pos_peak_uv, ptp_uv, duration_s, slope_uv_per_s. 0.3-1.5 Hz stays below
+    -``depth`` (a column over the keys) for 0.3 to 1.5 s; the crest is sought in as many samples behind it."""
+    sos = dsp.butter_sos(4, SLOW_BAND, fs)
+    held = filtered(df, lambda x, left, right: (dsp.sosfiltfilt(sos, x)[0],), ["band"], per_epoch, settle(sos), 2 * int(SLOW_S[1] * fs) + 2, core).withColumn("depth", depth.cast("double"))
+    return per_row(held, KEYS, ["band", "before", "n", "first", "depth"], slow_wave_events(fs), "start_s double, neg_peak_s double, zero_cross_s double, end_s double, neg_peak_uv double, "
                    "pos_peak_uv double, ptp_uv double, duration_s double, slope_uv_per_s double")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavelake.functions.tables import register_table_functions
 from wavelake.operators import components, detectors, recordings
 from wavelake.plans.base import FS, PER_EPOCH, query, rounded, stored_epochs
 
@@ -29,6 +30,13 @@ def spindles(spark, d):
     return rounded(found_spindles(spark, d)[1])
 
 
+@query("spindles_in_sql")
+def spindles_in_sql(spark, d):
+    """2.15: the same spindles from a table function over a partitioned table argument."""
+    register_table_functions(spark)
+    return rounded(spark.sql(f"SELECT * FROM spindles(TABLE(SELECT rec, ch, epoch, samples FROM {{e}}) PARTITION BY (rec, ch), {FS}D, {PER_EPOCH})", e=stored_epochs(spark, d, LOUD_SPINDLES)))
+
+
 @query("slow_waves")
 def slow_waves(spark, d):
     """60 µV under eight years of age, else 40."""
