@@ -178,6 +178,29 @@ def test_block_bootstrap_against_one_loop(spark):
         assert got[g].lo < g < got[g].hi and abs((got[g].hi - got[g].lo) / (2 * 1.96 / np.sqrt(len(own))) - 1) < 0.5
 
 
+def test_block_bootstrap_of_sums_and_medians_against_one_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, b, float(v)) for g in ("a", "b") for b in range(25) for v in rng.normal(0, 1, 1 + b % 4)] + [("a", 3, None), ("a", 4, float("nan")), ("c", 1, 5.0), ("c", 1, 5.0), ("d", 1, -0.0)]
+    df = spark.createDataFrame(rows, "g string, b long, v double")
+    seeds = {(r.g, r.b): r.h for r in df.select("g", "b", F.xxhash64("g", "b").alias("h")).distinct().collect()}
+    for what in ("sum", "median"):
+        got = {r.g: r for r in longitudinal.block_bootstrap_ci(df, ["g"], "b", "v", draws=200, aggregate=what).collect()}
+        assert got.keys() == {"a", "b", "c", "d"}
+        for g in got:
+            own = {b: [x for i, j, x in rows if (i, j) == (g, b) and x is not None and x == x] for b in {j for i, j, _ in rows if i == g}}
+            times = {b: np.random.default_rng([42, seeds[g, b] % 2**64]).poisson(1.0, 200) for b in own}
+            drawn = []
+            for d in range(200):
+                x = [v for b, vs in own.items() for v in vs for _ in range(times[b][d])]
+                if x:
+                    drawn.append(np.median(x) if what == "median" else sum(x) / sum(times[b][d] for b in own) * len(own))
+            whole = [v for vs in own.values() for v in vs]
+            assert abs(got[g].point - (np.median(whole) if what == "median" else sum(whole))) < 1e-9
+            assert np.allclose([got[g].lo, got[g].hi], np.percentile(drawn, [2.5, 97.5]), atol=1e-9)
+    with pytest.raises(ValueError):
+        longitudinal.block_bootstrap_ci(df, ["g"], "b", "v", aggregate="mode")
+
+
 def test_triangles_against_all_triples(spark):
     from wavelake.operators.graph import triangles
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from wavelake.session import saved, ship
 
 from .sequences import average_rank
 
@@ -78,34 +81,120 @@ def slope_label(slope: Column, stable: float) -> Column:
     return F.when(slope.isNull(), "not_evaluable").when(F.abs(slope) < stable, "stable").when(slope > 0, "rising").otherwise("falling")
 
 
-def block_bootstrap_ci(df: DataFrame, keys: Sequence[str], block: str, value: str, draws: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """keys, point, lo, hi: percentile bootstrap of the mean with blocks drawn whole, for groups of any size.
+def _times(seed: int, own: int, draws: int) -> np.ndarray:
+    """How often a block appears in each draw: Poisson of mean 1, from a generator that the block itself seeds."""
+    return np.random.default_rng([seed, own % 2**64]).poisson(1.0, draws)
 
-    Values are first summed per block. A block's number of appearances in each draw is Poisson of mean 1 from a generator
-    seeded by the block itself, so partitions do not matter; a task adds up the draws of the blocks it holds, Spark
-    the tasks'. Null values are left out; a draw without any block does not count."""
-    sums = df.where(F.col(value).isNotNull()).groupBy(*keys, block).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(value).alias("s"))
-    sums = sums.withColumn("_seed", F.xxhash64(*keys, block))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n array<double>, s array<double>"])
 
-    def run(parts):
-        import pandas as pd
+def block_bootstrap_ci(df: DataFrame, keys: Sequence[str], block: str, value: str, draws: int = 1000, seed: int = 42, level: float = 0.95, aggregate: str = "mean") -> DataFrame:
+    """keys, point, lo, hi: percentile bootstrap of the mean, sum or median with blocks drawn whole, for groups of any size.
 
+    A block's number of appearances in each draw is Poisson of mean 1 from a generator seeded by the block itself, so partitions do not
+    matter; a task adds up the draws of the blocks it holds, Spark the tasks'. A draw's sum is brought to the number of blocks that
+    there are, as draws differ in how many they take. The median of a draw is exact: see ``_drawn_medians``; a block's values are one row there.
+    Null and NaN values are left out; a draw without any block does not count."""
+    if aggregate not in ("mean", "sum", "median"):
+        raise ValueError(f"no bootstrap of the {aggregate}")
+    ship(df.sparkSession)
+    keys = list(keys)
+    fine = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("_v", F.col(value).cast("double"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    of = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    tail = (1 - level) / 2
+    if aggregate == "median":
+        drawn = _drawn_medians(fine, keys, block, draws, seed).withColumnRenamed("median", "_a")
+        point = fine.groupBy(*keys).agg(F.median("_v").alias("point"))
+    else:
+        sums = fine.groupBy(*keys, block).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("_v").alias("s")).withColumn("_seed", F.xxhash64(*keys, block))
+
+        def run(parts):
+            import pandas as pd
+
+            for part in parts:
+                held: dict[tuple, np.ndarray] = {}
+                for row in part.itertuples(index=False):
+                    key, (n, s, own) = tuple(row[: len(keys)]), row[len(keys):]
+                    times = _times(seed, own, draws)
+                    held[key] = held.get(key, 0.0) + np.stack([times * n, times * s, times])
+                yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=[*keys, "n", "s", "b"])
+
+        drawn = sums.select(*keys, "n", "s", "_seed").mapInPandas(run, f"{of}, n array<double>, s array<double>, b array<double>")
+        drawn = drawn.select(*keys, F.posexplode(F.arrays_zip("n", "s", "b")).alias("_d", "_x")).groupBy(*keys, "_d").agg(*[F.sum(f"_x.{c}").alias(c) for c in ("n", "s", "b")]).where("n > 0")
+        point = sums.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("s").alias("sum"), F.count(F.lit(1)).alias("_blocks"))
+        drawn = drawn.join(point.select(*keys, "_blocks"), keys).withColumn("_a", F.col("s") / F.col("n") if aggregate == "mean" else F.col("s") / F.col("b") * F.col("_blocks"))
+        point = point.withColumnRenamed(aggregate, "point")
+    ends = drawn.groupBy(*keys).agg(F.percentile("_a", F.array(F.lit(tail), F.lit(1 - tail))).alias("_p"))
+    return point.join(ends, keys, "left").select(*keys, "point", F.col("_p")[0].alias("lo"), F.col("_p")[1].alias("hi"))
+
+
+def _drawn_medians(fine: DataFrame, keys: list[str], block: str, draws: int, seed: int) -> DataFrame:
+    """keys, draw, median: the weighted median of every draw, exact.
+
+    A value is an integer of the same order; its bytes are fixed from the first to the last. In each of eight passes the
+    values that share a draw's bytes so far are counted by their next byte, with the draw's weights, and the byte that holds the middle is
+    taken. What is merged is bounded by 256 counts for each draw and middle (a draw of even weight has two), whatever the number of values."""
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in fine.schema.fields}
+    of = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    held = saved(fine.groupBy(*keys, block).agg(F.collect_list("_v").alias("_x")).withColumn("_seed", F.xxhash64(*keys, block)).select(*keys, "_seed", "_x"), "blocks")
+
+    def weights(parts):
         for part in parts:
-            held: dict[tuple, np.ndarray] = {}
+            out: dict[tuple, np.ndarray] = {}
             for row in part.itertuples(index=False):
-                key, (n, s, own) = tuple(row[: len(keys)]), row[len(keys):]
-                times = np.random.default_rng([seed, own % 2**64]).poisson(1.0, draws)
-                held[key] = held.get(key, 0.0) + np.stack([times * n, times * s])
-            yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=[*keys, "n", "s"])
+                key = tuple(row[: len(keys)])
+                out[key] = out.get(key, 0) + _times(seed, row[-2], draws) * row[-1]
+            yield pd.DataFrame([(*k, d, int(v)) for k, w in out.items() for d, v in enumerate(w)], columns=[*keys, "d", "w"])
+
+    total = held.select(*keys, "_seed", F.size("_x").alias("_n")).mapInPandas(weights, f"{of}, d int, w bigint").groupBy(*keys, "d").agg(F.sum("w").alias("w")).where("w > 0")
+    state = total.select(*keys, F.explode(F.array(F.struct((F.col("d") * 2).alias("t"), F.floor((F.col("w") - 1) / 2).alias("rank")), F.struct((F.col("d") * 2 + 1).alias("t"), F.ceil((F.col("w") - 1) / 2).alias("rank")))).alias("_s"))
+    state = saved(state.select(*keys, "_s.t", "_s.rank", F.lit(0).cast("bigint").alias("prefix")), "middles")
+
+    for step in range(8):
+        low = 56 - 8 * step
+
+        def count(parts, step=step, low=low):
+            for part in parts:
+                key, t, table = None, None, None
+                for row in part.itertuples(index=False):
+                    own, x, middles, prefix = row[len(keys):]
+                    if tuple(row[: len(keys)]) != key:  # keys come together: what is left behind is done
+                        if key is not None:
+                            yield flush(key, t, table)
+                        key, t = tuple(row[: len(keys)]), np.asarray(middles)
+                        table = np.zeros((len(t), 256), np.int64)
+                    u = (np.asarray(x, float) + 0.0).view(np.int64)
+                    u = (u ^ ((u >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.uint64) ^ np.uint64(1 << 63)
+                    prefix, w = np.asarray(prefix).view(np.uint64), _times(seed, own, draws)[t // 2]
+                    head = u >> np.uint64(low + 8) if step else np.zeros(len(u), np.uint64)
+                    byte = ((u >> np.uint64(low)) & np.uint64(255)).astype(np.int64)
+                    for h in np.unique(head):  # draws that have fixed these bytes take this count
+                        same = prefix == h
+                        if same.any():
+                            table[same] += w[same][:, None] * np.bincount(byte[head == h], minlength=256)[None, :]
+                if key is not None:
+                    yield flush(key, t, table)
+
+        def flush(key, t, table):
+            i, j = np.nonzero(table)
+            return pd.DataFrame([(*key, int(t[a]), int(b), int(table[a, b])) for a, b in zip(i, j, strict=True)], columns=[*keys, "t", "v", "w"])
+
+        wanted = state.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "prefix"))).alias("_a")).select(*keys, F.col("_a.t").alias("_t"), F.col("_a.prefix").alias("_p"))
+        rows = held.join(wanted, keys).select(*keys, "_seed", "_x", "_t", "_p").sortWithinPartitions(*keys)
+        counts = rows.mapInPandas(count, f"{of}, t int, v int, w bigint").groupBy(*keys, "t", "v").agg(F.sum("w").alias("w"))
+        upto = F.sum("w").over(W.partitionBy(*keys, "t").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+        hit = counts.withColumn("upto", upto).join(state, [*keys, "t"]).where("rank >= upto - w and rank < upto")
+        state = saved(hit.select(*keys, "t", (F.col("rank") - F.col("upto") + F.col("w")).alias("rank"), F.shiftleft("prefix", 8).bitwiseOR(F.col("v").cast("bigint")).alias("prefix")), "middles")
+
+    def numbers(parts):
+        for part in parts:
+            u = part["prefix"].to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+            u = u.view(np.int64)
+            part["x"] = (u ^ ((u >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)
+            yield part[[*keys, "t", "x"]]
 
-    drawn = sums.select(*keys, "n", "s", "_seed").mapInPandas(run, schema)
-    drawn = drawn.select(*keys, F.posexplode(F.arrays_zip("n", "s")).alias("_d", "_x")).groupBy(*keys, "_d").agg(F.sum("_x.n").alias("n"), F.sum("_x.s").alias("s"))
-    tail = (1 - level) / 2
-    ends = drawn.where("n > 0").groupBy(*keys).agg(F.percentile(F.col("s") / F.col("n"), F.array(F.lit(tail), F.lit(1 - tail))).alias("_p"))
-    point = sums.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("point"))
-    return point.join(ends, list(keys), "left").select(*keys, "point", F.col("_p")[0].alias("lo"), F.col("_p")[1].alias("hi"))
+    return state.select(*keys, "t", "prefix").mapInPandas(numbers, f"{of}, t int, x double").groupBy(*keys, F.expr("t div 2").alias("draw")).agg(F.avg("x").alias("median"))
 
 
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, draws: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
