@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from wavelake.functions import dsp
 from wavelake.session import saved
 
-from .traces import core_of, envelope, exact_quantiles, filtered, joined_runs, per_row, settle
+from .joins import exists_within
+from .traces import analytic, core_of, envelope, exact_quantiles, filtered, joined_runs, per_row, settle
 
 KEYS = ["rec", "ch"]
 
@@ -211,3 +212,34 @@ def fast_oscillations(df: DataFrame, fs: float, per_epoch: int, core: int | None
         return (f >= lo) & (f <= hi)
 
     return per_row(held.join(base, KEYS), KEYS, ["band", "over", "rms", "before", "n", "first", "mean", "sd"], events, schema)
+
+
+#: Band of slow oscillations, and the least number of spindles on them that says anything.
+OSCILLATION_BAND, LEAST_COUPLED = (0.5, 1.25), 10
+
+
+def coupling(df: DataFrame, fs: float, per_epoch: int, found: DataFrame, waves: DataFrame, window_s: float = 1.2, core: int | None = None) -> DataFrame:
+    """Rec, ch, status, n_spindles, n_slow_waves, n_coupled, plv, preferred_deg, rayleigh_z, rayleigh_p for each channel of ``df``.
+
+    The phase of 0.5-1.25 Hz, filtered over the whole trace by a finite response of three seconds, is taken at the peaks of the spindles ``found`` (rec, ch, peak_s)
+    that have a trough of the slow ``waves`` (rec, ch, neg_peak_s) within ``window_s``; peaks outside the trace do not count. p is the series of Mardia and Zar for
+    the test of Rayleigh. Without spindles, slow waves, or LEAST_COUPLED of both together the status says so and the figures are null."""
+    h, fade = dsp.fir_band(round(3 * fs), OSCILLATION_BAND, fs), int(27 * fs)
+    reach = settle(h) + fade
+    core = core or max(8, 4 * -(-reach // per_epoch))
+    held = filtered(df, lambda x, left, right: (np.angle(analytic(dsp.firfiltfilt(h, x), left, right, fade)),), ["phase"], per_epoch, reach, 0, core)
+    peaks, troughs = found.where("peak_s is not null").select(*KEYS, "peak_s"), waves.where("neg_peak_s is not null").select(*KEYS, "neg_peak_s")
+    near = exists_within(peaks, troughs, KEYS, "peak_s", "neg_peak_s", window_s)
+    near = near.withColumn("at", F.bround(F.col("peak_s") * fs).cast("bigint")).withColumn("chunk", F.expr(f"cast(floor(at / {core * per_epoch}) as bigint)"))
+    at = near.join(held, [*KEYS, "chunk"]).where("at >= first and at < first + n").select(*KEYS, F.col("phase")[(F.col("at") - F.col("first")).cast("int")].alias("p"))
+    sums = at.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_coupled"), F.sum(F.cos("p")).alias("c"), F.sum(F.sin("p")).alias("s"))
+    out = df.select(*KEYS).distinct()
+    for rows, name in ((peaks, "n_spindles"), (troughs, "n_slow_waves")):
+        out = out.join(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias(name)), KEYS, "left")
+    out = out.join(sums, KEYS, "left").fillna(0, ["n_spindles", "n_slow_waves", "n_coupled"])
+    status = F.when(F.col("n_spindles") == 0, "no_spindles").when(F.col("n_slow_waves") == 0, "no_slow_waves").when(F.col("n_coupled") < LEAST_COUPLED, "insufficient_events").otherwise("ok")
+    n, size = F.col("n_coupled").cast("double"), F.sqrt(F.col("c") ** 2 + F.col("s") ** 2)
+    z = F.try_divide(size**2, n)
+    p = F.exp(-z) * (1 + F.try_divide(2 * z - z**2, 4 * n) - F.try_divide(24 * z - 132 * z**2 + 76 * z**3 - 9 * z**4, 288 * n**2))
+    figures = {"plv": F.try_divide(size, n), "preferred_deg": F.degrees(F.atan2("s", "c")), "rayleigh_z": z, "rayleigh_p": F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))}
+    return out.withColumn("status", status).select(*KEYS, "status", "n_spindles", "n_slow_waves", "n_coupled", *[F.when(F.col("status") == "ok", v).alias(k) for k, v in figures.items()])

@@ -49,15 +49,19 @@ def smooth_ends(n: int, left: bool, right: bool, width: int) -> np.ndarray:
     return w
 
 
-def envelope(x: np.ndarray, left: bool, right: bool, width: int) -> np.ndarray:
-    """Magnitude of the analytic signal of a band-passed trace, as if zeros surrounded it; cut ends are faded out, for a sharp
-    cut would be felt everywhere. What the true ends of a trace add beyond a halo (about 1 in 10,000 of the value there) is not seen."""
+def analytic(x: np.ndarray, left: bool, right: bool, width: int) -> np.ndarray:
+    """The analytic signal of a band-passed trace, as if zeros surrounded it; cut ends are faded out, for a sharp cut would be felt
+    everywhere. What the true ends of a trace add beyond a halo (about 1 in 10,000 of the value there) is not seen."""
     n = len(x)
     size = 1 << (4 * n - 1).bit_length()  # the more zeros, the nearer to none around a true end
     spectrum = np.fft.fft(x * smooth_ends(n, left, right, width), size)
     spectrum[1: size // 2] *= 2
     spectrum[size // 2 + 1:] = 0
-    return np.abs(np.fft.ifft(spectrum)[:n])
+    return np.fft.ifft(spectrum)[:n]
+
+
+def envelope(x: np.ndarray, left: bool, right: bool, width: int) -> np.ndarray:
+    return np.abs(analytic(x, left, right, width))
 
 
 def pieces(epochs: Sequence[tuple[int, np.ndarray]], per_epoch: int, chunk: int, core: int, halo: int, context: int, kernel: Callable):

@@ -115,3 +115,11 @@ def component_cleanup(spark, d):
     level = lambda df, name: df.groupBy("rec", "ch").agg(F.sqrt(F.avg(square("samples"))).alias(name))
     out = level(e, "rms_before").join(level(after.where("cleaned"), "rms_after"), ["rec", "ch"], "left").join(fitted.select("rec", F.size("removed").alias("n_removed")), "rec", "left")
     return out.select("rec", "ch", F.round("rms_before", 3).alias("rms_before"), F.round("rms_after", 3).alias("rms_after"), "n_removed")
+
+
+@query("so_coupling")
+def so_coupling(spark, d):
+    """The phase of slow oscillations at which the spindles of a channel peak."""
+    e, found = found_spindles(spark, d)
+    waves = detectors.slow_waves(e, FS, PER_EPOCH, F.lit(40))
+    return rounded(detectors.coupling(e, FS, PER_EPOCH, found, waves))

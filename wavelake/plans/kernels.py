@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.functions import dsp
+from wavelake.operators import graph
 from wavelake.plans.base import FS, query, rounded, stored_epochs
+from wavelake.session import saved
 
 
 def per_epoch(df: DataFrame, kernel, schema: str) -> DataFrame:
@@ -130,24 +132,23 @@ def wpli(spark, d):
 
 @query("graph_metrics")
 def graph_metrics(spark, d):
-    """Strength, path length and efficiency of each recording's weighted graph (a few channels, one group)."""
-    e = wpli(spark, d).where("w > 0")
+    """Strength, path length and efficiency of each recording's weighted graph (a few channels, one group), its mean clustering and
+    local efficiency, and how they stand to graphs of the same weights dealt anew."""
+    e = saved(wpli(spark, d).where("w > 0").select("rec", F.col("ch_i").alias("i"), F.col("ch_j").alias("j"), "w"), "graph")
 
     def run(pdf):
-        names = sorted(set(pdf.ch_i) | set(pdf.ch_j))
+        names = sorted(set(pdf.i) | set(pdf.j))
         at = {c: i for i, c in enumerate(names)}
-        dist = np.full((len(names), len(names)), np.inf)
-        np.fill_diagonal(dist, 0)
-        for i, j, w in zip(pdf.ch_i, pdf.ch_j, pdf.w, strict=True):
-            dist[at[i], at[j]] = dist[at[j], at[i]] = 1 / w
-        for k in range(len(names)):
-            dist = np.minimum(dist, dist[:, k: k + 1] + dist[k: k + 1, :])
-        off = ~np.eye(len(names), dtype=bool)
-        ok = off & np.isfinite(dist)
-        return pd.DataFrame({"rec": [pdf.rec.iloc[0]], "strength": [2 * pdf.w.sum() / len(names)], "path_length": [dist[ok].mean()],
-                             "efficiency": [(1 / dist[ok]).sum() / off.sum()]})
-
-    return rounded(e.groupBy("rec").applyInPandas(run, "rec bigint, strength double, path_length double, efficiency double"))
+        w = np.zeros((len(names), len(names)))
+        w[[at[c] for c in pdf.i], [at[c] for c in pdf.j]] = pdf.w
+        w = w + w.T
+        return pd.DataFrame({"rec": [pdf.rec.iloc[0]], "strength": [2 * pdf.w.sum() / len(names)], "path_length": [graph.path_length(w)], "efficiency": [graph.efficiency(w)]})
+
+    out = e.groupBy("rec").applyInPandas(run, "rec bigint, strength double, path_length double, efficiency double")
+    nodes = graph.node_clustering(e, ["rec"]).groupBy("rec").agg(F.avg("clustering").alias("clustering"))
+    local = graph.node_efficiency(e, ["rec"]).groupBy("rec").agg(F.avg("efficiency").alias("local_efficiency"))
+    sigma = graph.small_world(e, ["rec"]).withColumnRenamed("sigma", "small_world_sigma")
+    return rounded(out.join(nodes, "rec").join(local, "rec").join(sigma, "rec"))
 
 
 @query("microstates")
