@@ -212,3 +212,26 @@ def test_triangles_against_all_triples(spark):
             for v in t:
                 want[v] = want.get(v, 0) + 1
     assert {r.node: r.triangles for r in triangles(spark.createDataFrame(sorted(edges), "i long, j long")).collect()} == want
+
+
+def test_nearest_keys_with_gaps_ties_and_nulls(spark):
+    from wavelake.operators.joins import nearest_keys
+
+    rng = random.Random(9)
+    keys = [1.0, 2.0, 2.5, 40.0, 41.0, 1000.0, -7.0]
+    values = [None, float("nan"), 1.5, 2.25, 21.25, 500.5, 1e9, -1e9, 2.0, 2.0, 40.5] + [rng.uniform(-50, 1200) for _ in range(200)] + [3.0] * 50
+    df = spark.createDataFrame(list(enumerate(values)), "i int, at double").repartition(3)
+    table = spark.createDataFrame([(k, f"n{k}") for k in keys] + [(None, "null"), (float("nan"), "nan")], "age double, norm string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.i: r for r in nearest_keys(df, "at", table, "age").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(values)
+    for i, v in enumerate(values):
+        want = None if v is None or v != v else min(sorted(keys), key=lambda k: abs(k - v))
+        assert got[i].age == want and got[i].norm == (None if want is None else f"n{want}")
+    none = nearest_keys(df, "at", table.limit(0), "age").collect()
+    assert len(none) == len(values) and all(r.age is None for r in none)
+    assert nearest_keys(df.limit(0), "at", table, "age").count() == 0
+    assert nearest_keys(df.where("i = 2"), "at", table.unionByName(table), "age").count() == 2

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wavelake.session import saved
+
 
 def before_after(df: DataFrame, pivots: DataFrame, keys: Sequence[str], date: str, pivot: str, tie: str) -> DataFrame:
     """For each pivot the last row before it and the first on or after it, as structs ``before`` and ``after``."""
@@ -56,6 +58,27 @@ def lookup_bin(df: DataFrame, dim: DataFrame, value: Column, low: str = "lo", hi
     return df.join(F.broadcast(dim), (value >= F.col(low)) & (value < F.col(high)), "left")
 
 
+def nearest_keys(df: DataFrame, at: str, table: DataFrame, key: str) -> DataFrame:
+    """Every row of df with the columns of the row(s) of ``table`` whose key is nearest to ``at``, the lower one on a tie; keys at any distances.
+
+    Distinct values and keys are sorted together by range, each range knows its own last and first key, and those of its neighbours
+    fill what it lacks: an as-of join to both sides without one sorted task or a bound on either table. A null or NaN value,
+    and an empty table, leave the columns null; null and NaN keys are nobody's nearest; repeated keys give a row each. No row is lost."""
+    value = F.col(at).cast("double")
+    places = table.select(F.col(key).cast("double").alias("v")).where("v is not null and not isnan(v)").distinct().withColumn("k", F.col("v"))
+    asked = df.select(value.alias("v")).where("v is not null and not isnan(v)").distinct().withColumn("k", F.lit(None).cast("double"))
+    both = saved(places.unionByName(asked).repartitionByRange(F.col("v")).withColumn("part", F.spark_partition_id()), "keys")
+    ends = both.groupBy("part").agg(F.min("k").alias("low"), F.max("k").alias("high"))  # a row a range
+    of = W.orderBy("part")
+    ends = ends.select("part", F.last("high", True).over(of.rowsBetween(W.unboundedPreceding, -1)).alias("below"), F.first("low", True).over(of.rowsBetween(1, W.unboundedFollowing)).alias("above"))
+    inside = W.partitionBy("part").orderBy("v")
+    near = both.withColumn("lo", F.last("k", True).over(inside.rangeBetween(W.unboundedPreceding, 0))).withColumn("hi", F.first("k", True).over(inside.rangeBetween(0, W.unboundedFollowing)))
+    near = near.where("k is null").join(ends, "part").select("v", F.coalesce("lo", "below").alias("lo"), F.coalesce("hi", "above").alias("hi"))
+    near = near.select(F.col("v").alias("_v"), F.when(F.col("hi").isNull() | (F.col("v") - F.col("lo") <= F.col("hi") - F.col("v")), F.col("lo")).otherwise(F.col("hi")).alias("_near"))
+    held = df.join(near, value == F.col("_v"), "left")
+    return held.join(table, F.col("_near") == table[key].cast("double"), "left").drop("_v", "_near")
+
+
 def first_cell(df: DataFrame, cells: DataFrame, levels: Sequence[Sequence[str]], row: str) -> DataFrame:
     """The finest cell that exists: one equi-join per level, then the least level of each row."""
     found = None

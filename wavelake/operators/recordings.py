@@ -139,11 +139,3 @@ def curvature(df: DataFrame, keys: Sequence[str], order: str, value: str) -> Dat
     out = out.join(mad, list(keys), "left")
     return out.withColumn("sharp", F.coalesce(F.abs("d2") >= F.col("_med") + 4 * MAD_SCALE * F.col("_mad"), F.lit(False))).drop("_med", "_mad")
 
-
-def nearest_key(df: DataFrame, at: str, table: DataFrame, key: str, width: float) -> DataFrame:
-    """df with the row of a table of evenly spaced keys whose key is nearest, the lower one on a tie.
-
-    The nearest key is computed, so this is an equi-join; ``width`` is the distance of keys, clipped to those that exist."""
-    lo, hi = table.agg(F.min(key), F.max(key)).first()
-    near = F.ceil(F.col(at) / F.lit(width) - F.lit(0.5)) * F.lit(width)
-    return df.withColumn(key, F.least(F.lit(hi), F.greatest(F.lit(lo), near.cast(table.schema[key].dataType)))).join(table, key)

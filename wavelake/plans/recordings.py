@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wavelake.operators import recordings, sequences
+from wavelake.operators import joins, recordings, sequences
 from wavelake.plans.base import E, S, query, samples, stage_of, stage_sql, stored_epochs, table
 
 #: Samples of a whole stored epoch.
@@ -189,10 +189,21 @@ def nearest_age_norm(spark, d):
     """The norm of the nearest tabulated age, the lower on a tie."""
     c = table(spark, d, "customer")
     k = c.where("c_nationkey % 4 = 0").groupBy(F.col("c_nationkey").alias("age")).agg(F.avg("c_acctbal").alias("norm"))
-    out = recordings.nearest_key(c.select("c_custkey", "c_nationkey"), "c_nationkey", k, "age", 4.0)
+    out = joins.nearest_keys(c.select("c_custkey", "c_nationkey"), "c_nationkey", k, "age")
     return out.select("c_custkey", "age", F.round("norm", 4).alias("norm"), F.round(100 * F.col("c_nationkey") / F.lit(24.0), 4).alias("pct"))
 
 
+@query("nearest_balance_norm", """
+WITH k AS (SELECT s_acctbal AS balance, count(*) AS n FROM supplier GROUP BY s_acctbal),
+a AS (SELECT c.c_custkey, c.c_acctbal AS v, k.balance AS lo FROM customer c ASOF LEFT JOIN k ON c.c_acctbal >= k.balance),
+b AS (SELECT a.*, k.balance AS hi FROM a ASOF LEFT JOIN k ON a.v <= k.balance)
+SELECT b.c_custkey, k.balance, k.n FROM b JOIN k ON k.balance = CASE WHEN hi IS NULL OR v - lo <= hi - v THEN lo ELSE hi END""")
+def nearest_balance_norm(spark, d):
+    """J12 over keys at any distances: each customer and the balance of suppliers that their own is nearest to."""
+    k = table(spark, d, "supplier").groupBy(F.col("s_acctbal").alias("balance")).agg(F.count(F.lit(1)).alias("n"))
+    return joins.nearest_keys(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", k, "balance").select("c_custkey", "balance", "n")
+
+
 @query("sleep_cycles_strict", f"""
 WITH {ST}, b AS (SELECT *, CASE WHEN stage = 'REM' AND lag(stage) OVER w IS DISTINCT FROM 'REM' THEN 1 ELSE 0 END AS begins FROM t WINDOW w AS (PARTITION BY rec ORDER BY epoch)),
 g AS (SELECT *, sum(begins) OVER (PARTITION BY rec ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b),
