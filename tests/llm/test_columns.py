@@ -44,3 +44,23 @@ def test_a_batch_size_of_the_user_stays(spark):
         assert spark.conf.get(name) == str(64 << 20)
     finally:
         spark.conf.set(name, before)
+
+
+def test_class_words_do_not_decide_alone_inside_an_article(spark):
+    from wavelake.llm.html_text import blocks_of
+
+    text = lambda h: "\n".join(t for k, t in blocks_of(h) if k in ("main", "doubt"))
+    inside = lambda h: text(f"<body><nav>Menu</nav><article><p>First.</p>{h}<p>Last.</p></article></body>")
+    for part in ("<div class='menu-item'>Soup</div>", "<div class='widget'>Chart text</div>", "<blockquote class='quote related'>A quotation</blockquote>", "<div id='login-history'>Words</div>"):
+        assert inside(part).count("\n") == 2, part
+    assert inside("<p>see <span class='ad-hoc'>q</span> z</p>") == "First.\nsee q z\nLast."
+    assert inside("<p>see <span hidden>q</span> z <span style='display:none'>w <span>v</span></span>y</p>") == "First.\nsee z y\nLast."
+    for part in ("<div class='ad'>Buy</div>", "<div class='ad-slot'>Buy</div>", "<div class='share-buttons'>Send</div>", "<div class='newsletterSignup'>Join</div>", "<aside>Side</aside>", "<div role='alert'>Cookies</div>",
+                 "<div class='related'><a href='/a'>One more</a> <a href='/b'>and two</a></div>", "<ul class='menu'><li><a href='/'>Home</a></li></ul>", "<div hidden>no</div>"):
+        assert inside(part) == "First.\nLast.", part
+    # strings that distinct pages of a host share settle what is left in doubt
+    notice = "This site keeps an archive of everything that was ever printed in the region, since 1901."
+    own = "The soup of the day was made of beans, carrots and whatever else the garden had to give."
+    pages = [(i, f"http://h/{i}", f"<body><article><p>Article {i} tells {own if i == 1 else i}</p><div class='widget'>{notice}</div><div class='menu-item'>{own if i == 2 else f'{i}{i} bowls served'}</div></article></body>") for i in range(1, 4)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"Article 1 tells {own}\n11 bowls served", 2: f"Article 2 tells 2\n{own}", 3: "Article 3 tells 3\n33 bowls served"}
