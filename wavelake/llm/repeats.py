@@ -380,9 +380,11 @@ def repeated_spans(df: DataFrame, width: int, scratch: Scratch, across: bool = F
         F.max("seg").alias("seg"), F.first("lead").alias("lead"), F.first("cnt").alias("cnt"), first.alias("first"), last.alias("last"))
     cells = sorted({max(1, width * 4 // 25), max(1, width // 50), 1}, reverse=True)
     found = _resolve(distinct, tuple(cells), width, across, scratch)
+    # a row for each segment that repeats: a segment's own ranges travel together
+    found = scratch.save(found.groupBy("key", "dig").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "ranges")
     spans = places.select("doc_id", "th", "key", "dig", "pos").join(found, ["key", "dig"])
-    return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct(
-        (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi") + (width - 1)).alias("hi"))).alias("spans"))
+    moved = F.transform("found", lambda f: F.struct((F.col("pos") + f.lo).alias("lo"), (F.col("pos") + f.hi + (width - 1)).alias("hi")))
+    return spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
 
 def merge_spans(spans: np.ndarray) -> np.ndarray:
