@@ -7,15 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .traces import exact_quantiles
+
 
 def cells(df: DataFrame, levels: Sequence[Sequence[str]], keys: Sequence[str], value: str, least: int = 5) -> DataFrame:
-    """Statistics of each cell of the grouping sets; cells under ``least`` rows are withheld."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    out = df.groupingSets([[F.col(c) for c in level] for level in levels], *[F.col(k) for k in keys]).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), q.alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"),
-        F.grouping_id().alias("level_id"))
-    return out.where(F.col("n") >= least).select(
-        *keys, "level_id", "n", "mean", "sd", *[F.element_at("q", i + 1).alias(n) for i, n in enumerate(("p10", "p25", "median", "p75", "p90"))], "lo", "hi")
+    """Statistics of each cell of the grouping sets; cells under ``least`` rows are withheld.
+
+    Counts, means and ends are combined before their shuffle; percentiles come from counts of leading bits and then of the few values that share
+    them, so the cell of all rows is no group of all its values either."""
+    probs = (0.1, 0.25, 0.5, 0.75, 0.9)
+    stats = df.groupingSets([[F.col(c) for c in level] for level in levels], *[F.col(k) for k in keys]).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.grouping_id().alias("level_id"))
+    # a cell's name: which keys are rolled up, and the others' values; the bits of level_id, from the last key up
+    name = lambda level_id, of: F.to_json(F.struct(level_id.alias("level"), *[of(k).alias(k) for k in keys]), {"ignoreNullFields": "false"})
+    each = []
+    for level in levels:
+        rolled = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in level)
+        each.append(name(F.lit(rolled).cast("bigint"), lambda k, level=level: F.col(k) if k in level else F.lit(None).cast(df.schema[k].dataType)))
+    held = df.select(F.explode(F.array(*each)).alias("cell"), F.col(value).cast("double").alias("v"))
+    q = exact_quantiles(held, ["cell"], "v", probs)
+    stats = stats.where(F.col("n") >= least).withColumn("cell", name(F.col("level_id").cast("bigint"), F.col))
+    return stats.join(q, "cell").select(*keys, "level_id", "n", "mean", "sd", *[F.col(f"q{i}").alias(n) for i, n in enumerate(("p10", "p25", "median", "p75", "p90"))], "lo", "hi")
 
 
 def percentile_rank(value: Column, anchors: Sequence[tuple[Column, float]]) -> Column:

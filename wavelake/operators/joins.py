@@ -11,16 +11,25 @@ from pyspark.sql import Window as W
 from wavelake.session import saved
 
 
+def _row_of(df: DataFrame, keys: Sequence[str], date: str, tie: str) -> Column:
+    return F.struct(date, tie, *[c for c in df.columns if c not in (*keys, date, tie)])
+
+
 def before_after(df: DataFrame, pivots: DataFrame, keys: Sequence[str], date: str, pivot: str, tie: str) -> DataFrame:
     """For each pivot the last row before it and the first on or after it, as structs ``before`` and ``after``."""
-    cols = [c for c in df.columns if c not in keys]
-    rows = df.select(*keys, F.struct(date, tie, *[c for c in cols if c not in (date, tie)]).alias("_row"))
+    rows = df.select(*keys, _row_of(df, keys, date, tie).alias("_row"))
     joined = pivots.join(rows, list(keys), "left")
     earlier = F.col(f"_row.{date}") < F.col(pivot)
     return joined.groupBy(*pivots.columns).agg(
         F.max(F.when(earlier, F.col("_row"))).alias("before"), F.min(F.when(~earlier, F.col("_row"))).alias("after"))
 
 
+def before_after_at(df: DataFrame, pivot: Column, keys: Sequence[str], date: str, tie: str) -> DataFrame:
+    """``before_after`` for one pivot that all keys share: a grouped largest and smallest row, without a join."""
+    row, earlier = _row_of(df, keys, date, tie), F.col(date) < pivot
+    return df.groupBy(*keys).agg(F.max(F.when(earlier, row)).alias("before"), F.min(F.when(F.col(date) >= pivot, row)).alias("after"))
+
+
 def _binned(df: DataFrame, keys: Sequence[str], time: str, width: float, spread: bool) -> DataFrame:
     b = F.floor(F.col(time) / F.lit(width))
     if not spread:

@@ -59,16 +59,20 @@ def resolve_channel(live: DataFrame, key: str, channel: str, candidates: Sequenc
 
 
 def average_reference(df: DataFrame, bad: Column, neighbours: dict[str, Sequence[str]]) -> DataFrame:
-    """rec, ch, epoch, i, x: samples less the mean of the good channels, and bad channels replaced by the mean of
-    their good neighbours (as they are, if there is none)."""
-    rows = df.select("rec", "ch", "epoch", bad.alias("_bad"), F.posexplode("samples").alias("i", "x"))
-    at = W.partitionBy("rec", "epoch", "i")
-    rows = rows.withColumn("x", F.col("x") - F.coalesce(F.avg(F.when(~F.col("_bad"), F.col("x"))).over(at), F.lit(0.0)))
-    near = F.create_map(*[v for c, ns in neighbours.items() for v in (F.lit(c), F.array(*[F.lit(n) for n in ns]))])
-    rows = rows.withColumn("_good", F.map_from_entries(F.collect_list(F.when(~F.col("_bad"), F.struct("ch", "x"))).over(at)))
-    vals = F.filter(F.transform(near[F.col("ch")], lambda c: F.col("_good")[c]), lambda v: v.isNotNull())
-    mean = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v) / F.size(vals)
-    return rows.select("rec", "ch", "epoch", "i", F.when(F.col("_bad") & (F.size(vals) > 0), mean).otherwise(F.col("x")).alias("x"))
+    """rec, ch, epoch, samples: samples less the mean of the good channels, position by position, and bad channels replaced by the mean
+    of their good neighbours (as they are, if there is none).
+
+    The channels of an epoch meet as arrays, which are added and divided whole; a channel that ends early counts as far as it goes."""
+    c = F.struct("ch", bad.alias("bad"), "samples")
+    held = df.select("rec", "epoch", c.alias("c")).groupBy("rec", "epoch").agg(F.array_sort(F.collect_list("c")).alias("c"))  # the channels of an epoch
+    total = ("aggregate({of}, cast(array() as array<struct<s:double,n:int>>), (a, c) -> zip_with(a, c.samples, (p, x) -> "
+             "named_struct('s', coalesce(p.s, 0D) + coalesce(cast(x as double), 0D), 'n', coalesce(p.n, 0) + if(x is null, 0, 1))))")
+    held = held.withColumn("mean", F.expr("transform(" + total.format(of="filter(c, v -> not v.bad)") + ", p -> if(p.n > 0, p.s / p.n, 0D))"))
+    held = held.withColumn("c", F.expr("transform(c, v -> named_struct('ch', v.ch, 'bad', v.bad, 'samples', slice(zip_with(v.samples, mean, (x, m) -> x - coalesce(m, 0D)), 1, size(v.samples))))"))
+    near = F.create_map(*[v for k, ns in neighbours.items() for v in (F.lit(k), F.array(*[F.lit(n) for n in ns]))]) if neighbours else F.create_map().cast("map<string,array<string>>")
+    rows = held.withColumn("v", F.explode("c")).withColumn("near", F.coalesce(near[F.col("v.ch")], F.array().cast("array<string>")))
+    made = F.expr("slice(zip_with(v.samples, " + total.format(of="filter(c, u -> not u.bad and array_contains(near, u.ch))") + ", (x, p) -> if(p.n > 0, p.s / p.n, x)), 1, size(v.samples))")
+    return rows.select("rec", "v.ch", "epoch", F.when(F.col("v.bad"), made).otherwise(F.col("v.samples")).alias("samples"))
 
 
 def sane(value: Column, digits: int | None = None) -> Column:

@@ -138,7 +138,7 @@ LOW_BITS = 44
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], values: str, probs: Sequence[float]) -> DataFrame:
-    """keys, n_values, q0, q1, ...: exact quantiles (linear between neighbours) of all numbers in the arrays of each key.
+    """keys, n_values, q0, q1, ...: exact quantiles (linear between neighbours) of all numbers of each key; ``values`` is a column of numbers or of arrays of them.
 
     Numbers are first counted by their leading bits, then only those that share the bits of a wanted rank are counted one by one, so no key's numbers
     are gathered and equal ones are one row. Nulls and NaN are left out; a key without any number has no row.
@@ -166,7 +166,20 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], values: str, probs: Sequ
                 bins, c = np.unique(_ordered(numbers(batch, i)) >> LOW_BITS, return_counts=True)
                 yield emit(batch, i, c, v=bins)
 
-    counts = rows.mapInArrow(coarse, f"{of}, v bigint, c bigint").groupBy(*keys, "v").agg(F.sum("c").alias("c"))
+    def marked(batches):
+        for batch in batches:
+            x = batch.column(values)
+            fine = np.isfinite(x.to_numpy(zero_copy_only=False)) | np.isinf(x.to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array(fine))
+            bits = _ordered(batch.column(values).to_numpy(zero_copy_only=False)) >> LOW_BITS
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column(values), pa.array(bits)], [*keys, "v", "bin"])
+
+    single = df.schema[values].dataType.typeName() != "array"
+    if single:
+        rows = rows.withColumn(values, F.col(values).cast("double")).where(F.col(values).isNotNull()).mapInArrow(marked, f"{of}, v double, bin bigint")
+        counts = rows.groupBy(*keys, F.col("bin").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    else:
+        counts = rows.mapInArrow(coarse, f"{of}, v bigint, c bigint").groupBy(*keys, "v").agg(F.sum("c").alias("c"))
     w = W.partitionBy(*keys)
     counts = counts.withColumn("n_values", F.sum("c").over(w)).withColumn("before", F.sum("c").over(w.orderBy("v").rowsBetween(W.unboundedPreceding, 0)) - F.col("c"))
     place = [F.col("n_values").cast("double") * p - p for p in probs]  # p * (n - 1)
@@ -182,7 +195,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], values: str, probs: Sequ
                 v, c = np.unique(x + 0.0, return_counts=True)
                 yield emit(batch, i, c, v=v, bin=_ordered(v) >> LOW_BITS)
 
-    near = rows.join(bins, keys).select(*keys, values, "bins").mapInArrow(fine, f"{of}, v double, bin bigint, c bigint").groupBy(*keys, "bin", "v").agg(F.sum("c").alias("c"))
+    if single:
+        near = rows.join(wanted.select(*keys, F.col("v").alias("bin")), [*keys, "bin"]).groupBy(*keys, "bin", (F.col("v") + 0.0).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    else:
+        near = rows.join(bins, keys).select(*keys, values, "bins").mapInArrow(fine, f"{of}, v double, bin bigint, c bigint").groupBy(*keys, "bin", "v").agg(F.sum("c").alias("c"))
     inside = W.partitionBy(*keys, "bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     near = near.join(wanted.select(*keys, F.col("v").alias("bin"), "n_values", "before", "ranks"), [*keys, "bin"])
     near = near.withColumn("upto", F.col("before") + F.sum("c").over(inside))

@@ -98,7 +98,8 @@ def average_reference(spark, d):
     """The mean of the good channels taken from all, bad ones made from their neighbours."""
     e = stored_epochs(spark, d)
     x = recordings.average_reference(e, (F.col("epoch") % 5 == 0) & (F.col("ch") == "C2"), _NEAR)
-    return x.groupBy("rec", "ch", "epoch").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 5).alias("rms"))
+    rms = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda t, v: t + v * v) / F.size("samples"))
+    return x.select("rec", "ch", "epoch", F.size("samples").cast("bigint").alias("n"), F.round(rms, 5).alias("rms"))
 
 
 @query("clean_epochs", f"""

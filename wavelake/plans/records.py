@@ -25,8 +25,7 @@ FROM (SELECT DISTINCT o_custkey FROM v) c LEFT JOIN b ON b.o_custkey = c.o_custk
 def asof_before_after(spark, d):
     """The last visit before a pivot and the first from it on."""
     v = _visits(spark, d).drop("o_orderpriority")
-    pivots = v.select("o_custkey").distinct().withColumn("pivot", F.lit(PIVOT).cast("date"))
-    out = joins.before_after(v, pivots, ["o_custkey"], "d", "pivot", "o_orderkey")
+    out = joins.before_after_at(v, F.lit(PIVOT).cast("date"), ["o_custkey"], "d", "o_orderkey")
     return out.select("o_custkey", F.col("before.o_orderkey").alias("before_key"), F.col("after.o_orderkey").alias("after_key"), F.col("before.price").alias("before_price"),
                       F.col("after.price").alias("after_price"), F.datediff("after.d", "before.d").alias("gap_days"))
 
@@ -45,8 +44,7 @@ def treatment_response(spark, d):
     """Every metric before and after the pivot, labelled by its polarity and dead band."""
     li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).cast("double").alias("items"), F.sum("l_quantity").alias("quantity"))
     m = _visits(spark, d).join(li, "o_orderkey").unpivot(["o_custkey", "d", "o_orderkey"], ["price", "items", "quantity"], "metric", "v")
-    pivots = m.select("o_custkey", "metric").distinct().withColumn("pivot", F.lit(PIVOT).cast("date"))
-    out = joins.before_after(m, pivots, ["o_custkey", "metric"], "d", "pivot", "o_orderkey")
+    out = joins.before_after_at(m, F.lit(PIVOT).cast("date"), ["o_custkey", "metric"], "d", "o_orderkey")
     dim = spark.createDataFrame([(n, p, b) for n, p, b in _METRICS], "metric string, polarity int, band double")
     pct = longitudinal.percent_change(F.col("before.v"), F.col("after.v"))
     label = F.when(pct.isNull(), "not_evaluable").when(F.abs(pct) < F.col("band"), "unchanged").otherwise(longitudinal.direction(pct, F.col("polarity"), 0.0))
