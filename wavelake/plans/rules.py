@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wavelake.functions import registry
 from wavelake.functions import text as texts
 from wavelake.operators import sequences
 from wavelake.plans.base import S, query, samples, stage_of, stage_sql, table
@@ -22,6 +23,18 @@ def submission_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws(",", texts.submission_findings(F.col("text"))).alias("findings")).withColumn("clean", F.col("findings") == "")
 
 
+@query("document_scan", f"""
+WITH d AS (SELECT conv_id, turn, to_json({{'id': conv_id, 'said': {{'role': role, 'parts': [{{'text': text}}]}}}}) AS doc FROM conversations),
+l AS (SELECT conv_id, turn, j.fullkey AS path, j.atom ->> '$' AS text FROM d, json_tree(d.doc) j WHERE j.type = 'VARCHAR'),
+f AS (SELECT conv_id, turn, path, {texts.SUBMISSION_SQL.format(t='text')} AS findings FROM l)
+SELECT conv_id, turn, path, findings FROM f WHERE findings <> ''""")
+def document_scan(spark, d):
+    """2.13: every string of nested documents, by its path, and what it should not hold."""
+    part = F.struct(F.col("role"), F.array(F.struct("text")).alias("parts"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.col("conv_id").alias("id"), part.alias("said"))).alias("doc"))
+    return registry.scan_documents(c, ["conv_id", "turn"], "doc", fold=False).withColumn("findings", F.concat_ws(",", "findings"))
+
+
 RATES = f"""{S}, e AS (SELECT rec, epoch, {stage_sql('epoch')} AS stage, count(*) FILTER (WHERE value > 50) AS hits FROM s GROUP BY ALL),
 r AS (SELECT rec, coalesce(sum(hits) FILTER (WHERE stage = 'W') / nullif(30.0::DOUBLE * count(*) FILTER (WHERE stage = 'W'), 0), 0) AS wake,
   coalesce(sum(hits) FILTER (WHERE stage IN ('N2', 'N3')) / nullif(30.0::DOUBLE * count(*) FILTER (WHERE stage IN ('N2', 'N3')), 0), 0) AS nrem,
