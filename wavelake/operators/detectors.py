@@ -10,11 +10,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from wavelake.functions import dsp
-from wavelake.session import saved
+from wavelake.session import saved, ship
 
 from .joins import exists_within
+from .recordings import event_windows
 from .traces import analytic, core_of, envelope, exact_quantiles, filtered, joined_runs, per_row, settle
 
 KEYS = ["rec", "ch"]
@@ -142,24 +144,100 @@ def bursts(df: DataFrame, fs: float, per_epoch: int, core: int = 16, band=(5.0,
                       "n_involved", "m.peak_channel", (-F.col("m.down")).alias("peak_ptp"))
 
 
-def spikes(df: DataFrame, fs: float, per_epoch: int, core: int | None = None, band=(10.0, 30.0)) -> DataFrame:
-    """Rec, ch, t_s, height. Peaks of the whole trace's band that stand above six local deviations and three root mean squares of their
-    epoch, 80 ms apart inside it."""
-    sos, apart = dsp.butter_sos(4, band, fs), max(1, int(0.08 * fs))
-    held = filtered(df, lambda x, left, right: (dsp.sosfiltfilt(sos, x)[0],), ["band"], per_epoch, settle(sos), 0, core)
+def spikes(df: DataFrame, fs: float, per_epoch: int, core: int | None = None, band=(10.0, 30.0), broad=(1.0, 35.0)) -> DataFrame:
+    """Rec, ch, t_s, height, width_ms. Peaks of the whole trace's band that stand above six local deviations and three root mean squares of their
+    epoch, 80 ms apart inside it. The width is that of the broad band above half of its size at the peak, sought up to 0.3 s to each side; null unless
+    between 20 and 600 ms. The broad band ends below the half of a low rate."""
+    sos, wide, apart, reach = dsp.butter_sos(4, band, fs), dsp.butter_sos(4, (broad[0], min(broad[1], 0.45 * fs)), fs), max(1, int(0.08 * fs)), int(0.3 * fs)
+    held = filtered(df, lambda x, left, right: (dsp.sosfiltfilt(sos, x)[0], dsp.sosfiltfilt(wide, x)[0]), ["band", "broad"], per_epoch, max(settle(sos), settle(wide)), reach, core)
 
-    def events(band, first):
-        for a in range(0, len(band), per_epoch):
-            x = band[a: a + per_epoch]
+    def width(x, at):
+        x, at = np.abs(x[max(0, at - reach): at + reach]), min(at, reach)
+        under = np.flatnonzero(x <= x[at] / 2)
+        left, right = under[under <= at], under[under >= at]
+        ms = ((right[0] if len(right) else len(x) - 1) - (left[-1] if len(left) else 0)) * 1000 / fs
+        return float(ms) if 20 < ms < 600 else None
+
+    def events(band, broad, before, n, first):
+        for a in range(before, before + n, per_epoch):
+            x = band[a: min(a + per_epoch, before + n)]
             if len(x) < 2 * apart:
                 continue
             mad = np.median(np.abs(x - np.median(x)))
             least = max(6 * mad, 3 * float(np.sqrt((x * x).mean())))
             if least > 0 and np.isfinite(least):
                 for i in dsp.find_peaks(np.abs(x), least, apart).tolist():
-                    yield (first + a + i) / fs, float(abs(x[i]))
-
-    return per_row(held, KEYS, ["band", "first"], events, "t_s double, height double")
+                    yield (first - before + a + i) / fs, float(abs(x[i])), width(broad, a + i)
+
+    return per_row(held, KEYS, ["band", "broad", "before", "n", "first"], events, "t_s double, height double, width_ms double")
+
+
+def morphology(found: DataFrame) -> DataFrame:
+    """Rec, ch, n_peaks, n_widths, pct_simple, pct_sharp, pct_complex, pct_polyspike, p25, p50, p75, classification, interpretation of ``spikes``.
+
+    Widths under 70 ms are simple, under 200 sharp, others complex; polyspikes are the share of intervals between neighbouring peaks under 250 ms."""
+    gap = F.col("t_s") - F.lag("t_s").over(W.partitionBy(*KEYS).orderBy("t_s"))
+    w = F.col("width_ms")
+    part = lambda c: F.try_divide(100.0 * F.count_if(c), F.count("width_ms"))
+    g = found.withColumn("gap", gap).groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n_peaks"), F.count("width_ms").alias("n_widths"), part(w < 70).alias("pct_simple"), part((w >= 70) & (w < 200)).alias("pct_sharp"), part(w >= 200).alias("pct_complex"),
+        F.coalesce(F.try_divide(100.0 * F.count_if(F.col("gap") < 0.25), F.count("gap")), F.lit(0.0)).alias("pct_polyspike"))
+    q = exact_quantiles(found, KEYS, "width_ms", [0.25, 0.5, 0.75]).select(*KEYS, F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    kind = F.when(F.col("n_widths") == 0, "no_events").when(F.col("pct_simple") > 60, "predominantly_simple").when(F.col("pct_complex") > 50, "predominantly_complex").otherwise("mixed")
+    meaning = F.when(F.col("n_widths") == 0, "benign_focal").when((F.col("pct_polyspike") >= 20) | (F.col("pct_complex") >= 50), "encephalopathic").when(F.col("pct_simple") > 60, "benign_focal").otherwise("epileptiform_spectrum")
+    return g.join(q, KEYS, "left").withColumn("classification", kind).withColumn("interpretation", meaning)
+
+
+def hemisphere(channel: Column) -> Column:
+    """left, right or mid: the last digit of a channel's name is odd, even or missing."""
+    digit = F.regexp_extract(channel, r"([0-9])[^0-9]*$", 1)
+    return F.when(digit == "", "mid").when(digit.cast("int") % 2 == 1, "left").otherwise("right")
+
+
+def spike_average(events: DataFrame, df: DataFrame, fs: float, per_epoch: int, before_ms: float = 100.0, after_ms: float = 100.0, focal: float = 0.6, bilateral: float = 0.3) -> DataFrame:
+    """Rec, n_spikes, peak_channel, peak_latency_ms, field_spread, topography of the average around ``events`` (rec, t_s), over all channels of a recording.
+
+    Windows of all channels around each event are added position by position, as whole arrays, and divided; the field is taken where the sum of absolute
+    averages is largest (first of ties). It is focal if one channel has at least ``focal`` of it, else bilateral if both sides have ``bilateral``, else regional; n/a if it is 0.
+    Events whose window leaves the recording, lacks a channel or holds a sample that is not finite are left out. A recording without any is left out too. An event that is given twice counts twice."""
+    import pyarrow as pa
+
+    ship(df.sparkSession)
+    before, after = round(before_ms / 1000 * fs), round(after_ms / 1000 * fs)
+    names = df.groupBy("rec").agg(F.array_sort(F.collect_set("ch")).alias("names"))  # the channels of a recording
+    times = events.where("t_s is not null").groupBy("rec", F.bround(F.col("t_s") * fs).cast("bigint").alias("at")).agg(F.count(F.lit(1)).alias("times"))
+    each = times.select("rec", "at").join(names, "rec").select("rec", F.explode("names").alias("ch"), "at")
+    cut = event_windows(each, df, before, after - 1, per_epoch).withColumn("samples", F.col("samples").cast("array<double>"))
+    sane = F.forall("samples", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.size("samples") == before + after)
+    whole = cut.groupBy("rec", "at").agg(F.count_if(sane).alias("fine")).join(names, "rec").where(F.col("fine") == F.size("names")).select("rec", "at").join(times, ["rec", "at"])
+    kept = cut.join(whole, ["rec", "at"])
+    kind = dict(df.dtypes)["rec"]
+
+    def add(batches):
+        for batch in batches:
+            sums: dict[tuple, list] = {}
+            for i in range(batch.num_rows):
+                key, n = (batch.column("rec")[i].as_py(), batch.column("ch")[i].as_py()), batch.column("times")[i].as_py()
+                held = sums.setdefault(key, [0, 0.0])
+                held[0], held[1] = held[0] + n, held[1] + n * np.asarray(batch.column("samples")[i].values)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], batch.schema.field("rec").type), pa.array([k[1] for k in sums], pa.string()), pa.array([v[0] for v in sums.values()], pa.int64()),
+                                              pa.array([v[1] for v in sums.values()], pa.list_(pa.float64()))], ["rec", "ch", "n", "s"])
+
+    def total(t: pa.Table) -> pa.Table:
+        s = np.sum([np.asarray(v.values) for v in t.column("s")], axis=0)
+        return pa.table([pa.array([t.column(c)[0].as_py()], t.schema.field(c).type) for c in ("rec", "ch")] + [pa.array([sum(t.column("n").to_pylist())], pa.int64()), pa.array([s], pa.list_(pa.float64()))], ["rec", "ch", "n", "s"])
+
+    schema = f"rec {kind}, ch string, n bigint, s array<double>"
+    mean = kept.select("rec", "ch", "times", "samples").mapInArrow(add, schema).groupBy("rec", "ch").applyInArrow(total, schema)
+    field = mean.groupBy("rec").agg(F.max("n").alias("n_spikes"), F.array_sort(F.collect_list(F.struct("ch", F.transform("s", lambda x: x / F.col("n")).alias("x")))).alias("c"))
+    power = F.aggregate(F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))), F.transform(F.element_at("c", 1).x, F.abs), lambda t, c: F.zip_with(t, c.x, lambda a, b: a + F.abs(b)))
+    field = field.withColumn("power", power).withColumn("peak", F.array_position("power", F.array_max("power")).cast("int"))
+    field = field.withColumn("topography", F.map_from_entries(F.transform("c", lambda c: F.struct(c.ch, F.element_at(c.x, F.col("peak")))))).withColumn("v", F.transform("c", lambda c: F.struct(c.ch.alias("ch"), F.abs(F.element_at(c.x, F.col("peak"))).alias("a"))))
+    side = lambda name: F.aggregate(F.filter("v", lambda v: hemisphere(v.ch) == name), F.lit(0.0), lambda t, v: t + v.a)
+    field = field.withColumn("all", F.aggregate("v", F.lit(0.0), lambda t, v: t + v.a)).withColumn("top", F.array_max(F.transform("v", lambda v: v.a))).withColumn("left", side("left")).withColumn("right", side("right"))
+    spread = F.when(~(F.col("all") > 0), "n/a").when(F.col("top") >= focal * F.col("all"), "focal").when((F.col("left") >= bilateral * F.col("all")) & (F.col("right") >= bilateral * F.col("all")), "bilateral").otherwise("regional")
+    return field.select("rec", "n_spikes", F.element_at(F.filter("v", lambda v: v.a == F.col("top")), 1).ch.alias("peak_channel"), ((F.col("peak") - 1 - before) * 1000 / F.lit(fs)).alias("peak_latency_ms"),
+                        spread.alias("field_spread"), "topography")
 
 
 #: The least rate at which fast oscillations can be sought.

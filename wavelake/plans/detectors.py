@@ -123,3 +123,18 @@ def so_coupling(spark, d):
     e, found = found_spindles(spark, d)
     waves = detectors.slow_waves(e, FS, PER_EPOCH, F.lit(40))
     return rounded(detectors.coupling(e, FS, PER_EPOCH, found, waves))
+
+
+@query("spike_morphology")
+def spike_morphology(spark, d):
+    """Width classes of the spikes of every channel, and what they speak for."""
+    return rounded(detectors.morphology(detectors.spikes(stored_epochs(spark, d, LOUD_SPINDLES), FS, PER_EPOCH)))
+
+
+@query("spike_fields")
+def spike_fields(spark, d):
+    """The average field around the spikes of each recording's first channel."""
+    e = stored_epochs(spark, d, LOUD_SPINDLES)
+    found = detectors.spikes(e.where("ch = 'C0'"), FS, PER_EPOCH)
+    out = detectors.spike_average(found, e, FS, PER_EPOCH)
+    return out.withColumn("topography", F.transform_values("topography", lambda _, v: F.round(v, 4)).cast("string"))
