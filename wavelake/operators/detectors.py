@@ -16,7 +16,7 @@ from wavelake.functions import dsp
 from wavelake.session import saved, ship
 
 from .joins import exists_within
-from .recordings import event_windows
+from .recordings import event_windows, live_channels, merge_keep_larger
 from .traces import analytic, core_of, envelope, exact_quantiles, filtered, joined_runs, per_row, settle
 
 KEYS = ["rec", "ch"]
@@ -321,3 +321,37 @@ def coupling(df: DataFrame, fs: float, per_epoch: int, found: DataFrame, waves:
     p = F.exp(-z) * (1 + F.try_divide(2 * z - z**2, 4 * n) - F.try_divide(24 * z - 132 * z**2 + 76 * z**3 - 9 * z**4, 288 * n**2))
     figures = {"plv": F.try_divide(size, n), "preferred_deg": F.degrees(F.atan2("s", "c")), "rayleigh_z": z, "rayleigh_p": F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))}
     return out.withColumn("status", status).select(*KEYS, "status", "n_spindles", "n_slow_waves", "n_coupled", *[F.when(F.col("status") == "ok", v).alias(k) for k, v in figures.items()])
+
+
+def ictal_candidates(df: DataFrame, fs: float, per_epoch: int, channels: int = 4, window_s: float = 2.0, step_s: float = 1.0, least_s: float = 10.0, least_z: float = 3.0, least_drift: float = 1.0) -> DataFrame:
+    """Rec, ch, start_s, duration_s, peak_z, drift_hz, confidence of stretches that a person should look at, on the first ``channels`` live channels by name.
+
+    Windows of ``window_s`` move by ``step_s`` inside an epoch; the robust z of their line length over the whole trace stays at ``least_z`` for ``least_s``
+    at least (windows more than one and a half steps apart end a stretch). The change of the dominant frequency from its first to its last window makes it moderate, else it
+    is low. Of stretches of several channels that overlap or touch, the one of largest z stays. Samples that are not finite count as 0."""
+    ship(df.sparkSession)
+    size, step = max(2, int(window_s * fs)), max(1, int(step_s * fs))
+    known = df.where("epoch is not null and samples is not null").select(*KEYS, "epoch", F.transform("samples", lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x.cast("double")).otherwise(F.lit(0.0))).alias("samples"))
+    moments = F.expr("aggregate(samples, named_struct('n', 0D, 's', 0D, 'q', 0D), (a, x) -> named_struct('n', a.n + 1, 's', a.s + x, 'q', a.q + x * x), a -> if(a.n > 0, sqrt(greatest(a.q / a.n - (a.s / a.n) * (a.s / a.n), 0D)), null))")
+    live = live_channels(known.select(*KEYS, "epoch", moments.alias("sd")), KEYS).where("live")
+    used = live.withColumn("_k", F.row_number().over(W.partitionBy("rec").orderBy("ch"))).where(F.col("_k") <= channels).select(*KEYS)
+
+    def windows(samples, epoch):
+        for a in range(0, len(samples) - size + 1, step):
+            x = samples[a: a + size]
+            yield epoch * per_epoch / fs + a / fs, float(np.abs(np.diff(x)).sum()), 0.0 if np.allclose(x, x.mean(), rtol=0, atol=1e-8) else band_peak((x - x.mean()) * np.hanning(size), fs, 2.0, 25.0) or 0.0
+
+    w = saved(per_row(known.join(used, KEYS), KEYS, ["samples", "epoch"], windows, "t double, ll double, hz double"), "windows")
+    med = exact_quantiles(w, KEYS, "ll", [0.5]).select(*KEYS, F.col("q0").alias("med"))
+    off = w.join(med, KEYS).withColumn("off", F.abs(F.col("ll") - F.col("med")))
+    mad = exact_quantiles(off, KEYS, "off", [0.5]).select(*KEYS, F.col("q0").alias("mad"))
+    sd = w.groupBy(*KEYS).agg(F.stddev_pop("ll").alias("sd"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+    scale = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
+    high = w.join(med.join(mad, KEYS).join(sd, KEYS), KEYS).withColumn("z", (F.col("ll") - F.col("med")) / scale).where(F.col("z") >= least_z)
+    order = W.partitionBy(*KEYS).orderBy("t")
+    fresh = F.coalesce(F.col("t") - F.lag("t").over(order) > 1.5 * step_s, F.lit(True)).cast("int")
+    runs = high.withColumn("run", F.sum(fresh).over(order)).groupBy(*KEYS, "run").agg(
+        F.min("t").alias("start_s"), (F.max("t") + window_s).alias("stop_s"), F.abs(F.max_by("hz", "t") - F.min_by("hz", "t")).alias("drift_hz"), F.max("z").alias("peak_z"))
+    runs = runs.where(F.col("stop_s") - F.col("start_s") >= least_s).withColumn("score", F.struct("peak_z", "ch", "drift_hz"))
+    kept = merge_keep_larger(runs, ["rec"], "start_s", "stop_s", "score", touching=True)  # a recording's candidates
+    return kept.select("rec", "score.ch", "start_s", (F.col("stop_s") - F.col("start_s")).alias("duration_s"), "score.peak_z", "score.drift_hz", F.when(F.col("score.drift_hz") >= least_drift, "moderate").otherwise("low").alias("confidence"))

@@ -94,17 +94,18 @@ def strict_cycles(df: DataFrame, keys: Sequence[str], order: str, stage: str, nr
     return g.withColumn("_ok", ok).groupBy(*keys).agg(F.count_if("_ok").alias("n_cycles"))
 
 
-def merge_keep_larger(df: DataFrame, keys: Sequence[str], start: str, stop: str, score: str) -> DataFrame:
+def merge_keep_larger(df: DataFrame, keys: Sequence[str], start: str, stop: str, score: str, touching: bool = False) -> DataFrame:
     """Ordered fold over intervals: one that overlaps the last kept one replaces it if its score is larger, else it goes.
 
-    The extent is replaced, not joined, so this is no island; keys must bound a group (a recording's day)."""
+    The extent is replaced, not joined, so this is no island; keys must bound a group (a recording's day). With ``touching`` an interval that starts
+    where the last one stops overlaps it. The score may be a struct, compared from its first field on."""
     items = F.array_sort(F.collect_list(F.struct(F.col(start).alias("lo"), F.col(stop).alias("hi"), F.col(score).alias("z"))))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     none = F.array().cast(f"array<struct<lo:{kinds[start]},hi:{kinds[stop]},z:{kinds[score]}>>")
 
     def step(kept, x):
         last = F.element_at(kept, -1)
-        over = (F.size(kept) > 0) & (x.lo < last.hi)
+        over = (F.size(kept) > 0) & ((x.lo <= last.hi) if touching else (x.lo < last.hi))
         front = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
         return F.when(over & (x.z > last.z), F.concat(front, F.array(x))).when(over, kept).otherwise(F.concat(kept, F.array(x)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,3 +140,12 @@ def spike_fields(spark, d):
     found = detectors.spikes(e.where("ch = 'C0'"), FS, PER_EPOCH)
     out = detectors.spike_average(found, e, FS, PER_EPOCH)
     return out.withColumn("topography", F.transform_values("topography", lambda _, v: F.round(v, 4)).cast("string"))
+
+
+@query("ictal_candidates")
+def ictal_candidates(spark, d):
+    """A rhythm that slows from 8 to 5 Hz in every sixth epoch of the stored recordings. A window stays inside its epoch of 8 s, so seven seconds are asked for here."""
+    t = lambda i: i / F.lit(FS)
+    rhythm = lambda x, i: x + F.when(F.col("epoch") % 6 == 3, 300 * F.sin(2 * math.pi * (8 * t(i) - 3 / 16 * t(i) * t(i)))).otherwise(0.0)
+    e = stored_epochs(spark, d).withColumn("samples", F.transform("samples", rhythm))
+    return rounded(detectors.ictal_candidates(e, FS, PER_EPOCH, least_s=7.0))
