@@ -135,10 +135,11 @@ r AS (SELECT rec, ch, min(i) AS start, max(i) + 1 AS stop, arg_max(value, i) - a
 SELECT rec, ch, start, stop, round(drift, 4) AS drift, CASE WHEN abs(drift) >= 10 THEN 'moderate' ELSE 'low' END AS confidence FROM r""")
 def ictal_screen(spark, d):
     """Runs above half a robust deviation on a recording's first four channels; a drift raises confidence."""
-    s = samples(spark, d)
-    first = s.select("rec", "ch").distinct().withColumn("k", F.row_number().over(W.partitionBy("rec").orderBy("ch"))).where("k <= 4").drop("k")
-    n = s.join(first, ["rec", "ch"]).withColumn("i", F.row_number().over(W.partitionBy("rec", "ch").orderBy("us", "event_id")) - 1)
-    z = n.join(sequences.median_mad(n, ["rec", "ch"], "value"), ["rec", "ch"]).withColumn("up", F.col("value") > F.col("med") + 0.5 * sequences.MAD_SCALE * F.col("mad"))
+    w, value = W.partitionBy("rec", "ch"), F.col("value")
+    # dealt by recording once: ranks, numbers, medians and runs all find their rows together
+    n = samples(spark, d).withColumn("k", F.dense_rank().over(W.partitionBy("rec").orderBy("ch"))).where("k <= 4").withColumn("i", F.row_number().over(w.orderBy("us", "event_id")) - 1)
+    z = n.withColumn("med", F.median("value").over(w)).withColumn("mad", F.median(F.abs(value - F.col("med"))).over(w))
+    z = z.withColumn("up", value > F.col("med") + 0.5 * sequences.MAD_SCALE * F.col("mad"))
     g = sequences.islands(z, ["rec", "ch"], "i", "up").where("up")
     r = g.groupBy("rec", "ch", "island").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop"), (F.max_by("value", "i") - F.min_by("value", "i")).alias("drift")).where("stop - start >= 2")
     return r.select("rec", "ch", "start", "stop", F.round("drift", 4).alias("drift"), F.when(F.abs("drift") >= 10, "moderate").otherwise("low").alias("confidence"))
