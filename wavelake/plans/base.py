@@ -67,6 +67,7 @@ E = f"""e AS (SELECT vec_id // 512 AS rec, 'C' || (vec_id % 4) AS ch, (vec_id //
 
 
 def stage_of(epoch):
+    epoch = F.col(epoch) if isinstance(epoch, str) else epoch
     return F.element_at(F.array(*[F.lit(s) for s in STAGES]), (F.pmod(epoch, F.lit(len(STAGES))) + 1).cast("int"))
 
 

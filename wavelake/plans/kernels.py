@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wavelake.functions import dsp
 from wavelake.operators import graph
-from wavelake.plans.base import FS, query, rounded, stored_epochs
+from wavelake.plans.base import FS, query, rounded, stage_of, stored_epochs
 from wavelake.session import saved
 
 
@@ -151,45 +151,99 @@ def graph_metrics(spark, d):
     return rounded(out.join(nodes, "rec").join(local, "rec").join(sigma, "rec"))
 
 
+#: Stages that a spectrum is read in, and what its slope usually is there: mean and deviation (conventions, no published norms).
+SLOPE_NORMS = {"W": (1.25, 0.3), "N2": (1.75, 0.3), "N3": (2.0, 0.3)}
+#: Slopes outside of these are no fit.
+SLOPES = (0.1, 5.0)
+
+
+@query("aperiodic_by_stage")
+def aperiodic_by_stage(spark, d):
+    """Quartiles of the spectral slope of each channel and stage, and how far the median is from what is usual."""
+    rows = per_epoch(stored_epochs(spark, d), band_rows, "delta_pct double, theta_pct double, alpha_pct double, beta_pct double, dar double, peak_hz double, aperiodic double, own_stage string")
+    rows = rows.withColumn("stage", stage_of("epoch")).where(F.col("aperiodic").between(*SLOPES))
+    g = rows.groupBy("rec", "ch", "stage").agg(F.count(F.lit(1)).alias("n"), F.percentile("aperiodic", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    norm = F.create_map(*[v for k, (m, sd) in SLOPE_NORMS.items() for v in (F.lit(k), F.struct(F.lit(m).alias("m"), F.lit(sd).alias("sd")))])[F.col("stage")]
+    return rounded(g.select("rec", "ch", "stage", "n", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), ((F.col("q")[1] - norm.m) / norm.sd).alias("z")))
+
+
+BANDS = (("delta", 0.5, 4), ("theta", 4, 8), ("alpha", 8, 13), ("beta", 13, 30))
+#: Channels that stand for the posterior ones, left and right.
+POSTERIOR = {"C1": "left", "C2": "right", "C3": "left"}
+
+
+@query("background_power")
+def background_power(spark, d):
+    """A2: the mean spectrum of a recording's posterior channels awake: shares of the bands (ratios of means), delta over alpha, the dominant frequency of 4-13 Hz,
+    and how the sides differ in alpha: under 0.05 symmetric, from 0.2 on marked."""
+    n = 4 * int(FS) // 2 + 1
+
+    def spectrum(x):
+        if len(x) < 4 * FS:
+            return []
+        return [(i, float(v)) for i, v in enumerate(dsp.welch(x, FS, int(4 * FS))[1][0])]
+
+    e = stored_epochs(spark, d).where(F.col("ch").isin(*POSTERIOR)).where(stage_of("epoch") == "W")
+    side = F.create_map(*[F.lit(v) for kv in POSTERIOR.items() for v in kv])[F.col("ch")]
+    bins = per_epoch(e, spectrum, "bin int, p double").groupBy("rec", "bin").agg(F.avg("p").alias("p"), F.avg(F.when(side == "left", F.col("p"))).alias("l"), F.avg(F.when(side == "right", F.col("p"))).alias("r"))
+    hz = F.col("bin") / F.lit(4.0)
+    inside = lambda c, a, b: F.sum(F.when((hz >= a) & (hz < b), F.col(c)))
+    top = F.max_by(hz, F.when((hz >= 4) & (hz <= 13), F.struct("p", (-hz).alias("h"))))
+    g = bins.where(F.col("bin") < n).groupBy("rec").agg(*[inside("p", a, b).alias(k) for k, a, b in BANDS], top.alias("pdr_hz"), inside("l", 8, 13).alias("left"), inside("r", 8, 13).alias("right"))
+    total = F.col("delta") + F.col("theta") + F.col("alpha") + F.col("beta")
+    off = F.try_divide(F.col("left") - F.col("right"), F.col("left") + F.col("right"))
+    label = F.when(off.isNull(), "not_computed").when(F.abs(off) >= 0.2, "marked_asymmetric").when(F.abs(off) < 0.05, "symmetric").when(off > 0, "lh_dominant").otherwise("rh_dominant")
+    return rounded(g.select("rec", *[F.try_divide(100 * F.col(k), total).alias(f"{k}_pct") for k, _, _ in BANDS], F.try_divide("delta", "alpha").alias("dar"), "pdr_hz", off.alias("asymmetry"), label.alias("label")))
+
+
+#: Starts of the clustering of topographies, and its states.
+STARTS, STATES = 20, 4
+
+
+def microstate_rows(x: np.ndarray, fs: float):
+    """Name, coverage in percent, mean length in ms and occurrences a second of the states of a recording (channels by samples), largest first.
+
+    Topographies at maxima of the global field are clustered without regard to polarity, the best of STARTS seeded starts; each sample then takes the state
+    that it is most like."""
+    x = x - x.mean(axis=0)
+    at = dsp.find_peaks(x.std(axis=0), 0.0, 2)
+    size = np.linalg.norm(x[:, at], axis=0)
+    at, size = at[size > 0], size[size > 0]
+    if not len(at):
+        return []
+    maps = (x[:, at] / size).T
+    k, best = min(STATES, len(maps)), None
+    for start in range(STARTS):
+        c = maps[np.random.default_rng([42, start]).choice(len(maps), k, replace=False)]
+        for _ in range(30):
+            lab = np.abs(maps @ c.T).argmax(axis=1)
+            c = np.stack([np.linalg.svd(maps[lab == j], full_matrices=False)[2][0] if (lab == j).any() else c[j] for j in range(k)])
+        fit = (np.abs(maps @ c.T).max(axis=1) ** 2).mean()
+        if best is None or fit > best[0] + 1e-12:
+            best = (fit, c)
+    state = np.abs((x / np.maximum(np.linalg.norm(x, axis=0), 1e-12)).T @ best[1].T).argmax(axis=1)
+    rows = []
+    for name, j in zip("ABCD", np.argsort(-np.bincount(state, minlength=k), kind="stable"), strict=False):
+        runs = dsp.true_runs(state == j)
+        rows.append((name, float((state == j).mean() * 100), float((runs[:, 1] - runs[:, 0]).mean() / fs * 1000) if len(runs) else 0.0, len(runs) / (x.shape[1] / fs)))
+    return rows
+
+
 @query("microstates")
 def microstates(spark, d):
-    """Polarity-free k-means of the topographies at maxima of the global field; a recording is at most 16 epochs here."""
-    wide = epochs_by_channel(stored_epochs(spark, d))
+    """A14 on the recordings' joined epochs that hold all channels; a recording is at most 16 epochs here."""
     cols = ["rec", "state", "coverage_pct", "mean_ms", "per_s"]
 
     def run(pdf):
-        rec = pdf["rec"].iloc[0]
         pdf = pdf.sort_values("epoch")
         names = [tuple(c["ch"] for c in chans) for chans in pdf["chans"]]
         full = max(set(names), key=lambda v: (len(v), v))
         blocks = [np.stack([np.asarray(c["samples"], float) for c in chans]) for chans, n in zip(pdf["chans"], names, strict=True)
                   if n == full and len({len(c["samples"]) for c in chans}) == 1]
-        if len(full) < 3 or not blocks:
-            return pd.DataFrame(columns=cols)
-        x = np.concatenate(blocks, axis=1)
-        x = x - x.mean(axis=0)
-        gfp = x.std(axis=0)
-        at = dsp.find_peaks(gfp, 0.0, 2)
-        maps = x[:, at].T / np.linalg.norm(x[:, at], axis=0)[:, None]
-        k, best = min(4, len(maps)), None
-        for init in range(5):
-            rng = np.random.default_rng([42, init])
-            c = maps[rng.choice(len(maps), k, replace=False)]
-            for _ in range(30):
-                lab = np.abs(maps @ c.T).argmax(axis=1)
-                c = np.stack([np.linalg.svd(maps[lab == j], full_matrices=False)[2][0] if (lab == j).any() else c[j] for j in range(k)])
-            fit = (np.abs(maps @ c.T).max(axis=1) ** 2).mean()
-            if best is None or fit > best[0] + 1e-12:
-                best = (fit, c)
-        state = np.abs((x / np.maximum(np.linalg.norm(x, axis=0), 1e-12)).T @ best[1].T).argmax(axis=1)
-        order = np.argsort(-np.bincount(state, minlength=k), kind="stable")
-        rows = []
-        for name, j in zip("ABCD", order, strict=False):
-            runs = dsp.true_runs(state == j)
-            mean = float((runs[:, 1] - runs[:, 0]).mean() / FS * 1000) if len(runs) else 0.0
-            rows.append((rec, name, float((state == j).mean() * 100), mean, len(runs) / (x.shape[1] / FS)))
-        return pd.DataFrame(rows, columns=cols)
+        rows = microstate_rows(np.concatenate(blocks, axis=1), FS) if len(full) >= 3 and blocks else []
+        return pd.DataFrame([(pdf["rec"].iloc[0], *row) for row in rows], columns=cols)
 
+    wide = epochs_by_channel(stored_epochs(spark, d))
     return rounded(wide.groupBy("rec").applyInPandas(run, "rec bigint, state string, coverage_pct double, mean_ms double, per_s double"))
 
 

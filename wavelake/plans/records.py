@@ -322,3 +322,10 @@ def bootstrap_ci(spark, d):
     """Seeded percentile bootstrap of the mean value of each recording, its epochs drawn as blocks."""
     out = longitudinal.block_bootstrap_ci(samples(spark, d), ["rec"], "epoch", "value", draws=500)
     return out.select("rec", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
+
+
+@query("bootstrap_median_ci")
+def bootstrap_median_ci(spark, d):
+    """The same for the median, exact for every draw."""
+    out = longitudinal.block_bootstrap_ci(samples(spark, d), ["rec"], "epoch", "value", draws=200, aggregate="median")
+    return out.select("rec", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
