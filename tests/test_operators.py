@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wavelake.functions import dsp, text
-from wavelake.operators import cohort, joins, longitudinal, sequences
+from wavelake.operators import cohort, detectors, joins, longitudinal, sequences
 from wavelake.plans import kernels
 
 
@@ -110,15 +110,21 @@ def test_peaks_are_maxima_and_apart(values, distance):
     assert all(values[i] >= 1 for i in at) and all(b - a >= distance for a, b in zip(at[:-1], at[1:], strict=True))
 
 
-def test_detectors_on_made_signals():
+def one_trace(spark, x, per_epoch=512):
+    return spark.createDataFrame([(1, "C3", i // per_epoch, [float(v) for v in x[i: i + per_epoch]]) for i in range(0, len(x), per_epoch)], "rec long, ch string, epoch long, samples array<double>")
+
+
+def test_detectors_on_made_signals(spark):
     t = np.arange(int(kernels.FS * 60)) / kernels.FS
     quiet = np.random.default_rng(0).standard_normal(len(t))
     burst = quiet + 40 * np.exp(-((t - 30) ** 2) / 0.3) * np.sin(2 * np.pi * 13 * t)
-    assert any(abs(r[2] - 30) < 0.5 for r in kernels.spindle_rows(burst))
+    fs = kernels.FS
+    assert any(abs(r.peak_s - 30) < 0.5 for r in detectors.spindles(one_trace(spark, burst), fs, 512).collect())
     long = quiet + 40 * np.exp(-((t - 30) ** 2) / 12) * np.sin(2 * np.pi * 8 * t)
-    assert any(abs((r[0] + r[1]) / 2 - 30) < 1 and r[1] - r[0] >= 3 for r in kernels.burst_rows(long)) and not kernels.burst_rows(burst)
+    assert any(abs((r.start_s + r.end_s) / 2 - 30) < 1 and r.end_s - r.start_s >= 3 for r in detectors.bursts(one_trace(spark, long), fs, 512).collect())
+    assert not detectors.bursts(one_trace(spark, burst), fs, 512).collect()
     wave = quiet + 100 * np.sin(2 * np.pi * 0.75 * t)
-    assert len(kernels.slow_wave_rows(wave)) > 30 and not kernels.slow_wave_rows(quiet)
+    assert detectors.slow_waves(one_trace(spark, wave), fs, 512, F.lit(40)).count() > 30 and not detectors.slow_waves(one_trace(spark, quiet), fs, 512, F.lit(40)).count()
     assert kernels.band_rows(quiet + 20 * np.sin(2 * np.pi * 10 * t))[0][5] == 10
 
 
@@ -128,14 +134,14 @@ def test_entropy_of_noise_is_higher_than_of_a_sine():
     assert all(a < b for a, b in zip(sine, noise, strict=True))
 
 
-def test_fast_oscillations_blinks_and_their_filters():
-    fs = kernels.FAST_FS
+def test_fast_oscillations_blinks_and_their_filters(spark):
+    fs = 1024.0
     t = np.arange(int(fs * 2)) / fs
-    quiet = np.random.default_rng(0).standard_normal(len(t))
+    quiet = 0.4 * np.random.default_rng(0).standard_normal(len(t))  # its band stays under the floor of 1 µV, which holds where 5 deviations are less
     ripple = quiet + 30 * np.exp(-((t - 1) ** 2) / 0.0006) * np.sin(2 * np.pi * 150 * t)
-    got = kernels.hfo_rows(ripple)
-    assert len(got) == 1 and got[0][0] < 1 < got[0][1] and abs(got[0][2] - 150) < 20 and got[0][4]
-    assert not kernels.hfo_rows(quiet) and not kernels.hfo_rows(ripple, fs=256.0)
+    got = detectors.fast_oscillations(one_trace(spark, ripple), fs, 512).collect()
+    assert len(got) == 1 and got[0].start_s < 1 < got[0].end_s and abs(got[0].peak_hz - 150) < 20
+    assert not detectors.fast_oscillations(one_trace(spark, quiet), fs, 512).count() and not detectors.fast_oscillations(one_trace(spark, ripple), 256.0, 512).count()
     h = dsp.fir_band(256, (80, 250), fs)
     gain = lambda f: abs(h @ np.exp(-2j * np.pi * f / fs * np.arange(len(h))))
     assert len(h) % 2 and abs(gain(165) - 1) < 1e-3 and gain(40) < 0.01 and gain(350) < 0.01
