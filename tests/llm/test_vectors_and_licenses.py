@@ -155,4 +155,5 @@ def test_norm_buckets_leave_pairs_out():
 
 
 def test_sql_of_the_scan_names_every_template():
-    assert all(label in queries.op11_sql() for label, _, _ in licenses.TEMPLATES)
+    assert len({k.split("_")[0] for k in queries.queries()}) == len(queries.queries()) == 13 and set(queries.oracle_sql()) <= set(queries.queries())
+    assert all(label in queries.license_sql() for label, _, _ in licenses.TEMPLATES)

@@ -152,7 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_extendible_sharding": OP2_SQL, "op3_cover_tree_topk": OP3_SQL, "op4_warc_archive": OP4_SQL, "op7_curriculum_mix": OP7_SQL,
-            "op11_license_scan": op11_sql(), "op13_hard_negatives": OP13_SQL}
+            "op11_license_scan": license_sql(), "op13_hard_negatives": OP13_SQL}
 
 
 OP2_SQL = f"""
@@ -219,7 +219,7 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.sc
 """
 
 
-def op11_sql() -> str:
+def license_sql() -> str:
     """The licence scan as joins of words and postings, from the same templates."""
     import string
 
