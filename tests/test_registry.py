@@ -6,7 +6,7 @@ import uuid
 
 from wavelake.functions import registry
 
-GOOD = {"consent_given": True, "consent_version": 2, "submitted_at_month": "2026-05", "tool_version": "0.1", "variant_gene": "KCNQ3", "variant_protein": "p.Arg230His", "variant_type": "missense_GoF", "age_years": 5.5, "sex": "F",
+GOOD = {"consent_given": True, "consent_version": 2, "submitted_at_month": "2026-05", "tool_version": "0.1", "variant_gene": "SCN1A", "variant_protein": "p.Arg230His", "variant_type": "missense_GoF", "age_years": 5.5, "sex": "F",
         "country_region": "DE", "duration_hours": 8.0, "montage": "10-20_monopolar", "n_channels": 19, "had_sleep": True, "intervention_type": None, "intervention_name": None, "intervention_record_kind": None,
         "linked_pre_submission_id": None}
 SCHEMA = ("submission_id string, consent_given boolean, consent_version int, submitted_at_month string, tool_version string, variant_gene string, variant_protein string, variant_type string, age_years double, sex string, "
@@ -23,7 +23,7 @@ def build(spark, cases):
 
 def test_every_rule_has_a_case_that_breaks_it(spark):
     act = {"intervention_type": "medication", "intervention_name": "Drug", "intervention_record_kind": "post"}
-    bad = [({"variant_gene": "kcnq3"}, "variant_gene"), ({"variant_gene": "K"}, "variant_gene"), ({"variant_gene": "GENE_WITH_UNDERSCORE"}, "variant_gene"), ({"variant_protein": "R230H"}, "variant_protein"),
+    bad = [({"variant_gene": "scn1a"}, "variant_gene"), ({"variant_gene": "K"}, "variant_gene"), ({"variant_gene": "GENE_WITH_UNDERSCORE"}, "variant_gene"), ({"variant_protein": "R230H"}, "variant_protein"),
            ({"variant_protein": "p.JohnSmith"}, "variant_protein"), ({"variant_type": "GoF"}, "variant_type"), ({"sex": "female"}, "sex"), ({"country_region": "Germany"}, "country_region"), ({"age_years": -3.0}, "age_years"),
            ({"age_years": float("nan")}, "age_years"), ({"age_years": None}, "age_years"), ({"montage": "custom_clinic"}, "montage"), ({"n_channels": 999}, "n_channels"), ({"n_channels": None}, "n_channels"),
            ({"consent_given": False}, "consent_given"), ({"consent_version": 0}, "consent_version"), ({"duration_hours": -1.0}, "duration_hours"), ({"submitted_at_month": "2026-13"}, "month"), ({"submission_id": "x"}, "submission_id"),
