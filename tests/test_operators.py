@@ -241,3 +241,16 @@ def test_nearest_keys_with_gaps_ties_and_nulls(spark):
     assert len(none) == len(values) and all(r.age is None for r in none)
     assert nearest_keys(df.limit(0), "at", table, "age").count() == 0
     assert nearest_keys(df.where("i = 2"), "at", table.unionByName(table), "age").count() == 2
+
+
+def test_block_bootstrap_keeps_the_draws_of_a_group_in_its_task(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, b, float(v)) for g in ("a", "b", "c") for b in range(30 if g != "c" else 2) for v in rng.normal(0, 1, 1 + b % 4)]
+    df = spark.createDataFrame(rows, "g string, b long, v double")
+    for what in ("mean", "sum", "median"):
+        near, far, mixed = (longitudinal.block_bootstrap_ci(df, ["g"], "b", "v", draws=120, aggregate=what, held=h) for h in (1000, 1, 10))
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan and plan.count("Aggregate") == 1, plan  # one row a group, no row a draw
+        got, want, both = ({r.g: (r.point, r.lo, r.hi) for r in x.collect()} for x in (near, far, mixed))
+        assert got.keys() == want.keys() == both.keys() == {"a", "b", "c"}
+        assert all(np.allclose(got[g], want[g], atol=1e-9) and np.allclose(got[g], both[g], atol=1e-9) for g in got)

@@ -86,26 +86,96 @@ def _times(seed: int, own: int, draws: int) -> np.ndarray:
     return np.random.default_rng([seed, own % 2**64]).poisson(1.0, draws)
 
 
-def block_bootstrap_ci(df: DataFrame, keys: Sequence[str], block: str, value: str, draws: int = 1000, seed: int = 42, level: float = 0.95, aggregate: str = "mean") -> DataFrame:
+#: Values of a group that one task takes as arrays; larger groups are dealt in parts of about so many.
+HELD = 1 << 15
+
+
+def block_bootstrap_ci(df: DataFrame, keys: Sequence[str], block: str, value: str, draws: int = 1000, seed: int = 42, level: float = 0.95, aggregate: str = "mean", held: int = HELD) -> DataFrame:
     """keys, point, lo, hi: percentile bootstrap of the mean, sum or median with blocks drawn whole, for groups of any size.
 
     A block's number of appearances in each draw is Poisson of mean 1 from a generator seeded by the block itself, so partitions do not
-    matter; a task adds up the draws of the blocks it holds, Spark the tasks'. A draw's sum is brought to the number of blocks that
-    there are, as draws differ in how many they take. The median of a draw is exact: see ``_drawn_medians``; a block's values are one row there.
+    matter. A group of at most ``held`` values is one row of arrays, and its draws never leave the task; what is moved is the values. The blocks of
+    larger groups are dealt in parts of about ``held`` values: a task adds up the draws of the blocks it holds, Spark the tasks'. A draw's sum is brought to
+    the number of blocks that there are, as draws differ in how many they take. The median of a draw is exact both ways: see ``_drawn_medians``.
     Null and NaN values are left out; a draw without any block does not count."""
     if aggregate not in ("mean", "sum", "median"):
         raise ValueError(f"no bootstrap of the {aggregate}")
     ship(df.sparkSession)
     keys = list(keys)
-    fine = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("_v", F.col(value).cast("double"))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    of = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    fine = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(block).alias("_b"), F.col(value).cast("double").alias("_v"))
     tail = (1 - level) / 2
+    large = saved(fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > held).select(*keys, F.ceil(F.col("_n") / held).cast("int").alias("_parts")), "large")
+    if large.isEmpty():
+        return _bootstrap_held(fine, keys, draws, seed, tail, aggregate)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] or [F.lit(True)]
+    small = fine.alias("a").join(large.alias("b"), same, "left_anti")
+    rest = fine.alias("a").join(large.alias("b"), same).select("a.*", F.pmod(F.xxhash64("a._b"), F.col("b._parts")).alias("_part"))
+    return _bootstrap_held(small, keys, draws, seed, tail, aggregate).unionByName(_bootstrap_dealt(rest, keys, draws, seed, tail, aggregate))
+
+
+def _percentile(x: np.ndarray, p: float) -> float:
+    """Between the two nearest of sorted values, as Spark has it."""
+    at = (len(x) - 1) * p
+    lo, hi = int(np.floor(at)), int(np.ceil(at))
+    return float(x[lo] if x[lo] == x[hi] or lo == hi else (hi - at) * x[lo] + (at - lo) * x[hi])
+
+
+def _bootstrap_held(fine: DataFrame, keys: list[str], draws: int, seed: int, tail: float, aggregate: str) -> DataFrame:
+    """The bootstrap of groups that are each a row: its values by block, sorted, so that sums do not depend on partitions."""
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in fine.schema.fields}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "point double, lo double, hi double"])
+    rows = fine.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "_v"))).alias("_x"))
+    rows = rows.select(*keys, F.transform("_x", lambda x: F.xxhash64(*keys, x["_b"])).alias("_own"), F.col("_x._v").alias("_v"))
+
+    def sums(own, v):
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        n, s = np.diff(np.r_[first, len(v)]).astype(float), np.add.reduceat(v, first)
+        total = np.zeros((3, draws))
+        for i in range(0, len(first), 1024):
+            times = np.stack([_times(seed, int(o), draws) for o in own[first[i: i + 1024]]])
+            total += [n[i: i + 1024] @ times, s[i: i + 1024] @ times, times.sum(axis=0)]
+        drawn = total[:, total[0] > 0]
+        if aggregate == "mean":
+            return s.sum() / n.sum(), drawn[1] / drawn[0]
+        return s.sum(), drawn[1] / drawn[2] * len(first)
+
+    def medians(own, v):
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        times = np.stack([_times(seed, int(o), draws).astype(np.uint8) for o in own[first]])
+        times = np.repeat(times, np.diff(np.r_[first, len(v)]), axis=0)
+        order = np.argsort(v, kind="stable")
+        v, times, out = v[order] + 0.0, times[order], []
+        for i in range(0, draws, 64):
+            upto = np.cumsum(times[:, i: i + 64], axis=0, dtype=np.int32)
+            upto = upto[:, upto[-1] > 0]
+            lo, hi = ((upto <= rank).sum(axis=0) for rank in ((upto[-1] - 1) // 2, upto[-1] // 2))
+            out.append((v[lo] + v[hi]) / 2)
+        return _percentile(v, 0.5), np.concatenate(out)
+
+    def run(parts):
+        for part in parts:
+            found = []
+            for own, v in zip(part["_own"], part["_v"], strict=True):
+                point, drawn = (medians if aggregate == "median" else sums)(np.asarray(own), np.asarray(v, float))
+                drawn = np.sort(drawn)
+                found.append((float(point), *(_percentile(drawn, p) if len(drawn) else None for p in (tail, 1 - tail))))
+            ends = pd.DataFrame(found, columns=["point", "lo", "hi"], index=part.index)
+            yield pd.concat([part[keys], ends], axis=1)
+
+    return rows.mapInPandas(run, schema)
+
+
+def _bootstrap_dealt(fine: DataFrame, keys: list[str], draws: int, seed: int, tail: float, aggregate: str) -> DataFrame:
+    """The bootstrap of large groups: a part of a group's blocks is in one task, so the draws of a group leave a task once for many values."""
+    kinds = {f.name: f.dataType.simpleString() for f in fine.schema.fields}
+    of = "".join(f"`{k}` {kinds[k]}, " for k in keys)
     if aggregate == "median":
-        drawn = _drawn_medians(fine, keys, block, draws, seed).withColumnRenamed("median", "_a")
+        drawn = _drawn_medians(fine, keys, "_b", draws, seed).withColumnRenamed("median", "_a")
         point = fine.groupBy(*keys).agg(F.median("_v").alias("point"))
     else:
-        sums = fine.groupBy(*keys, block).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("_v").alias("s")).withColumn("_seed", F.xxhash64(*keys, block))
+        sums = fine.groupBy(*keys, "_part", "_b").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("_v").alias("s")).withColumn("_seed", F.xxhash64(*keys, "_b"))
 
         def run(parts):
             import pandas as pd
@@ -118,13 +188,17 @@ def block_bootstrap_ci(df: DataFrame, keys: Sequence[str], block: str, value: st
                     held[key] = held.get(key, 0.0) + np.stack([times * n, times * s, times])
                 yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=[*keys, "n", "s", "b"])
 
-        drawn = sums.select(*keys, "n", "s", "_seed").mapInPandas(run, f"{of}, n array<double>, s array<double>, b array<double>")
+        sums = saved(sums.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part", "_seed").select(*keys, "n", "s", "_seed"), "blocks")
+        drawn = sums.mapInPandas(run, f"{of}n array<double>, s array<double>, b array<double>")
         drawn = drawn.select(*keys, F.posexplode(F.arrays_zip("n", "s", "b")).alias("_d", "_x")).groupBy(*keys, "_d").agg(*[F.sum(f"_x.{c}").alias(c) for c in ("n", "s", "b")]).where("n > 0")
         point = sums.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("s").alias("sum"), F.count(F.lit(1)).alias("_blocks"))
-        drawn = drawn.join(point.select(*keys, "_blocks"), keys).withColumn("_a", F.col("s") / F.col("n") if aggregate == "mean" else F.col("s") / F.col("b") * F.col("_blocks"))
+        blocks = point.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_blocks")
+        drawn = drawn.join(blocks, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] or [F.lit(True)])
+        drawn = drawn.withColumn("_a", F.col("s") / F.col("n") if aggregate == "mean" else F.col("s") / F.col("b") * F.col("_blocks"))
         point = point.withColumnRenamed(aggregate, "point")
-    ends = drawn.groupBy(*keys).agg(F.percentile("_a", F.array(F.lit(tail), F.lit(1 - tail))).alias("_p"))
-    return point.join(ends, keys, "left").select(*keys, "point", F.col("_p")[0].alias("lo"), F.col("_p")[1].alias("hi"))
+    ends = drawn.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.percentile("_a", F.array(F.lit(tail), F.lit(1 - tail))).alias("_p"))
+    out = point.join(ends, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] or [F.lit(True)], "left")
+    return out.select(*keys, "point", F.col("_p")[0].alias("lo"), F.col("_p")[1].alias("hi"))
 
 
 def _drawn_medians(fine: DataFrame, keys: list[str], block: str, draws: int, seed: int) -> DataFrame:
@@ -137,7 +211,8 @@ def _drawn_medians(fine: DataFrame, keys: list[str], block: str, draws: int, see
 
     kinds = {f.name: f.dataType.simpleString() for f in fine.schema.fields}
     of = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    held = saved(fine.groupBy(*keys, block).agg(F.collect_list("_v").alias("_x")).withColumn("_seed", F.xxhash64(*keys, block)).select(*keys, "_seed", "_x"), "blocks")
+    held = fine.groupBy(*keys, "_part", block).agg(F.collect_list("_v").alias("_x")).withColumn("_seed", F.xxhash64(*keys, block))
+    held = saved(held.repartition(*keys, "_part").select(*keys, "_seed", "_x"), "blocks")
 
     def weights(parts):
         for part in parts:
