@@ -137,3 +137,26 @@ def test_edges_of_every_montage_and_all_channels(spark, duck):
     got = {r.k: (float(r.va), float(r.vb)) for r in catalog.queries()["full_outer_all_channels"](spark, SF).collect()}
     assert got and all(abs(a - sums[k][0]) < 1e-3 and abs(b - sums[k][1]) < 1e-3 for k, (a, b) in got.items()) and any(k >= 15 and b for k, (_, b) in got.items())
     assert got.keys() == {k for k, v in sums.items() if any(v)}
+
+
+def same_as_sql_on(spark, duck, tmp_path, name, table, columns):
+    """A query against its SQL on a changed copy of one table, the others as they are."""
+    duck.execute(f"COPY (SELECT * REPLACE ({columns}) FROM read_parquet('{SF}/{table}.parquet')) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet')")
+    cur = c.execute(catalog.oracle_sql()[name])
+    columns = [x[0] for x in cur.description]
+    assert rows_of(df.columns, df.collect()) == rows_of(columns, cur.fetchall())
+
+
+def test_sleep_window_of_values_without_a_logarithm(spark, duck, tmp_path):
+    same_as_sql_on(spark, duck, tmp_path, "sleep_window", "events", "CASE WHEN event_id % 3 = 0 THEN 0.0 WHEN event_id % 17 = 0 THEN -5.0 ELSE value + 30 END AS value")
+
+
+def test_pre_post_verdict_of_baselines_of_zero(spark, duck, tmp_path):
+    early = "l_shipdate < TIMESTAMP '1995-06-17'"
+    same_as_sql_on(spark, duck, tmp_path, "pre_post_delta_verdict", "lineitem",
+                   f"CASE WHEN l_suppkey % 2 = 0 AND {early} THEN 0.0 ELSE l_discount END AS l_discount, CASE WHEN l_suppkey % 3 = 0 THEN 0.0 ELSE l_tax END AS l_tax, "
+                   f"CASE WHEN l_suppkey % 5 = 0 AND {early} THEN 0.0 ELSE l_quantity END AS l_quantity")

@@ -97,7 +97,9 @@ def pre_post_delta_verdict(spark, d):
     m = table(spark, d, "lineitem").groupBy("l_suppkey", side.alias("side")).agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("dc"), F.avg("l_tax").alias("tx"))
     u = m.unpivot(["l_suppkey", "side"], ["q", "dc", "tx"], "metric", "v")
     p = u.groupBy("l_suppkey", "metric").agg(F.max(F.when(F.col("side") == "pre", F.col("v"))).alias("a"), F.max(F.when(F.col("side") == "post", F.col("v"))).alias("b")).where("a is not null and b is not null")
-    pct = longitudinal.percent_change(F.col("a"), F.col("b"))
+    # a change from 0 is infinite and one from 0 to 0 NaN in SQL: both count as 5 % or more, and NaN as over 0
+    gap, none = F.col("b") - F.col("a"), F.when(F.col("b") > 0, F.lit(float("inf"))).when(F.col("b") < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+    pct = F.when(F.col("a") != 0, gap / F.abs(F.col("a")) * 100).otherwise(none)
     good = pct * F.when(F.col("metric") == "q", 1).otherwise(-1)
     c = p.groupBy("l_suppkey").agg(F.count_if((F.abs(pct) >= 5) & (good > 0)).alias("improved"), F.count_if((F.abs(pct) >= 5) & (good < 0)).alias("worsened"), F.count_if(F.abs(pct) < 5).alias("unchanged"))
     return c.withColumn("verdict", longitudinal.verdict(F.col("improved"), F.col("worsened"), F.col("unchanged")))
