@@ -254,3 +254,41 @@ def test_block_bootstrap_keeps_the_draws_of_a_group_in_its_task(spark):
         got, want, both = ({r.g: (r.point, r.lo, r.hi) for r in x.collect()} for x in (near, far, mixed))
         assert got.keys() == want.keys() == both.keys() == {"a", "b", "c"}
         assert all(np.allclose(got[g], want[g], atol=1e-9) and np.allclose(got[g], both[g], atol=1e-9) for g in got)
+
+
+def test_nearest_keys_reads_no_frame_anew(spark):
+    from wavelake.operators.joins import nearest_keys
+
+    df, table = spark.createDataFrame([(1, 1.5)], "i int, at double"), spark.createDataFrame([(1.0,)], "age double")
+    assert "unboundedfollowing" not in nearest_keys(df, "at", table, "age")._jdf.queryExecution().toString().lower()
+
+
+def test_triangles_of_leaves_on_hubs_match_wedges_with_a_small_table(spark):
+    from wavelake.operators.graph import triangles
+
+    hubs = range(3)
+    edges = [(i, j) for i in hubs for j in hubs if i < j] + [(h, 10 + 7919 * n) for h in hubs for n in range(4000)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4096")
+    try:
+        found = triangles(spark.createDataFrame(edges, "i long, j long").repartition(2))
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        got = {r.node: r.triangles for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [v" in plan, plan  # not the edges: three can close a wedge
+    assert got == {h: 3 * 4000 // 3 * 2 + 1 for h in hubs} | {10 + 7919 * n: 3 for n in range(4000)}
+
+
+def test_submission_findings_seek_only_what_a_text_can_hold(spark):
+    """The same names as every pattern over every text, with fewer passes: patterns of digits stand under one search for a digit."""
+    rng = random.Random(5)
+    parts = ["1999-01-02", "3.4.2001", "1-2/99", "a@b.io", "@", "1234567", "+49 170 123 4567", "(089) 123 4567", "089 123 456", "C:\\data\\x1", "D:/ab.c", "/usr/x", "\\\\", "Jane Doe", "Jane  Doe's", "mY Child", "PATIENT",
+             "named", "unnamed", "Called", "123-45-6789", "A123456789", "DE12ABCDEFGHIJK1", "x" * 81, "\u0410nna", "\u00e9", "\u0661\u0662", "\u017fon", "_", ".", "", "fine", "\n", "my  son", "\U00010400", None]
+    texts = [None if None in (row := rng.choices(parts, k=rng.randint(1, 4))) else rng.choice(["", " ", "_", "-", "\n"]).join(row) for _ in range(1500)] + parts
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    c = F.col("t")
+    plain = [F.when(F.length(c) > text.LONGEST, "too_long"), *[F.when(c.rlike(p), n) for n, p in text.SUBMISSION_PATTERNS.items()], F.when(F.regexp_replace(c, "[A-Za-z]", "").rlike(r"\p{L}"), "foreign_letter")]
+    found = df.select("t", text.submission_findings(c).alias("got"), F.array_compact(F.array(*plain)).alias("want"))
+    assert found.where("not got <=> want").collect() == [] and found.where("size(got) > 2").count() > 100
+    plan = found.select("got")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "[0-9]" in plan

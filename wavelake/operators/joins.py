@@ -79,9 +79,10 @@ def nearest_keys(df: DataFrame, at: str, table: DataFrame, key: str) -> DataFram
     both = saved(places.unionByName(asked).repartitionByRange(F.col("v")).withColumn("part", F.spark_partition_id()), "keys")
     ends = both.groupBy("part").agg(F.min("k").alias("low"), F.max("k").alias("high"))  # a row a range
     of = W.orderBy("part")
-    ends = ends.select("part", F.last("high", True).over(of.rowsBetween(W.unboundedPreceding, -1)).alias("below"), F.first("low", True).over(of.rowsBetween(1, W.unboundedFollowing)).alias("above"))
-    inside = W.partitionBy("part").orderBy("v")
-    near = both.withColumn("lo", F.last("k", True).over(inside.rangeBetween(W.unboundedPreceding, 0))).withColumn("hi", F.first("k", True).over(inside.rangeBetween(0, W.unboundedFollowing)))
+    ends = ends.select("part", F.last("high", True).over(of.rowsBetween(W.unboundedPreceding, -1)).alias("below"), F.last("low", True).over(W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)).alias("above"))
+    # a frame that runs to the end is read anew for every row, so the key above is the last one in falling order
+    inside, back = W.partitionBy("part").orderBy("v"), W.partitionBy("part").orderBy(F.desc("v"))
+    near = both.withColumn("lo", F.last("k", True).over(inside.rangeBetween(W.unboundedPreceding, 0))).withColumn("hi", F.last("k", True).over(back.rangeBetween(W.unboundedPreceding, 0)))
     near = near.where("k is null").join(ends, "part").select("v", F.coalesce("lo", "below").alias("lo"), F.coalesce("hi", "above").alias("hi"))
     near = near.select(F.col("v").alias("_v"), F.when(F.col("hi").isNull() | (F.col("v") - F.col("lo") <= F.col("hi") - F.col("v")), F.col("lo")).otherwise(F.col("hi")).alias("_near"))
     held = df.join(near, value == F.col("_v"), "left")
