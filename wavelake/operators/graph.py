@@ -8,21 +8,26 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavelake.session import saved
 
 def closed_triangles(edges: DataFrame, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """keys, u, v, w of every triangle once, from distinct undirected edges (keys, i < j); with ``weight`` also uv, uw, vw, the weights of its sides.
 
     Edges point from the node of smaller degree to that of larger, so a node starts at most about sqrt(2 m) of
-    the m edges and a hub's wedges are never listed: each triangle is found once, at its smallest corner."""
+    the m edges and a hub's wedges are never listed: each triangle is found once, at its smallest corner. A wedge is
+    listed once, towards its larger end. The edges, and those that can close a wedge, are tables of their own."""
     keys = list(keys)
     ends = edges.select(*keys, F.explode(F.array("i", "j")).alias("node")).groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("k"))
     rank = lambda n: F.struct(F.col(f"k_{n}"), F.col(n))
     both = edges.join(ends.withColumnsRenamed({"node": "i", "k": "k_i"}), [*keys, "i"]).join(ends.withColumnsRenamed({"node": "j", "k": "k_j"}), [*keys, "j"])
     first = rank("i") < rank("j")
     side = [F.col(weight).alias("s")] if weight else []
-    out = both.select(*keys, F.when(first, F.col("i")).otherwise(F.col("j")).alias("u"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("v"), *side)
-    name = lambda u, v, s: out.select(*keys, F.col("u").alias(u), F.col("v").alias(v), *([F.col("s").alias(s)] if weight else []))
-    return name("u", "v", "uv").join(name("u", "w", "uw"), [*keys, "u"]).where("v <> w").join(name("v", "w", "vw"), [*keys, "v", "w"])
+    out = saved(both.select(*keys, F.when(first, F.col("i")).otherwise(F.col("j")).alias("u"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("v"), F.greatest("k_i", "k_j").alias("k"), *side), "edges")
+    name = lambda e, u, v, s, *more: e.select(*keys, F.col("u").alias(u), F.col("v").alias(v), *more, *([F.col("s").alias(s)] if weight else []))
+    # only edges that start where another ends close a wedge: they are few where low nodes hang on hubs, and their own table shows that to the planner
+    closing = saved(name(out.join(out.select(*keys, F.col("v").alias("u")).distinct(), [*keys, "u"], "left_semi"), "v", "w", "vw"), "closing")
+    wedges = name(out, "u", "v", "uv", F.col("k").alias("k_v")).join(name(out, "u", "w", "uw", F.col("k").alias("k_w")), [*keys, "u"]).where(rank("v") < rank("w"))
+    return wedges.drop("k_v", "k_w").join(closing, [*keys, "v", "w"])
 
 
 def triangles(edges: DataFrame) -> DataFrame:
