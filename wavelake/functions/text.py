@@ -52,6 +52,20 @@ SUBMISSION_PATTERNS = {
 }
 LONGEST = 80
 
+#: Patterns that need a digit; and what a text must hold for a pattern to be sought at all, quicker to find than its edges and repetitions.
+DIGITS = {"iso_date", "numeric_date", "long_number", "phone", "ssn", "insurance_number", "iban"}
+_NEEDED = {"iso_date": r"\d{4}-", "numeric_date": r"\d[./-]\d", "long_number": r"\d{7}", "phone": r"\d{2}", "ssn": r"\d-\d", "insurance_number": r"[A-Z]\d", "iban": r"[A-Z]\d",
+           "name_like": r"[A-Z][a-z]+\s+[A-Z]", "narrative": r"(?i)[mpnc](?:y (?:son|daughter|child)|atient|amed|alled)"}
+
+
+def _needs(where: Column, name: str) -> Column:
+    if name == "email":
+        return where.contains("@")
+    if name == "path":
+        return where.contains("/") | where.contains(":\\")
+    return where.rlike(_NEEDED[name])
+
+
 SUBMISSION_SQL = ("concat_ws(',', CASE WHEN length({t}) > 80 THEN 'too_long' END, "
                   + ", ".join(f"CASE WHEN regexp_matches({{t}}, '{p}') THEN '{n}' END" for n, p in ((n, p.replace("{", "{{").replace("}", "}}")) for n, p in SUBMISSION_PATTERNS.items()))
                   + r", CASE WHEN regexp_matches(regexp_replace({t}, '[A-Za-z]', '', 'g'), '\p{{L}}') THEN 'foreign_letter' END)")
@@ -70,7 +84,11 @@ def submission_findings(text: Column, folded: Column | None = None) -> Column:
     """Names of all that a submitted text must not hold: a length over LONGEST, identifiers (sought in ``folded``, the
     text after NFKC, where given), letters beyond ASCII. A null text has none."""
     where = text if folded is None else folded
-    found = [F.when(F.length(text) > LONGEST, F.lit("too_long"))]
-    found += [F.when(where.rlike(p), F.lit(n)) for n, p in SUBMISSION_PATTERNS.items()]
-    found.append(F.when(F.regexp_replace(text, "[A-Za-z]", "").rlike(r"\p{L}"), F.lit("foreign_letter")))
-    return F.array_compact(F.array(*found))
+
+    def found(digits: bool) -> Column:
+        out = [F.when(F.length(text) > LONGEST, F.lit("too_long"))]
+        out += [F.when(_needs(where, n) & where.rlike(p), F.lit(n)) for n, p in SUBMISSION_PATTERNS.items() if digits or n not in DIGITS]
+        return F.array_compact(F.array(*out, F.when(text.rlike(r"[\p{L}&&[^A-Za-z]]"), F.lit("foreign_letter"))))
+
+    # most texts hold no digit, so seven patterns are not sought there
+    return F.when(where.rlike("[0-9]"), found(True)).otherwise(found(False))
