@@ -292,3 +292,17 @@ def test_submission_findings_seek_only_what_a_text_can_hold(spark):
     assert found.where("not got <=> want").collect() == [] and found.where("size(got) > 2").count() > 100
     plan = found.select("got")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "[0-9]" in plan
+
+
+def test_permutation_p_shares_orders_and_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, i, float(rng.integers(0, 30)), float(rng.normal())) for k, n in enumerate((8, 9, 10, 10, 70, 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, i int, x double, y double")
+    got, other = ({r.k: r.p for r in longitudinal.permutation_p(d, ["k"], "x", "y", draws=2000, order="i").collect()} for d in (df.repartition(7), df.orderBy(F.desc("y")).coalesce(1)))
+    assert got == other and got[5] is None
+    for k in range(1, 5):
+        a, b = (np.array([r[c] for r in rows if r[0] == k]) for c in (2, 3))
+        a, b = (np.array([(v < u).sum() + (v == u).sum() / 2 for u in v]) for v in (a, b))
+        a, b = a - a.mean(), b - b.mean()
+        each = np.abs(np.random.default_rng(0).permuted(np.tile(b, (2000, 1)), axis=1) @ a)
+        assert got[k] == ((each >= abs(a @ b) - 1e-12).sum() + 1) / 2001

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
+from itertools import permutations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,8 @@ from .sequences import average_rank
 
 #: Values that the permutations of one batch hold.
 BATCH = 1 << 18
+#: Pairs of a group up to which groups of that size share their permutations in a task; at most 16 sizes are held.
+SHARED = 64
 
 
 def direction(delta_pct: Column, polarity: Column, dead_band: float) -> Column:
@@ -43,38 +47,65 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 4)
     return out.select(*keys, "n", F.when(fine, F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))).alias("rho"))
 
 
-def permutation_p(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 8, draws: int = 20_000) -> DataFrame:
-    """keys, p: share of permutations at least as far from 0 as the observed rank correlation; all
-    permutations for ``least`` pairs, ``draws`` seeded ones (with the observed one counted) above."""
-    from itertools import permutations
+@lru_cache(maxsize=16)
+def _orders(n: int, least: int, draws: int) -> np.ndarray:
+    """Orders of n places, a row each: all of them for ``least`` places, seeded ones above; the generator's own order does not depend on what is moved."""
+    if n == least:
+        return np.array(list(permutations(range(n))))
+    rng, at_once = np.random.default_rng(0), max(1, BATCH // n)
+    return np.concatenate([rng.permuted(np.tile(np.arange(n), (min(at_once, draws - i), 1)), axis=1) for i in range(0, draws, at_once)])
+
+
+def _mean_ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks less their mean; ties at the mean of their places."""
+    _, at, times = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(times) - (times - 1) / 2.0)[at] - (len(v) + 1) / 2.0
+
+
+def _shared_orders(a: np.ndarray, b: np.ndarray, least: int, draws: int) -> float:
+    """Share of the permutations; groups of one size share their orders."""
+    n, seen = len(a), abs(a @ b) - 1e-12
+    if n == least:
+        return float((np.abs(np.take(b, _orders(n, least, draws)) @ a) >= seen).mean())
+    if n <= SHARED:
+        small, own = b.astype(np.float32), a.astype(np.float32)  # halves, and sums of their products under 2**22: exact
+        hits = int((np.abs(np.take(small, _orders(n, least, draws)) @ own) >= seen).sum())
+    else:
+        rng, at_once, hits = np.random.default_rng(0), max(1, BATCH // n), 0
+        for i in range(0, draws, at_once):
+            each = np.abs(rng.permuted(np.tile(b, (min(at_once, draws - i), 1)), axis=1) @ a)
+            hits += int((each >= seen).sum())
+    return (hits + 1) / (draws + 1)
 
-    def run(pdf):
-        import pandas as pd
 
-        n = len(pdf)
-        key = {k: [pdf[k].iloc[0]] for k in keys}
-        if n < least:
-            return pd.DataFrame(key | {"p": [None]})
-        a, b = pdf[x].rank().to_numpy(), pdf[y].rank().to_numpy()
-        a, b = a - a.mean(), b - b.mean()
-        if not a.any() or not b.any():
-            return pd.DataFrame(key | {"p": [None]})
-        seen = abs(a @ b)
-        if n == least:
-            each = np.abs(b[np.array(list(permutations(range(n))))] @ a)
-            p = float((each >= seen - 1e-12).mean())
-        else:
-            rng = np.random.default_rng(0)
-            at_once, hits = max(1, BATCH // n), 0
-            for i in range(0, draws, at_once):
-                each = np.abs(rng.permuted(np.tile(b, (min(at_once, draws - i), 1)), axis=1) @ a)
-                hits += int((each >= seen - 1e-12).sum())
-            p = (hits + 1) / (draws + 1)
-        return pd.DataFrame(key | {"p": [p]})
+def permutation_p(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 8, draws: int = 20_000, order: str | None = None) -> DataFrame:
+    """keys, p: share of permutations at least as far from 0 as the observed rank correlation; all
+    permutations for ``least`` pairs, ``draws`` seeded ones (with the observed one counted) above.
+
+    The pairs of a group are permuted from their order by ``order`` (by x and y without it), so partitions do not matter."""
+    import pandas as pd
 
+    ship(df.sparkSession)
+    keys = list(keys)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "p double"])
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y).groupBy(*keys).applyInPandas(run, schema)
+    fine = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pair = F.struct(*([F.col(order).alias("o")] if order else []), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = fine.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("_r")).select(*keys, F.col("_r.x").alias("_x"), F.col("_r.y").alias("_y"))
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for u, v in zip(part["_x"], part["_y"], strict=True):
+                p = None
+                if len(u) >= least:
+                    a, b = _mean_ranks(np.asarray(u, float)), _mean_ranks(np.asarray(v, float))
+                    if a.any() and b.any():
+                        p = _shared_orders(a, b, least, draws)
+                out.append(p)
+            yield part[keys].assign(p=np.array(out, float))
+
+    return rows.mapInPandas(run, schema).withColumn("p", F.nanvl("p", F.lit(None).cast("double")))
 
 
 def slope_label(slope: Column, stable: float) -> Column:

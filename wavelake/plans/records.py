@@ -68,7 +68,7 @@ r AS (SELECT o_custkey, rank() OVER (PARTITION BY o_custkey ORDER BY x) + (count
 SELECT o_custkey, count(*) AS n, CASE WHEN count(*) >= 4 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN round(corr(rx, ry), 6) + 0 END AS rho FROM r GROUP BY o_custkey""")
 def spearman_rank(spark, d):
     """Rank correlation of value with time."""
-    v = _visits(spark, d).select("o_custkey", F.datediff("d", F.lit("1990-01-01").cast("date")).alias("x"), F.col("price").alias("y"))
+    v = _visits(spark, d).select("o_custkey", "o_orderkey", F.datediff("d", F.lit("1990-01-01").cast("date")).alias("x"), F.col("price").alias("y"))
     return longitudinal.spearman(v, ["o_custkey"], "x", "y").withColumn("rho", F.round("rho", 6) + F.lit(0.0))
 
 
@@ -314,9 +314,9 @@ def table_counts(spark, d):
 @query("permutation_p")
 def permutation_p(spark, d):
     """Exact or seeded permutation test of the rank correlation, one group per customer."""
-    v = _visits(spark, d).select("o_custkey", F.datediff("d", F.lit("1990-01-01").cast("date")).alias("x"), F.col("price").alias("y"))
+    v = _visits(spark, d).select("o_custkey", "o_orderkey", F.datediff("d", F.lit("1990-01-01").cast("date")).alias("x"), F.col("price").alias("y"))
     few = v.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return longitudinal.permutation_p(v.join(few.where("n >= 8"), "o_custkey"), ["o_custkey"], "x", "y").withColumn("p", F.round("p", 8))
+    return longitudinal.permutation_p(v.join(few.where("n >= 8"), "o_custkey"), ["o_custkey"], "x", "y", order="o_orderkey").withColumn("p", F.round("p", 8))
 
 
 @query("bootstrap_ci")
