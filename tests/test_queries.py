@@ -160,3 +160,23 @@ def test_pre_post_verdict_of_baselines_of_zero(spark, duck, tmp_path):
     same_as_sql_on(spark, duck, tmp_path, "pre_post_delta_verdict", "lineitem",
                    f"CASE WHEN l_suppkey % 2 = 0 AND {early} THEN 0.0 ELSE l_discount END AS l_discount, CASE WHEN l_suppkey % 3 = 0 THEN 0.0 ELSE l_tax END AS l_tax, "
                    f"CASE WHEN l_suppkey % 5 = 0 AND {early} THEN 0.0 ELSE l_quantity END AS l_quantity")
+
+
+def test_pattern_score_adds_in_the_order_of_rows(spark, duck, tmp_path):
+    """Discounts that sum to a limit in one order and beyond it in another, with the rows of an order dealt over tasks and files."""
+    duck.execute(f"""COPY (SELECT i % 3000 AS l_orderkey, 40.0::DOUBLE AS l_quantity, (hash(i) % 11)::DOUBLE / 100 AS l_discount, 0.06::DOUBLE AS l_tax FROM range(18000) r(i))
+                     TO '{tmp_path}/lineitem.parquet' (FORMAT parquet, ROW_GROUP_SIZE 2048)""")
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
+    cur = c.execute(catalog.oracle_sql()["pattern_score_gated"])
+    columns = [x[0] for x in cur.description]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = catalog.queries()["pattern_score_gated"](spark, str(tmp_path))
+        got = rows_of(df.columns, df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == rows_of(columns, cur.fetchall())

@@ -278,7 +278,12 @@ g AS (SELECT l_orderkey, pattern, bool_and(ok OR NOT req) AS gate, sum(CASE WHEN
 SELECT l_orderkey, pattern, round(CASE WHEN gate THEN score ELSE 0 END, 6) AS confidence, CASE WHEN NOT gate OR score < 0.3 THEN 'none' WHEN score >= 0.75 THEN 'strong' WHEN score >= 0.5 THEN 'moderate' ELSE 'weak' END AS label FROM g""")
 def pattern_score_gated(spark, d):
     """Weighted criteria with required ones as gates."""
-    f = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("dc"), F.max("l_tax").alias("tx"), F.count(F.lit(1)).alias("n"))
+    t = table(spark, d, "lineitem")
+    # many means are 0.05 or 0.04 to the last digit, which hangs on the order of addition: that of the rows, however the files are cut
+    at = [*([F.col("_metadata.file_path").alias("file")] if len(t.inputFiles()) > 1 else []), F.col("_metadata.row_index").alias("row")]
+    t = t.select("l_orderkey", "l_quantity", "l_tax", F.when(F.col("l_discount").isNotNull(), F.struct(*at, F.col("l_discount").alias("v"))).alias("dc"))
+    f = t.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.array_sort(F.collect_list("dc")).alias("dc"), F.max("l_tax").alias("tx"), F.count(F.lit(1)).alias("n"))
+    f = f.withColumn("dc", F.try_divide(F.aggregate("dc.v", F.lit(0.0), lambda a, b: a + b), F.size("dc")))
     rules = [("bulk", 2.0, True, F.col("q") > 100), ("bulk", 1.0, False, F.col("n") >= 4), ("bulk", 1.0, False, F.col("dc") > 0.05), ("taxed", 1.0, True, F.col("tx") > 0.05), ("taxed", 1.0, False, F.col("dc") < 0.04)]
     c = f.select("l_orderkey", F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(w).alias("w"), F.lit(r).alias("req"), ok.alias("ok")) for p, w, r, ok in rules])).alias("c")).select("l_orderkey", "c.*")
     g = c.groupBy("l_orderkey", "pattern").agg(F.bool_and(F.col("ok") | ~F.col("req")).alias("gate"), (F.sum(F.when(F.col("ok"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("score"))
