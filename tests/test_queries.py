@@ -164,7 +164,7 @@ def test_pre_post_verdict_of_baselines_of_zero(spark, duck, tmp_path):
 
 def test_pattern_score_adds_in_the_order_of_rows(spark, duck, tmp_path):
     """Discounts that sum to a limit in one order and beyond it in another, with the rows of an order dealt over tasks and files."""
-    duck.execute(f"""COPY (SELECT i % 3000 AS l_orderkey, 40.0::DOUBLE AS l_quantity, (hash(i) % 11)::DOUBLE / 100 AS l_discount, 0.06::DOUBLE AS l_tax FROM range(18000) r(i))
+    duck.execute(f"""COPY (SELECT i % 1000 AS l_orderkey, 40.0::DOUBLE AS l_quantity, (hash(i) % 11)::DOUBLE / 100 AS l_discount, 0.06::DOUBLE AS l_tax FROM range(12000) r(i))
                      TO '{tmp_path}/lineitem.parquet' (FORMAT parquet, ROW_GROUP_SIZE 2048)""")
     c = duckdb.connect()
     c.execute("SET threads = 1")
