@@ -185,6 +185,33 @@ def test_article_tags_without_an_article_leave_the_shared_strings_to_the_suffix_
     assert got == {10 * k + i: f"Unique text {i} with words w{i * 7}." for k in range(4) for i in range(4)} | {99: "Whole", 98: "", 97: ""}
 
 
+def test_every_page_meets_what_its_host_shares(spark):
+    """n_shared against brute force; what footers and adverts have in common with an article takes nothing from it."""
+    rng = random.Random(4)
+    pool = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 9))) for _ in range(12)) for _ in range(8)]
+    hosts = {h: rng.choice(pool) for h in "abc"}
+    rows, streams, want = [], {}, {}
+    for i in range(60):
+        h = rng.choice("abc")
+        ad, footer = rng.choice([*pool, f"only on {i}"]), f"© {hosts[h]}" if i % 4 else ""
+        blocks = [rng.choice(pool), f"Words of article {i}.", rng.choice(pool)]
+        html = f"<body><div class='ad'>{ad}</div><article><h1>{blocks[0]}</h1><p>{blocks[1]}</p><p>{blocks[2]}</p></article><footer>{footer}</footer></body>"
+        rows.append((i, f"http://{h}/{i}", html if i else "<article><p>Alone</p></article>"))
+        streams[i] = (h, "\n".join(x for x in (ad, footer) if x).encode() if i else b"")
+        want[i] = "\n".join(blocks) if i else "Alone"
+    rows += [(60, rows[5][1], rows[5][2]), (61, None, None)]
+    streams |= {60: streams[5], 61: ("", b"")}
+    want |= {60: want[5], 61: ""}
+    shared = {}
+    for i, (h, x) in streams.items():
+        others = {y[k: k + 48] for g, y in streams.values() if g == h and y != x for k in range(len(y) - 47)}
+        shared[i] = len({j for k in range(len(x) - 47) if x[k: k + 48] in others for j in range(k, k + 48)})
+    got = {r.page_id: (r.text, r.n_shared) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: (want[i], shared[i]) for i in want} and sum(n > 0 for n in shared.values()) > 40
+    empty = extract_text(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert empty.columns == ["page_id", "url", "text", "n_shared"] and empty.count() == 0
+
+
 def water(sizes, weights, total):
     target, open_ = {s: 0.0 for s in sizes}, set(sizes)
     while open_:
