@@ -66,6 +66,25 @@ def test_license_scan_against_plain_loops(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_license_scan_reads_the_words_once_for_all_templates(spark, monkeypatch):
+    templates = licenses.TEMPLATES + (("solo", "zeta", ("zeta",)), ("pair", "eta theta", ("eta theta",)), ("twice", "iota kappa iota kappa lambda mu iota", ("kappa lambda",)))
+    monkeypatch.setattr(licenses, "TEMPLATES", templates)
+    rng = random.Random(12)
+    texts = ["this wor\u212a is licensed under the gnu general public license version 2", "\u0130SC permission TO use", "zeta", "eta Theta theta eta", "mu lambda kappa iota"]
+    for _, notice, _ in templates:
+        own = notice.split()
+        for _ in range(12):  # words left out, put in, swapped, at the start, the end and over each other
+            words = [w for w in own if rng.random() > 0.12]
+            for _ in range(rng.randrange(4)):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(own + ["x"]))
+            around = [[rng.choice(own + ["y"] * 9) for _ in range(rng.choice((0, 0, 3, 40)))] for _ in range(2)]
+            texts.append(" ".join(around[0] + words + around[1]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = licenses.scan_licenses(df, templates=templates)
+    assert [r[2:] for r in scanned.orderBy("doc_id").collect()] == plain_scan(texts)
+    assert scanned._jdf.queryExecution().executedPlan().toString().count("transform(words#") == 1
+
+
 def vector_rows(rng, n, dim=6):
     rows = [(i, [float(v) for v in rng.standard_normal(dim) * (i % 5 + 1)], int(i % 4)) for i in range(n)]
     return rows + [(n, None, 1), (n + 1, [], 1), (n + 2, [1.0, NAN] + [0.0] * (dim - 2), 1), (n + 3, [INF] * dim, 2), (n + 4, [1.0, None] + [0.0] * (dim - 2), 2), (n + 5, [1.0, 2.0], 0)]

@@ -4,6 +4,7 @@ A template is a notice's words; its postings are their positions. The number of
 template is counted over all documents (one row a word reaches the driver), which ranks the words by inverse document frequency.
 For each template a file's highest-ranked words of it are looked up: where most of them stand at one relative position
 (up to SLACK words apart), the template is placed, and a placement counts once its mandatory phrases stand inside it.
+As few of them may be missing, the first one or two name all positions that can do; one pass over a file's words finds these for all templates.
 
 All of that happens within a row: the count of words is the only shuffle, of a row for each word and task.
 """
@@ -48,8 +49,10 @@ RARE, SHARE, SLACK = 6, 80, 2
 
 def text_words(text: Column) -> Column:
     """Words of a whole text: A-Z in lower case, runs of other characters than GAP; none of a null."""
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lower, GAP), lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(text) == F.length(text)  # else lower() would change other letters too, the Kelvin sign into a k
+    lower = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return F.array_remove(F.split(lower, GAP), "")  # before a first and after a last gap
 
 
 def _words(values) -> Column:
@@ -81,27 +84,38 @@ def document_counts(df: DataFrame, text: str, templates=TEMPLATES) -> dict[str,
 WIDTH = 2 * SLACK + 1
 
 
-def placements(rare: str, ranked: list[str], notice: str, least: int) -> str:
-    """Cells of offsets at which ``least`` of a file's ``rare`` words stand as in the template: array of (c, n) in SQL.
+def anchors(rare: str, looked_up: int, least: int) -> str:
+    """The first of a file's ``rare`` words, so many that ``least`` of them cannot stand in place without one of these (SQL)."""
+    return f"if(size({rare}) = {looked_up}, slice({rare}, 1, {looked_up - least + 1}), cast(array() as array<string>))"
 
-    A word at i that the template has at p votes for the offset i - p; offsets fall into cells of WIDTH in two layouts (even and odd c) that are
-    SLACK apart, so near offsets share a cell of one of them. Votes are sorted and counted in one pass, each word once a cell."""
+
+def postings(words: str, notice: str) -> str:
+    """Some words of a notice with their positions in it: array of (w, at) in SQL."""
     own = notice.split()
-    postings = "map(" + ", ".join(f"'{w}', array({', '.join(str(p) for p, v in enumerate(own) if v == w)})" for w in ranked) + ")"
-    hits = f"filter(transform(words, (w, i) -> struct(i AS i, array_position({rare}, w) AS r)), v -> v.r > 0)"
-    cells = (f"array(struct(2 * floor((v.i - p) / {WIDTH}D) AS c, v.r AS r), struct(2 * floor((v.i - p + {SLACK}) / {WIDTH}D) + 1 AS c, v.r AS r))")
-    votes = f"array_sort(flatten(transform({hits}, v -> flatten(transform({postings}[element_at({rare}, cast(v.r as int))], p -> {cells})))))"
-    none = "named_struct('c', cast(null as bigint), 'r', 0L, 'n', 0, 'out', cast(array() as array<struct<c:bigint,n:int>>))"
-    count = "if(s.c is null or s.c != v.c, 1, if(s.r != v.r, s.n + 1, s.n))"
-    out = f"if({count} >= {least} and not (s.c <=> v.c and s.r = v.r), concat(s.out, array(named_struct('c', v.c, 'n', {count}))), s.out)"
-    return f"aggregate({votes}, {none}, (s, v) -> named_struct('c', v.c, 'r', v.r, 'n', {count}, 'out', {out}), s -> s.out)"
+    held = "map(" + ", ".join(f"'{w}', array({', '.join(str(p) for p, v in enumerate(own) if v == w)})" for w in sorted(set(own))) + ")"
+    return f"transform({words}, w -> struct(w, {held}[w] AS at))"
+
+
+def placements(known: str, looked_up: int, least: int) -> str:
+    """Cells of offsets at which ``least`` of a file's ``looked_up`` rare words stand as in the template: array of (lo, n) in SQL.
+
+    A word at i that the template has at p votes for the offset i - p; offsets fall into cells of WIDTH, from lo on, in two layouts that are
+    SLACK apart, so near offsets share a cell of one of them. Cells are named by the votes of the anchors, whose positions
+    ``near`` holds; in each, the rare words (``known``, with their postings) are looked up where the template has them."""
+    named = looked_up - least + 1
+    cells = f"array(i - p - pmod(i - p, {WIDTH}), i - p - pmod(i - p + {SLACK}, {WIDTH}))"
+    votes = f"transform(slice({known}, 1, {named}), v -> flatten(transform(filter(near, i -> words[i] = v.w), i -> flatten(transform(v.at, p -> {cells})))))"
+    place = f"if(lo + p >= 0, slice(words, lo + p + 1, {WIDTH}), slice(words, 1, greatest({WIDTH} + lo + p, 0)))"
+    stands = f"exists(v.at, p -> array_contains({place}, v.w))"
+    # of the anchors and one more word at least two stand in place (of one word one)
+    likely = f"filter(array_distinct(flatten({votes})), lo -> size(filter({known}, (v, k) -> k <= {named} AND {stands})) >= {min(2, least)})"
+    return f"filter(transform({likely}, lo -> struct(lo, size(filter({known}, v -> {stands})) AS n)), a -> a.n >= {least})"
 
 
 def judged(cells: str, notice: str, phrases: tuple[str, ...], looked_up: int) -> str:
     """ok and share of each placement (SQL): whether all phrases stand among the words that a template of the cell's offsets
     can cover, and the share of the looked-up words that stand in place."""
-    first = f"cast(greatest(floor(a.c / 2D) * {WIDTH} - if(pmod(a.c, 2L) = 1, {SLACK}, 0) - {SLACK}, 0) as int)"
-    span = f"concat(' ', array_join(slice(words, {first} + 1, {len(notice.split()) + WIDTH + 2 * SLACK}), ' '), ' ')"
+    span = f"concat(' ', array_join(slice(words, greatest(a.lo - {SLACK}, 0) + 1, {len(notice.split()) + WIDTH + 2 * SLACK}), ' '), ' ')"
     ok = " AND ".join(f"contains({span}, ' {p} ')" for p in phrases)
     return f"transform({cells}, a -> struct({ok} AS ok, a.n / {float(looked_up)}D AS share))"
 
@@ -119,18 +133,25 @@ def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, base:
     counts = document_counts(df, text, templates)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text_words(F.col(f"`{text}`")).alias("words"))
     held = packed.withColumn("present", F.array_intersect("words", _words(vocabulary(templates))))
-    places, rare, at, found = {}, {}, {}, {}
+    places, rare, named, known, at, found = {}, {}, {}, {}, {}, {}
     for i, phrase in enumerate(base):
         parts = sorted(set(phrase.split()))
         places[f"base{i}"] = F.expr(f"if(size(array_intersect(present, {_array(parts)})) = {len(parts)}, {starts(phrase)}, cast(array() as array<int>))")
     for i, (_, notice, phrases) in enumerate(templates):
         ranked = sorted(set(notice.split()), key=lambda w: (counts.get(w, 0), w))  # fewest documents first: the highest inverse frequency
         looked_up = min(RARE, len(ranked))
-        rare[f"rare{i}"] = F.slice(F.array_intersect(_words(ranked), F.col("present")), 1, looked_up)
-        spots = placements(f"rare{i}", ranked, notice, -(-looked_up * SHARE // 100))
-        at[f"at{i}"] = F.expr(f"if(size(rare{i}) = {looked_up}, {spots}, cast(array() as array<struct<c:bigint,n:int>>))")
+        least = -(-looked_up * SHARE // 100)
+        enough = (F.size("present") >= looked_up) & (F.array_contains("present", ranked[0]) if looked_up == len(ranked) else F.lit(True))
+        rare[f"rare{i}"] = F.when(enough, F.slice(F.array_intersect(_words(ranked), F.col("present")), 1, looked_up)).otherwise(_words(()))
+        named[f"named{i}"] = F.expr(anchors(f"rare{i}", looked_up, least))
+        known[f"known{i}"] = F.expr(postings(f"if(size(rare{i}) = {looked_up}, rare{i}, cast(array() as array<string>))", notice))
+        spots = placements(f"known{i}", looked_up, least)
+        at[f"at{i}"] = F.expr(f"if(size(known{i}) > 0, {spots}, cast(array() as array<struct<lo:int,n:int>>))")
         found[f"found{i}"] = F.expr(judged(f"at{i}", notice, phrases, looked_up))
-    held = held.withColumns(places | rare).withColumns(at).withColumns(found)
+    held = held.withColumns(places | rare).withColumns(named | known).withColumn("sought", F.array_distinct(F.flatten(F.array(*[F.col(c) for c in named]))))
+    # one pass over the words for all templates
+    near = f"array_remove(transform(words, (w, i) -> if(w IN ({', '.join(repr(w) for w in vocabulary(templates))}) AND array_contains(sought, w), i, -1)), -1)"
+    held = held.withColumn("near", F.expr(f"if(size(sought) > 0, {near}, cast(array() as array<int>))")).withColumns(at).withColumns(found)
 
     every = F.concat(*[F.col(c) for c in places])
     based = F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(v)) for c, v in zip(places, base.values(), strict=True)]))
