@@ -16,13 +16,11 @@ from wavelake.llm.common import Scratch, ship_package
 from wavelake.llm.minhash import drop_near_duplicates
 from wavelake.llm.mixing import measured, place_documents, training_order
 from wavelake.llm.quality import score_documents
-from wavelake.llm.queries import QUALITY_THRESHOLD, REPEAT_BYTES, model_path, quality_model
+from wavelake.llm.queries import PASSAGE_WORDS, QUALITY_THRESHOLD, REPEAT_BYTES, model_path, quality_model
 from wavelake.llm.repeats import pack_texts, remove_repeats, unpack_texts
 from wavelake.llm.sentencepiece_codec import encode_documents
 
 
-#: Words of a passage that may not repeat; passages of short words are under op8's REPEAT_BYTES.
-PASSAGE_WORDS = 51
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 

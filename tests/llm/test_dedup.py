@@ -174,6 +174,61 @@ def test_planted_passages_by_bytes_and_by_words(spark):
     assert by_bytes[20].kept == by_words[20].kept == rows[-1][1]
 
 
+def test_op8_takes_repeated_passages_of_any_length_in_bytes_out_of_its_text(spark, tmp_path):
+    """The contract's columns go by 400 bytes; in text, 51 short words go as well, and clean documents stay whole."""
+    from wavelake.llm.queries import op8_suffix_array_dedup
+
+    rng = np.random.default_rng(5)
+    words = lambda n, k: " ".join("".join(rng.choice(list("abcdéfghij"), k)) for _ in range(n))
+    long, short = words(70, 6), words(51, 4)
+    assert len(long.encode()) >= 400 > len(short.encode())
+    texts = [f"{words(40, 6)} {(long, short)[i % 2]} {words(40, 6)}" for i in range(8)] + [words(90, 6), words(50, 4), None, "", long, long]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op8_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for _, r in sorted(got.items())] == brute_repeats(texts, 400)
+    for i in range(8):
+        front, back = texts[i].split((long, short)[i % 2])
+        assert got[i].text.startswith(front[:-8]) and got[i].text.endswith(back[8:]) and len(got[i].text) <= len(front + back)
+    assert [got[i].text for i in range(8, 14)] == [texts[8], texts[9], "", "", "", ""]
+
+
+@pytest.mark.parametrize("crowd", [256, 6])
+def test_repeats_by_words_match_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    rng = random.Random(2)
+    words = lambda n: [rng.choice(["a", "bb", "cé", "ddd"]) for _ in range(n)]
+    passage = words(14)
+    rows = [words(rng.randrange(30)) + (passage if i % 2 else []) + words(rng.randrange(30)) for i in range(120)] + [["x"] * 40, ["y"] * 8, passage, passage, []]
+    texts = [rng.choice([" ", "\n", " \t"]).join(w) for w in rows] + [None]
+    at = collections.defaultdict(list)
+    for i, w in enumerate(rows):
+        for j in range(len(w) - 7):
+            at[tuple(w[j: j + 8])].append((i, j))
+    gone = [[False] * len(w) for w in rows]
+    for places in at.values():
+        for i, j in places if len(places) > 1 else []:
+            gone[i][j: j + 8] = [True] * 8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {r.doc_id: (r.n_removed, r.kept) for r in repeats.remove_repeats(df, 400).collect()}
+    got = {r.doc_id: r for r in repeats.remove_repeats(df, 400, words=8, apart=True).collect()}
+    assert {i: (r.n_removed, r.kept) for i, r in got.items()} == plain
+    for i, w in enumerate(rows):
+        assert got[i].kept_text.split() == [x for x, g in zip(w, gone[i], strict=True) if not g], i
+    assert got[len(rows)].kept_text == "" and sum(map(sum, gone)) > 1000
+
+
+def test_suffix_array_of_wide_symbols():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 300):
+        t = rng.integers(2**63, 2**63 + 3, n, dtype=np.uint64)
+        assert suffix_array(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+        order = suffix_array(t, 5)
+        assert [t[i: i + 5].tolist() for i in order] == sorted(t[i: i + 5].tolist() for i in range(n))
+        fits = order[order <= n - 5]
+        same = [t[a: a + 5].tolist() == t[b: b + 5].tolist() for a, b in zip(fits[:-1], fits[1:], strict=True)]
+        assert common_prefix_reaches(t, fits[:-1], fits[1:], 5).tolist() == same
+
+
 def test_repeats_as_text_drop_half_characters(spark):
     df = spark.createDataFrame([(1, "é" * 30 + "A"), (2, "B" + "é" * 30)], "doc_id long, text string")
     got = {r.doc_id: r.kept for r in repeats.remove_repeats(df, 40, as_text=True).collect()}
